@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +72,11 @@ def join_small(left: DataFrame, right: DataFrame, key: str, salts: int = 64) ->
     return left.withColumn("__salt", F.floor(F.rand(7) * salts).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    for batch in batches:
-        yield tuple(batch.column(n).to_pylist() for n in names)
+_HELD: dict = {}
+
+
+def per_worker(kind: str, build: Callable, *made_from) -> object:
+    """The object build(*made_from), kept by the Python worker for its next tasks; one of each kind."""
+    if kind not in _HELD or _HELD[kind][0] != made_from:
+        _HELD[kind] = made_from, build(*made_from)
+    return _HELD[kind][1]

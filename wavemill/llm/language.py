@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import crc_mod, small_batches, texts
+from wavemill.llm.common import crc_mod, per_worker, small_batches, texts
 
 NGRAMS = (1, 2, 3)
 #: Bounds of the fit: training texts of a language, and landmarks among all of them.
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = spark.sparkContext.broadcast(fit(sample) if sample else None)  # bounded by the landmarks' n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, m = _Letters(), model.value
+        letters, m = per_worker("letters", _Letters), model.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 250):
                 b = whole.slice(lo, 250)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import LOWER, materialise, small_batches, texts, utf8
+from wavemill.llm.common import LOWER, materialise, per_worker, small_batches, texts, utf8
 from wavemill.llm.components import connected_components
 
 SHINGLE = 5
@@ -105,7 +105,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = per_worker("words", _Words)
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
@@ -142,7 +142,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     both = left.join(a, ["a", "salt"]).join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = _Words(), {}
+        words, held = per_worker("words", _Words), {}
 
         def of(node: int, text: bytes) -> np.ndarray:
             if (node, text) not in held:
@@ -214,7 +214,7 @@ def _across(pairs: DataFrame, component: DataFrame, docs: DataFrame, id_col: str
     dealt = member.unionByName(minor).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, held = _Words(), None, []
+        words, at, held = per_worker("words", _Words), None, []
 
         def links() -> pa.RecordBatch:
             words.trim()

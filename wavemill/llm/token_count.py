@@ -9,25 +9,29 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import small_batches, texts
+from wavemill.llm.common import per_worker, small_batches, texts
+from wavemill.llm.pieces import PieceTable
 
 #: Pre-token pattern of the byte-level vocabulary (fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A single space between two visible characters begins a pre-token, so a text can be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_IRREGULAR = re.compile(r" \s|\s ")
 #: Where Unicode versions or definitions of white space could differ, the library does the whole piece.
 _EXOTIC = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85]")
 _STOPS = tuple(".,;:!?")
-_CACHE_PIECES = 500_000
+_CACHE_TOKENS = 400_000
+#: In place of a count: the piece needs the text around it.
+RAGGED = 2**32 - 1
 
 
 def _byte_chars() -> dict[str, int]:
@@ -70,7 +74,7 @@ class _Counter:
         self.model = self.tokenizer.model
         self.stand_in = {b: c for c, b in _byte_chars().items()}
         self.whole, self.merged = whole, {}
-        self.later: dict[str, int] = {}
+        self.known = PieceTable(self._make)
 
     def _cut(self, piece: str, lead: str) -> list[str]:
         """The pre-tokens of lead + piece; a word, or one and a stop, needs no pattern."""
@@ -84,49 +88,50 @@ class _Counter:
         """Tokens of one pre-token, by the library's merges."""
         return len(self.model.tokenize(token.encode().decode("latin-1").translate(self.stand_in)))
 
-    def _learn(self, pieces: dict[str, int], new: set[str], lead: str) -> None:
-        """Counts each new piece: whole tokens directly, merges only for the rest."""
-        whole, merged = self.whole, self.merged
-        if len(merged) > _CACHE_PIECES:
-            self.merged = merged = dict(islice(merged.items(), _CACHE_PIECES // 2))
-        for p in new:
-            if _EXOTIC.search(p):
-                pieces[p] = len(self.tokenizer.encode(lead + p, add_special_tokens=False).ids)
-                continue
-            n = 0
-            for t in self._cut(p, lead):
-                if t in whole:
-                    n += 1
-                else:
-                    if t not in merged:
-                        merged[t] = self._merge(t)
-                    n += merged[t]
-            pieces[p] = n
-
-    def count(self, batch: list[str | None]) -> list[int]:
-        out, parts = [0] * len(batch), []
-        for k, text in enumerate(batch):
-            if not text:
-                continue
-            if self.split_special and any(s in text for s in self.special):
-                plain = self.split_special.split(text)
-                out[k] += len(plain) - 1
+    def _piece(self, piece: str, lead: str) -> int:
+        """Tokens of lead + piece: whole tokens directly, merges only for the rest."""
+        if not (piece.isascii() and piece.isprintable()) and _EXOTIC.search(piece):
+            return len(self.tokenizer.encode(lead + piece, add_special_tokens=False).ids)
+        n = 0
+        for t in self._cut(piece, lead):
+            if t in self.whole:
+                n += 1
             else:
-                plain = [text]
-            for s in plain:
-                if s:
-                    irregular = s[0] == " " or s[-1] == " " or _IRREGULAR.search(s)
-                    parts.append((k, _CUT.split(s) if irregular else s.split(" ")))
-        for lo in range(0, len(parts), 200):
-            some = parts[lo : lo + 200]
-            if len(self.later) > _CACHE_PIECES:  # the pieces met first are the frequent ones
-                self.later = dict(islice(self.later.items(), _CACHE_PIECES // 2))
-            self._learn(self.later, set().union(*(p[1:] for _, p in some)) - self.later.keys(), " ")
-            self._learn(first := {}, {p[0] for _, p in some}, "")
-            later = self.later.__getitem__
-            for k, p in some:
-                out[k] += first[p[0]] + sum(map(later, p[1:]))
-        return out
+                if (m := self.merged.get(t)) is None:
+                    m = self.merged[t] = self._merge(t)
+                n += m
+        return n
+
+    def _make(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.merged) > _CACHE_TOKENS:  # the tokens met first are the frequent ones
+            self.merged = dict(islice(self.merged.items(), _CACHE_TOKENS // 2))
+        # an empty piece, or white space at its end, means that a space doesn't part pre-tokens there
+        n = [RAGGED if not p or p[0].isspace() or p[-1].isspace() or "<|" in p else self._piece(p, " ") for p in pieces]
+        return np.ones(len(n), np.int64), np.asarray(n, np.uint32)
+
+    def _slow(self, text: str) -> int:
+        """Of a text with special strings or irregular spaces."""
+        plain = self.split_special.split(text) if self.split_special else [text]
+        n = len(plain) - 1
+        for s in filter(None, plain):
+            first, *later = _CUT.split(s)
+            n += self._piece(first, "") + sum(self._piece(p, " ") * m for p, m in Counter(later).items())
+        return n
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text. Arrow cuts the texts at spaces and numbers the distinct pieces; only these are looked up."""
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        words = pieces.flatten().dictionary_encode()
+        _, begin, table = self.known.lookup(words.dictionary)
+        which, off = words.indices.to_numpy(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        n = table[begin][which].astype(np.int64)
+        slow = np.diff(np.concatenate([[0], np.cumsum(n == RAGGED)])[off]) > 0
+        total = np.diff(np.concatenate([[0], np.cumsum(n)])[off])
+        first = words.dictionary.take(pa.array(which[off[:-1]])).to_pylist() if len(texts) else []
+        for k, s in enumerate(slow.tolist()):  # no space leads the first piece
+            total[k] = self._slow(texts[k].as_py()) if s else total[k] - n[off[k]] + self._piece(first[k], "")
+        return total
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -140,12 +145,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     model = spark.sparkContext.broadcast((spec, prove_whole_tokens(spec)))  # fixed size: one vocabulary
-    small_batches(spark)
+    small_batches(spark, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(*model.value)
+        counter = per_worker("counter", _Counter, *model.value)
         for b in batches:
-            n = pa.array(counter.count(b.column("text").to_pylist()), pa.int64())
+            n = pa.array(counter.count(b.column("text")), pa.int64())
             size = pc.fill_null(pc.binary_length(b.column("text").cast(pa.binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, n], ["doc_id", "n_bytes", "n_tokens"])
 

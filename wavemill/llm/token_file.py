@@ -17,11 +17,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import join_small, small_batches, texts, utf8
+from wavemill.llm.common import join_small, per_worker, small_batches, texts
+from wavemill.llm.pieces import PieceTable
 from wavemill.llm.token_count import _STOPS, _byte_chars
 
 #: Ids in a word and bits of each, by selector; selector 0 is the escape (fixed values of the format).
@@ -29,7 +31,7 @@ COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Pre-token pattern of the word-end vocabulary, which has its texts composed and in lower case (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters that composing could change, or that Unicode versions could class otherwise: the library does the whole piece.
+#: Characters that composing could change, or that Unicode versions could class otherwise; the library does such pieces whole, and those that may hold a special string.
 _EXOTIC = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85]")
 MAGIC = b"S8B1"
 GROUP = 128
@@ -44,16 +46,23 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    place = np.arange(n, dtype=np.int64)
+    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     sel = np.zeros(n, np.int64)  # the escape, unless a width fits
-    for s in range(len(COUNTS) - 1, 0, -1):
-        fits = ids < np.uint64(1 << WIDTHS[s])
-        if not fits.all():
-            if np.count_nonzero(fits) < min(COUNTS[s], n):
-                continue
-            bad = np.where(fits, n + 60, place)
-            fits = np.minimum.accumulate(bad[::-1])[::-1] - place >= COUNTS[s]
-        sel[fits] = s
+    can = np.arange(n, dtype=np.int64)
+    for s in range(len(COUNTS) - 1, 0, -1):  # what fits a width and its count also fits every wider one, so candidates dwindle
+        low, c = np.uint64(1 << WIDTHS[s]), COUNTS[s]
+        if len(can) == n:
+            fits = padded < low
+            ok = fits[:n].copy()
+            for k in range(1, c):
+                ok &= fits[k : n + k]
+            can = np.flatnonzero(ok)
+        else:
+            for k in range(c):
+                can = can[padded[can + k] < low]
+        if not len(can):
+            break
+        sel[can] = s
     step = np.asarray(COUNTS, np.int64)[sel].tolist()
     starts, at = [], 0
     while at < n:
@@ -64,7 +73,6 @@ def pack(ids: np.ndarray) -> np.ndarray:
     width = np.where(chosen == 0, 2, 1)
     where = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for s in np.unique(chosen):
         at = chosen == s
         if s == 0:
@@ -139,7 +147,7 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 class _Encoder:
     """Ids of texts in one Python worker. White space ends every pre-token of this vocabulary, so ids are looked up by white-space piece."""
 
-    CACHE = 500_000
+    CACHE = 400_000
 
     def __init__(self, spec: str):
         import regex
@@ -148,10 +156,9 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.find = regex.compile(PRE_TOKEN).findall
         self.stand_in = {b: c for c, b in _byte_chars().items()}
-        self.known: dict[bytes, bytes] = {}
+        self.known = PieceTable(self._make)
         self.tokens: dict[str, bytes] = {}
 
     def _token(self, t: str) -> bytes:
@@ -161,9 +168,8 @@ class _Encoder:
             self.tokens[t] = ids = b"".join(x.id.to_bytes(4, "little") for x in found)
         return ids
 
-    def _piece(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        if _EXOTIC.search(word) or any(s in word for s in self.special):
+    def _piece(self, word: str) -> bytes:
+        if "<|" in word or not (word.isascii() and word.isprintable()) and _EXOTIC.search(word):
             return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         word = word.lower()
         if word.isalpha():
@@ -172,19 +178,22 @@ class _Encoder:
             return self._token(word[:-1]) + self._token(word[-1])
         return b"".join(map(self._token, self.find(word)))
 
-    def ids(self, batch: list[bytes | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for lo in range(0, len(batch), 200):
-            some = [(t or b"").split() for t in batch[lo : lo + 200]]
-            for name in ("known", "tokens"):  # the pieces met first are the frequent ones
-                if len(held := getattr(self, name)) > self.CACHE:
-                    setattr(self, name, dict(islice(held.items(), self.CACHE // 2)))
-            for raw in set().union(*some) - self.known.keys():
-                self.known[raw] = self._piece(raw)
-            get = self.known.__getitem__
-            out.extend(b"".join(map(get, words)) for words in some)
-        return out
+    def _make(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tokens) > self.CACHE:  # the tokens met first are the frequent ones
+            self.tokens = dict(islice(self.tokens.items(), self.CACHE // 2))
+        found = list(map(self._piece, words))
+        return np.asarray([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<u4")
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, and how many each text has. Arrow cuts the texts and numbers the distinct pieces; only these are looked up."""
+        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pieces.flatten().dictionary_encode()
+        size, begin, table = self.known.lookup(words.dictionary)
+        which = words.indices.to_numpy()
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()])
 
 
 def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,25 +205,28 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # fixed size: one vocabulary
-    small_batches(spark)
-    end = struct.pack("<I", end_id)
+    small_batches(spark, 2000)
+    end = np.asarray([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file_no = _Encoder(spec.value), TaskContext.get().partitionId()
+        encoder, file_no = per_worker("encoder", _Encoder, spec.value), TaskContext.get().partitionId()
         block_no, before, held, doc_ids, lengths, data = 0, 0, 0, [], [], []
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(data), "<u4")
+            ids = np.concatenate(data)
             row = [file_no], [block_no], [before], [len(ids)], [write_block(doc_ids, lengths, ids)]
             types = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["file_no", "block_no", "ids_before", "n_ids", "payload"])
 
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids(utf8(b.column("text"))), strict=True):
+            ids, sizes = encoder.ids(b.column("text"))
+            at = 0
+            for doc_id, n in zip(b.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                 doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4 + 1)
-                data += (ids, end)
-                held += lengths[-1]
+                lengths.append(n + 1)
+                data += (ids[at : at + n], end)
+                at += n
+                held += n + 1
                 if held >= BLOCK_IDS:
                     yield block()
                     block_no, before, held, doc_ids, lengths, data = block_no + 1, before + held, 0, [], [], []
