@@ -131,11 +131,10 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. A text that many pairs need is repeated for every 1000 of them."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     left = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    own = texts(docs, id_col, text_col)
     a = own.join(salts, own.doc_id == salts.a).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     needed = pairs.select("b").distinct()
     b = own.join(needed, own.doc_id == needed.b).select("b", F.col("text").alias("text_b"))
@@ -193,7 +192,7 @@ def _block_links(rows: list[tuple], words: _Words, percent: int) -> Iterator[tup
             yield rows[at_m[k]][0], rows[other][0]
 
 
-def _across(pairs: DataFrame, component: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _across(pairs: DataFrame, component: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components among the classes that share a hub.
 
     pairs (a: hub, b: class) has every class that shares a key with its hub, so two classes that share a key share a hub.
@@ -205,7 +204,6 @@ def _across(pairs: DataFrame, component: DataFrame, docs: DataFrame, id_col: str
     hub = component.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
     stats = part.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     stats = stats.join(hub, "a", "left").select("a", F.coalesce("hub_component", "a").alias("hub_component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = texts(docs, id_col, text_col)
     rows = part.join(materialise(stats, "open"), "a").join(own, F.col("b") == own.doc_id).select("a", "b", "component", "blocks", "text", (F.col("component") != F.col("hub_component")).alias("minor"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -261,10 +259,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         return both.filter(fits & (_distance(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE)).select("a", "b").distinct()
 
-    links = materialise(_confirm(materialise(close(pairs), "close"), docs, id_col, text_col, percent), "confirmed")
+    # the texts of candidates leave the table in one shuffle, by the same plan at every size
+    candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = texts(docs, id_col, text_col)
+    own = materialise(own.join(candidates.hint("merge"), own.doc_id == candidates.node, "left_semi"), "candidates")
+    links = materialise(_confirm(materialise(close(pairs), "close"), own, percent), "confirmed")
 
     component = materialise(connected_components(links), "component")
-    second = materialise(_across(pairs, component, docs, id_col, text_col, percent), "across")
+    second = materialise(_across(pairs, component, own, percent), "across")
     if not second.isEmpty():
         component = materialise(connected_components(links.unionByName(second)), "component")
     of_class = materialise(classes.select("cls", "node").join(component, "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "of-class")
