@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import crc_mod, materialise, small_batches, texts
+from wavemill.llm.common import crc_mod, join_small, materialise, small_batches, texts
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOK_ALIKE = {
@@ -33,9 +33,9 @@ SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 INVISIBLE = "­​‌‍⁠﻿"
 #: Phrases in which a listed word says nothing bad (fixed values).
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clownfish", "circus clown", "pathetic fallacy", "pond scum", "sore loser", "worthless check", "not stupid", "not worthless", "not an idiot", "not a loser")
-#: Bounds of the fit: entries of the lexicon, and labelled documents that the curve is fitted on.
+#: Bounds of the fit: entries of the lexicon, and documents of each label that lexicon and curve are fitted on.
 MAX_ENTRIES = 20_000
-CURVE_ROWS = 20_000
+ROWS_A_LABEL = 10_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 _MIXED = re.compile(r"[^\W\d_][0-9]|[0-9][^\W\d_]")
@@ -137,7 +137,7 @@ def _entries(by_word: DataFrame) -> DataFrame:
 def learn_lexicon(train: DataFrame, level: float = 0.01, rounds: int = 8) -> dict[str, float]:
     """Weights of words and stems that toxic documents hold far more often than others.
 
-    train: text, toxic (0/1). Equal texts count once; counts are over all rows. An entry needs a likelihood ratio that
+    train: text, toxic (0/1). Equal texts count once; counts are over all rows given. An entry needs a likelihood ratio that
     chance gives to less than `level` of all candidates, and more toxic documents than clean ones. Each round takes the
     entries with at least a quarter of the best ratio; the next counts only toxic documents that none of them explains, so
     that the other words of a much copied toxic text are not taken for toxic themselves. Of nested stems the longest that
@@ -215,17 +215,23 @@ def _values(rows: DataFrame, matcher_of, more: str, kept: list[str]) -> DataFram
     return rows.mapInArrow(run, f"{more}, value double")
 
 
+def _share(rows: int) -> float:
+    return min(1.0, 0.95 * ROWS_A_LABEL / max(1, rows))
+
+
 def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0) -> tuple[dict[str, float], float, float]:
-    """(lexicon, slope, middle) from the labelled documents outside the held-out fold. A document labelled both ways is left out."""
+    """(lexicon, slope, middle) from at most about ROWS_A_LABEL documents of each label outside the held-out fold, picked by a hash. A document labelled both ways is left out."""
     small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(crc_mod(F.col("doc_id"), folds) != held_out)
     own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
-    train = texts(docs, id_col, text_col).filter("text is not null").join(own, "doc_id").select("doc_id", "text", "toxic")
-    lexicon = learn_lexicon(train.select("text", "toxic"))
-    n = max(1, own.count())
+    held = dict(own.groupBy("toxic").count().collect())
+    # the hash leaves a label at most ROWS_A_LABEL rows or so; join_small counts them before it broadcasts
+    part = F.when(F.col("toxic") == 1, F.lit(_share(held.get(1, 0)))).otherwise(F.lit(_share(held.get(0, 0))))
+    picked = own.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_003)) < 1_000_003 * part)
+    train = materialise(join_small(texts(docs, id_col, text_col).filter("text is not null"), picked, "doc_id").filter("toxic is not null").select("text", "toxic"), "train")
+    lexicon = learn_lexicon(train)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, tuple(exceptions)))
-    picked = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, CURVE_ROWS / n)))
-    rows = _values(picked.select("toxic", "text"), lambda: Matcher(*sent.value), "toxic int", ["toxic"]).limit(2 * CURVE_ROWS).collect()
+    rows = _values(train, lambda: Matcher(*sent.value), "toxic int", ["toxic"]).collect()  # two numbers for each sampled row
     slope, middle = fit_curve(np.asarray([r.value for r in rows]), np.asarray([r.toxic for r in rows], float))
     return lexicon, slope, middle
 
