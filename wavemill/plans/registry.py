@@ -1,10 +1,30 @@
-"""All queries over the signal views of the driver's tables, and their SQL."""
+"""All queries over the signal views of the driver's tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavemill.functions import formats, text
+from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral
+from wavemill.sources import signals
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+EU = "eu AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no, round(value * 100)::INTEGER AS x FROM events)"
+EF = "ef AS (SELECT 0::BIGINT AS stream_id, event_id AS frame_no, round(value * 100)::INTEGER AS x FROM events)"
+LO = """lo AS (SELECT l_orderkey AS stream_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS frame_no,
+ round(l_quantity * 100)::INTEGER AS c0, round(l_extendedprice * 100)::INTEGER AS c1, round(l_discount * 100)::INTEGER AS c2, round(l_tax * 100)::INTEGER AS c3 FROM lineitem)"""
+
+
+def add(name: str, plan, sql: str | None = None) -> None:
+    QUERIES[name] = plan
+    if sql:
+        ORACLES[name] = sql
+
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -12,3 +32,138 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(ORACLES)
+
+
+def _flat(name: str, column, sql: str) -> None:
+    """A stateless transform of all events: column(x, frame_no) against a SQL expression of x and frame_no."""
+    add(name, lambda s, d: signals.events_flat(s, d).select("frame_no", column(F.col("x"), F.col("frame_no")).alias("y")), f"WITH {EF} SELECT frame_no, {sql} AS y FROM ef")
+
+
+def _clip(x: str, most: float = 32767) -> str:
+    return f"least(greatest({x}, -{most}), {most})"
+
+
+def _cut(x: str) -> str:
+    return f"trunc({x})::INTEGER"
+
+
+_flat("scale", lambda x, k: scalar.scale(x, 1.7, -500, 30000), _cut(_clip("(x - 500) * 1.7::DOUBLE", 30000.0)))
+_flat("invert", lambda x, k: scalar.invert(x), "-x")
+_flat("unsigned_dac", lambda x, k: scalar.to_unsigned_dac(x), "(x + 32768) % 65536")
+_flat("clip", lambda x, k: scalar.clip(x, 32767), _clip("x"))
+_flat("bits_16_to_8", lambda x, k: scalar.convert_bits(x, 16, 8), _cut(_clip("x::DOUBLE * 1.0::DOUBLE * 127.0::DOUBLE / 32767.0::DOUBLE", 127.0)))
+_flat("bits_16_to_24", lambda x, k: scalar.convert_bits(x, 16, 24), _cut(_clip("x::DOUBLE * 1.0::DOUBLE * 8388607.0::DOUBLE / 32767.0::DOUBLE", 8388607.0)))
+_flat("to_float", lambda x, k: F.round(scalar.to_float(x), 6), "round(x / 32767.0::DOUBLE, 6)")
+for _name, _curve in (("linear", scalar.linear_curve), ("logarithmic", scalar.logarithmic_curve), ("exponential", scalar.exponential_curve), ("pot", scalar.pot_curve)):
+    _flat(f"volume_{_name}", lambda x, k, c=_curve: scalar.volume(x, 0.7, c), _cut(_clip(f"x * {_curve(0.7)!r}::DOUBLE", 32767.0)))
+_flat("boost", lambda x, k: scalar.boost(x, 2.5), _cut(_clip("x * 2.5::DOUBLE", 32767.0)))
+_flat("distortion", lambda x, k: scalar.distortion(x), "CASE WHEN x > 4990 THEN 6500 WHEN x < -4990 THEN -6500 ELSE x END")
+_flat("fuzz", lambda x, k: scalar.fuzz(x), _cut(f"({_clip('x * 6.5::DOUBLE', 32767.0)} * 6.5::DOUBLE + 32768.0::DOUBLE) * 600.0::DOUBLE / 65536.0::DOUBLE - 300.0::DOUBLE"))
+_flat("tremolo", lambda x, k: scalar.tremolo(x, k, 1000, 100, 0.5), _cut("x * (0.5::DOUBLE + 0.01::DOUBLE * (CASE WHEN frame_no % 100 <= 50 THEN frame_no % 100 ELSE 100 - frame_no % 100 END))"))
+_flat("fade_in", lambda x, k: scalar.fade_in(x, k, 400), _cut("x * least(1.0::DOUBLE, frame_no / 400.0::DOUBLE)"))
+_flat("smooth_start", lambda x, k: scalar.smooth_start(x, k), _cut("CASE WHEN frame_no * 0.01::DOUBLE < 0.8::DOUBLE THEN x * (frame_no * 0.01::DOUBLE) ELSE x END"))
+_flat("decibel", lambda x, k: F.round(scalar.decibel(x / 32767), 6), "CASE WHEN x > 0 THEN round(20 * log10(x / 32767), 6) ELSE -1000.0::DOUBLE END")
+_flat("midi_note", lambda x, k: scalar.hz_to_midi(x.cast("double")), "CASE WHEN x > 0 THEN round(69 + 12 * log2(x::DOUBLE / 440.0::DOUBLE))::INTEGER END")
+_flat("quantise_affine", lambda x, k: scalar.affine_quantise(x, 256.0, -128), "least(greatest(round(x / 256.0::DOUBLE)::INTEGER - 128, -128), 127)")
+_flat("window_blackman_harris", lambda x, k: F.round(scalar.window_factor("blackman_harris", F.pmod(k, F.lit(64)), 64), 6), "round(least(1, 0.35875 - 0.48829 * cos(w) + 0.14128 * cos(2 * w) - 0.01168 * cos(3 * w)), 6)".replace("w)", "((CASE WHEN frame_no % 64 <= 32 THEN frame_no % 64 ELSE 63 - frame_no % 64 END) * 2 * pi() / 63))"))
+_flat("sine", lambda x, k: scalar.truncate(F.round(10000 * F.sin(k * F.lit(2 * math.pi * 440 / 44100)), 6)), "trunc(round(10000 * sin(frame_no * (2 * pi() * 440 / 44100)), 6))::INTEGER")
+_flat("square", lambda x, k: mixing.square(k, 440, 44100, 1000), f"CASE WHEN (frame_no * {int(440 / 44100 * 2**32)}) % 4294967296 < 2147483648 THEN 1000 ELSE -1000 END")
+_flat("saw", lambda x, k: mixing.saw(k, 440, 44100, 1000), f"(((CASE WHEN p < 2147483648 THEN p ELSE p - 4294967296 END) * 1000) >> 31)::INTEGER".replace("p ", f"((frame_no * {int(440 / 44100 * 2**32)}) % 4294967296) ").replace("(CASE WHEN ((", "(CASE WHEN (("))
+_flat("wavetable", lambda x, k: mixing.from_array(k, [0, 5, 9, 5, 0, -5, -9, -5]), "[0, 5, 9, 5, 0, -5, -9, -5][frame_no % 8 + 1]")
+_flat("closest_rate", lambda x, k: mixing.closest_rate(x), "list_sort(list_transform([8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000, 88200, 96000, 176400, 192000], lambda r, i: {'d': abs(r - x), 'i': i, 'r': r}))[1]['r']")
+
+
+def _frames(name: str, column, sql: str) -> None:
+    add(name, lambda s, d: signals.order_frames(s, d).select("stream_id", "frame_no", column(F.col("samples")).alias("samples")), f"WITH {LO} SELECT stream_id, frame_no, {sql} AS samples FROM lo")
+
+
+_frames("channel_swap", lambda s: channels.swap(F.slice(s, 1, 2), 2), "[c1, c0]")
+_frames("channel_reduce", lambda s: channels.reduce_channels(s, 2, 4), "[c0, trunc(c1 / 3)::INTEGER + trunc(c2 / 3)::INTEGER + trunc(c3 / 3)::INTEGER]")
+_frames("channel_enhance", lambda s: channels.enhance_channels(s, 6, 4), "[c0, c1, c2, c3, c3, c3]")
+_frames("channel_difference", channels.difference, "[c0 - c1]")
+_frames("channel_average", channels.average, "[trunc((c0 + c1) / 2)::INTEGER]")
+_frames("channel_mix", lambda s: channels.mix_to_all(s, 4), "list_resize([trunc((c0 + c1 + c2 + c3) / 4)::INTEGER], 4, trunc((c0 + c1 + c2 + c3) / 4)::INTEGER)")
+_frames("channel_copy", lambda s: channels.copy_channel(s, 2, 4, 1), "[c2 * 2, c2 * 2, c2 * 2, c2 * 2]")
+_frames("channel_select", lambda s: channels.select_channels(s, [3, 9], 4), "[c3, c3]")
+add("channel_split", lambda s, d: channels.split(signals.order_frames(s, d)), f"WITH {LO} SELECT stream_id, frame_no, unnest([0, 1, 2, 3]) AS ch, unnest([c0, c1, c2, c3]) AS x FROM lo")
+add("bin_channels", lambda s, d: blocks.bin_channels(signals.order_frames(s, d), 2, 4, True), f"WITH {LO} SELECT stream_id, frame_no // 2 AS block_no, [trunc(sum(c0) / 2)::BIGINT, trunc(sum(c1) / 2)::BIGINT, trunc(sum(c2) / 2)::BIGINT, trunc(sum(c3) / 2)::BIGINT] AS samples FROM lo GROUP BY 1, 2 HAVING count(*) = 2")
+add("bin_difference", lambda s, d: blocks.bin_channels(signals.order_frames(s, d), 2, 4, False, True), f"WITH {LO} SELECT stream_id, frame_no // 2 AS block_no, [(sum(c0) - sum(c1))::BIGINT, (sum(c2) - sum(c3))::BIGINT] AS samples FROM lo GROUP BY 1, 2 HAVING count(*) = 2")
+
+
+def _user(name: str, plan, sql: str | None = None) -> None:
+    """A query over the users' event streams; sql begins with `, ` if it defines more views."""
+    add(name, lambda s, d: plan(signals.events_by_user(s, d)), f"WITH {EU}{sql}" if sql else None)
+
+
+def _m0(rows: DataFrame) -> DataFrame:
+    return blocks.bin_frames(rows.withColumn("x", scalar.scale(F.col("x"), 1.7, -500, 30000)), 4, True)
+
+
+_SCALED = _cut(_clip("(x - 500) * 1.7::DOUBLE", 30000.0))
+_user("m0_scale_bin", _m0, f" SELECT stream_id, frame_no // 4 AS block_no, trunc(sum({_SCALED}) / 4)::BIGINT AS x FROM eu GROUP BY 1, 2 HAVING count(*) = 4")
+_user("bin_sum", lambda r: blocks.bin_frames(r, 4), " SELECT stream_id, frame_no // 4 AS block_no, sum(x)::BIGINT AS x FROM eu GROUP BY 1, 2 HAVING count(*) = 4")
+_user("decimate", lambda r: blocks.decimate(r, 3), " SELECT stream_id, frame_no // 3 AS frame_no, x FROM eu WHERE (frame_no + 1) % 3 = 0")
+_user("timed", lambda r: blocks.timed(r, 10, 1, 4), " SELECT stream_id, frame_no, x FROM eu WHERE frame_no >= 10 AND frame_no < 40")
+_user("center", lambda r: blocks.center(r, 8), " SELECT stream_id, frame_no, x - trunc(avg(x) OVER (PARTITION BY stream_id, frame_no // 8))::INTEGER AS x FROM eu")
+_user("volume_meter", lambda r: blocks.volume_meter(r, 8), " SELECT stream_id, frame_no // 8 AS block_no, max(abs(x)) AS peak, round(avg(abs(x)), 6) AS mean, CASE WHEN max(abs(x)) > 0 THEN round(20 * log10(max(abs(x)) / 32767), 6) ELSE -1000.0::DOUBLE END AS db FROM eu GROUP BY 1, 2")
+_user("goertzel", lambda r: blocks.goertzel(r, 16, 8000, [500.0, 1000.0]), """ SELECT stream_id, frame_no // 16 AS block_no, hz, round(sqrt(sum(x / 32767 * cos(frame_no % 16 * 2 * pi() * hz / 8000)) ** 2 + sum(x / 32767 * sin(frame_no % 16 * 2 * pi() * hz / 8000)) ** 2), 6) AS magnitude
+ FROM eu, (SELECT unnest([500.0::DOUBLE, 1000.0::DOUBLE]) AS hz) GROUP BY 1, 2, 3 HAVING count(*) = 16""")
+_OVER = "OVER (PARTITION BY stream_id ORDER BY frame_no"
+_user("moving_average", lambda r: history.moving_average(r, 5).select("stream_id", "frame_no", F.round("y", 6).alias("y")), f" SELECT stream_id, frame_no, round(avg(x) {_OVER} ROWS 4 PRECEDING), 6) AS y FROM eu")
+_user("fir", lambda r: history.fir(r, [0.021, 0.096, 0.146, 0.096, 0.021]).select("stream_id", "frame_no", F.round("y", 6).alias("y")), " SELECT stream_id, frame_no, round(" + " + ".join(f"coalesce(lag(x, {k}) {_OVER}), 0) * {b}::DOUBLE" for k, b in enumerate([0.021, 0.096, 0.146, 0.096, 0.021])) + ", 6) AS y FROM eu")
+_user("median", lambda r: history.median(r, 5).select("stream_id", "frame_no", "y"), " SELECT stream_id, frame_no, list_sort([" + ", ".join(f"coalesce(lag(x, {k}) {_OVER}), 0)" for k in range(5)) + "])[3] AS y FROM eu")
+_user("remove_silence", lambda r: history.remove_silence(r, 2, 20000), f", k AS (SELECT *, max((abs(x) > 20000)::INTEGER) {_OVER} ROWS 1 PRECEDING) AS loud FROM eu) SELECT stream_id, row_number() {_OVER}) - 1 AS frame_no, x FROM k WHERE loud = 1")
+_user("zero_crossings", lambda r: history.zero_crossings(r.withColumn("x", F.col("x") - 9000), 44100).withColumn("hz", F.round("hz", 6)), f", k AS (SELECT stream_id, frame_no, x - 9000 AS x, lead(x - 9000) {_OVER}) AS nx FROM eu), u AS (SELECT stream_id, frame_no, frame_no - lag(frame_no) {_OVER}) AS n FROM k WHERE x <= 0 AND nx > 0) SELECT stream_id, frame_no, round(44100 / n, 6) AS hz FROM u WHERE n IS NOT NULL")
+_user("quality", lambda r: history.quality(r.withColumn("x", F.when(F.col("x") < 4000, 0).otherwise(F.col("x"))), dropout=2, clipping=2), f""", z AS (SELECT stream_id, frame_no, CASE WHEN x < 4000 THEN 0 ELSE x END AS x FROM eu),
+ f AS (SELECT *, abs(x - lag(x) {_OVER})) > 0.5 * 32767 AS jump, abs(x) <= 0.01 * 32767 AS q, abs(x) >= 0.99 * 32767 AS l FROM z),
+ a AS (SELECT stream_id, count(*) AS n FROM (SELECT stream_id, g, count(*) AS c FROM (SELECT stream_id, frame_no - row_number() {_OVER}) AS g FROM f WHERE q) GROUP BY 1, 2) WHERE c >= 2 GROUP BY 1),
+ b AS (SELECT stream_id, count(*) AS n FROM (SELECT stream_id, g, count(*) AS c FROM (SELECT stream_id, frame_no - row_number() {_OVER}) AS g FROM f WHERE l) GROUP BY 1, 2) WHERE c >= 2 GROUP BY 1)
+ SELECT stream_id, count(*) AS frames, count(*) FILTER (jump) AS clicks, coalesce(any_value(a.n), 0) AS dropouts, coalesce(any_value(b.n), 0) AS clippings FROM f LEFT JOIN a USING (stream_id) LEFT JOIN b USING (stream_id) GROUP BY 1""")
+_user("pid", lambda r: history.pid(r, 10000, 0.1, 50000, -50000, 0.5, 0.1, 0.01).select("stream_id", "frame_no", F.round("y", 4).alias("y")), f", e AS (SELECT *, 10000.0::DOUBLE - x AS e FROM eu) SELECT stream_id, frame_no, round(least(greatest(0.5 * e + 0.1 * sum(e) {_OVER}) * 0.1 + 0.01 * (e - coalesce(lag(e) {_OVER}), 0)) / 0.1, -50000.0::DOUBLE), 50000.0::DOUBLE), 4) AS y FROM e")
+_INTER = {"linear": "x1 + t * (x2 - x1)", "hermite": "x1 + t * (x2 - x0) / 2 + t * t * (x0 - 2.5 * x1 + 2 * x2 - 0.5 * x3) + t * t * t * (1.5 * (x1 - x2) + 0.5 * (x3 - x0))", "bspline": "((x0 + 4 * x1 + x2) + 3 * t * (x2 - x0) + 3 * t * t * (x0 - 2 * x1 + x2) + t * t * t * (x3 - x0 + 3 * (x1 - x2))) / 6", "lagrange": "x0 * (-t * (t - 1) * (t - 2) / 6) + x1 * ((t + 1) * (t - 1) * (t - 2) / 2) + x2 * (-t * (t + 1) * (t - 2) / 2) + x3 * (t * (t + 1) * (t - 1) / 6)"}
+for _name, _sql in _INTER.items():
+    _user(f"resample_{_name}", lambda r, n=_name: history.resample(r, 0.75, n).withColumn("y", F.round("y", 4)), f", n AS (SELECT stream_id, frame_no, coalesce(lag(x) {_OVER}), x) AS x0, x AS x1, lead(x) {_OVER}) AS x2, coalesce(lead(x, 2) {_OVER}), lead(x) {_OVER})) AS x3 FROM eu), g AS (SELECT n.*, k, k * 0.75::DOUBLE - frame_no AS t FROM n JOIN range(0, 4000) r(k) ON floor(k * 0.75::DOUBLE) = frame_no WHERE x2 IS NOT NULL) SELECT stream_id, k AS frame_no, round(({_sql})::DOUBLE, 4) AS y FROM g")
+_half = lambda r: r.withColumn("x", -F.col("x")).filter("frame_no < 20")
+_user("merge", lambda r: mixing.merge([(r, 1.0), (_half(r), 0.5)]), " SELECT stream_id, frame_no, [x, trunc(-x * 0.5::DOUBLE)::INTEGER] AS samples FROM eu WHERE frame_no < 20")
+_user("mix", lambda r: mixing.mix([(r, 100), (_half(r), 50)]), f" SELECT stream_id, frame_no, (trunc(x * ({100 / 150!r}::DOUBLE))::BIGINT + CASE WHEN frame_no < 20 THEN trunc(-x * ({50 / 150!r}::DOUBLE))::BIGINT ELSE 0 END) AS x FROM eu")
+_user("generator_average", lambda r: mixing.average([r, _half(r)]), " SELECT stream_id, frame_no, CASE WHEN frame_no < 20 THEN 0 ELSE x END AS x FROM eu")
+_user("concatenate", lambda r: mixing.concatenate([_half(r), r]), " SELECT stream_id, frame_no, -x AS x FROM eu WHERE frame_no < 20 UNION ALL SELECT stream_id, frame_no + n, x FROM eu JOIN (SELECT stream_id, count(*) AS n FROM eu WHERE frame_no < 20 GROUP BY 1) USING (stream_id)")
+
+
+def _recursive(name: str, make, digits: int = 4) -> None:
+    _user(name, lambda r: recursive.fold(r, make).select("stream_id", "frame_no", F.round("y", digits).alias("y")))
+
+
+for _kind in ("low_pass", "high_pass", "band_pass", "notch", "low_shelf", "high_shelf"):
+    _b, _a = recursive.biquad(_kind, 1000, 44100, gain_db=6)
+    _recursive(f"{_kind}_df1", recursive.iir(_b, _a))
+    _recursive(f"{_kind}_df2", recursive.biquad_df2(_b, _a))
+_b, _a = recursive.biquad("low_pass", 1000, 44100)
+ORACLES["low_pass_df2"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, w1, w2, y) AS (
+ SELECT stream_id, frame_no, x::DOUBLE, 0.0::DOUBLE, {_b[0]!r}::DOUBLE * x FROM eu WHERE frame_no = 0 UNION ALL
+ SELECT stream_id, frame_no, w0, w1, {_b[0]!r}::DOUBLE * w0 + {_b[1]!r}::DOUBLE * w1 + {_b[2]!r}::DOUBLE * w2 FROM (SELECT eu.stream_id, eu.frame_no, eu.x - {_a[1]!r}::DOUBLE * w1 - {_a[2]!r}::DOUBLE * w2 AS w0, w1, w2 FROM r JOIN eu ON eu.stream_id = r.stream_id AND eu.frame_no = r.frame_no + 1))
+ SELECT stream_id, frame_no, round(y, 4) AS y FROM r"""
+_recursive("sections", recursive.chain(recursive.biquad_df2(_b, _a), recursive.biquad_df2(*recursive.biquad("high_pass", 200, 44100))))
+_recursive("kalman", recursive.kalman())
+ORACLES["kalman"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, p, v) AS (
+ SELECT stream_id, frame_no, (1 - 1.01::DOUBLE / 2.01::DOUBLE) * 1.01::DOUBLE, 1.01::DOUBLE / 2.01::DOUBLE * x FROM eu WHERE frame_no = 0 UNION ALL
+ SELECT stream_id, frame_no, p * (1 - p / (p + 1)), v + p / (p + 1) * (x - v) FROM (SELECT eu.stream_id, eu.frame_no, p + 0.01::DOUBLE AS p, v, x FROM r JOIN eu ON eu.stream_id = r.stream_id AND eu.frame_no = r.frame_no + 1))
+ SELECT stream_id, frame_no, round(v, 4) AS y FROM r"""
+_recursive("delay", recursive.delay(8))
+_recursive("equalizer3", recursive.equalizer3(44100, low=1.2, high=0.8))
+_recursive("adsr", recursive.adsr(0.1, 0.05, 0.6, 0.02, 40))
+_recursive("compressor", recursive.compressor(1000))
+_user("lms", lambda r: mixing.lms(r.select("stream_id", "frame_no", (F.col("x") / 32767).alias("x"), (F.col("x") / 65534).alias("ref")), 4, 0.05).withColumn("y", F.round("y", 6)))
+add("stft_peaks", lambda s, d: spectral.peaks(spectral.magnitudes(signals.embedding_blocks(s, d), 64), 44100, 64, 3))
+add("spectrum", lambda s, d: spectral.magnitudes(signals.embedding_blocks(s, d), 64).select("block_no", F.posexplode("samples").alias("bin", "m")).select("block_no", "bin", F.round("m", 4).alias("magnitude")), """
+ WITH v AS (SELECT vec_id AS block_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
+ SELECT block_no, bin::INTEGER AS bin, round(sqrt(sum(x * cos(2 * pi() * k * bin / 64)) ** 2 + sum(x * sin(2 * pi() * k * bin / 64)) ** 2), 4) AS magnitude FROM v, range(0, 32) b(bin) GROUP BY 1, 2""")
+for _name, _fn in (("robotize", spectral.robotize), ("whisper", spectral.whisper()), ("pitch_shift", spectral.pitch_shift(2)), ("band_equalizer", spectral.band_gains([3.0, 0.0, -6.0], 44100, 16))):
+    _user(f"fft_{_name}", lambda r, f=_fn: spectral.overlap_add(spectral.effect(spectral.blocks_of(r, 16, 8), 16, f), 8).withColumn("y", F.round("y", 4)))
+add("autocorrelation", lambda s, d: spectral.autocorrelation(signals.embedding_blocks(s, d), 2000).withColumn("hz", F.round("hz", 6)))
+add("mu_law", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.mu_law(scalar.clip(F.col("x"), 32767)).alias("y")))
+add("pcm_hex", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.int16_hex(scalar.clip(F.col("x"), 32767)).alias("y")), f"WITH {EF} SELECT frame_no, upper(printf('%02x%02x', least(x, 32767) & 255, least(x, 32767) >> 8)) AS y FROM ef")
+add("csv_lines", lambda s, d: signals.order_frames(s, d).select("stream_id", "frame_no", formats.csv_line(F.col("samples")).alias("line")), f"WITH {LO} SELECT stream_id, frame_no, concat_ws(',', c0, c1, c2, c3) AS line FROM lo")
+add("base64_text", lambda s, d: signals.table(s, d, "pages").select("page_id", formats.base64_text(F.col("url")).alias("y")), "SELECT page_id, base64(encode(url)) AS y FROM pages")
+add("url_parts", lambda s, d: signals.table(s, d, "pages").select("page_id", *text.url_parts(F.col("url"))), "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+add("glob_match", lambda s, d: signals.table(s, d, "part").select("p_partkey", text.glob_match(F.col("p_name"), "*a*; b?g*").alias("y")), r"SELECT p_partkey, regexp_full_match(p_name, '.*a.*') OR regexp_full_match(p_name, 'b.g.*') AS y FROM part")
