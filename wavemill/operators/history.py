@@ -4,51 +4,54 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-STREAM = Window.partitionBy("stream_id").orderBy("frame_no")
+
+def stream() -> WindowSpec:
+    """A stream's frames in order."""
+    return Window.partitionBy("stream_id").orderBy("frame_no")
 
 
 def moving_average(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("y", F.avg("x").over(STREAM.rowsBetween(-(n - 1), 0)))
+    return rows.withColumn("y", F.avg("x").over(stream().rowsBetween(-(n - 1), 0)))
 
 
 def fir(rows: DataFrame, taps: list[float]) -> DataFrame:
     """y[i] = sum of taps[k] * x[i - k]; frames before the first are 0."""
-    terms = [F.coalesce(F.lag("x", k).over(STREAM) if k else F.col("x"), F.lit(0)) * F.lit(float(b)) for k, b in enumerate(taps)]
+    terms = [F.coalesce(F.lag("x", k).over(stream()) if k else F.col("x"), F.lit(0)) * F.lit(float(b)) for k, b in enumerate(taps)]
     return rows.withColumn("y", reduce(lambda a, b: a + b, terms))
 
 
 def median(rows: DataFrame, n: int = 7) -> DataFrame:
     """Of the last n frames, those before the first being 0."""
-    held = F.array(*[F.coalesce(F.lag("x", k).over(STREAM) if k else F.col("x"), F.lit(0)) for k in range(n)])
+    held = F.array(*[F.coalesce(F.lag("x", k).over(stream()) if k else F.col("x"), F.lit(0)) for k in range(n)])
     return rows.withColumn("y", F.get(F.array_sort(held), F.lit(n // 2)))
 
 
 def remove_silence(rows: DataFrame, n: int = 8, limit: int = 2) -> DataFrame:
     """Only frames of which one of the last n exceeds the limit; the kept ones are renumbered."""
-    loud = F.max(F.when(F.abs("x") > limit, 1).otherwise(0)).over(STREAM.rowsBetween(-(n - 1), 0))
+    loud = F.max(F.when(F.abs("x") > limit, 1).otherwise(0)).over(stream().rowsBetween(-(n - 1), 0))
     kept = rows.withColumn("loud", loud).filter("loud = 1").drop("loud")
-    return kept.withColumn("frame_no", F.row_number().over(STREAM) - 1)
+    return kept.withColumn("frame_no", F.row_number().over(stream()) - 1)
 
 
 def zero_crossings(rows: DataFrame, rate: int) -> DataFrame:
     """Frequencies between rising crossings (a frame of at most 0 before a positive one)."""
-    up = rows.withColumn("next", F.lead("x").over(STREAM)).filter("x <= 0 and next > 0")
-    return up.withColumn("frames", F.col("frame_no") - F.lag("frame_no").over(STREAM)).filter("frames is not null").select("stream_id", "frame_no", (rate / F.col("frames")).alias("hz"))
+    up = rows.withColumn("next", F.lead("x").over(stream())).filter("x <= 0 and next > 0")
+    return up.withColumn("frames", F.col("frame_no") - F.lag("frame_no").over(stream())).filter("frames is not null").select("stream_id", "frame_no", (rate / F.col("frames")).alias("hz"))
 
 
 def _runs(rows: DataFrame, hit: Column, least: int) -> DataFrame:
     """How many runs of at least `least` frames a stream has in which hit holds."""
-    island = F.col("frame_no") - F.row_number().over(STREAM)
+    island = F.col("frame_no") - F.row_number().over(stream())
     got = rows.filter(hit).withColumn("island", island).groupBy("stream_id", "island").count().filter(F.col("count") >= least)
     return got.groupBy("stream_id").agg(F.count("*").alias("runs"))
 
 
 def quality(rows: DataFrame, most: int = 32767, click: float = 0.5, quiet: float = 0.01, loud: float = 0.99, dropout: int = 10, clipping: int = 3) -> DataFrame:
     """Per stream: frames, clicks (jumps of more than click * most), dropouts and clippings (runs of quiet or loud frames)."""
-    jump = F.abs(F.col("x") - F.lag("x").over(STREAM)) > click * most
+    jump = F.abs(F.col("x") - F.lag("x").over(stream())) > click * most
     base = rows.withColumn("jump", jump).groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if("jump").alias("clicks"))
     a = _runs(rows, F.abs("x") <= quiet * most, dropout).withColumnRenamed("runs", "dropouts")
     b = _runs(rows, F.abs("x") >= loud * most, clipping).withColumnRenamed("runs", "clippings")
@@ -58,8 +61,8 @@ def quality(rows: DataFrame, most: int = 32767, click: float = 0.5, quiet: float
 def pid(rows: DataFrame, target: float, dt: float, most: float, least: float, kp: float, ki: float, kd: float) -> DataFrame:
     """P, I and D terms from a running sum and a lag, clamped."""
     error = F.lit(float(target)) - F.col("x")
-    total = F.sum(error).over(STREAM.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.coalesce(F.lag(error).over(STREAM), F.lit(0.0))
+    total = F.sum(error).over(stream().rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.lag(error).over(stream()), F.lit(0.0))
     y = kp * error + ki * total * dt + kd * (error - before) / dt
     return rows.withColumn("y", F.least(F.greatest(y, F.lit(float(least))), F.lit(float(most))))
 
@@ -75,7 +78,7 @@ INTERPOLATORS = {
 
 def resample(rows: DataFrame, step: float, kind: str = "linear") -> DataFrame:
     """Frame k of the output is the input at k * step, which must have a frame on both sides. Each input frame gives out the frames from itself to the next, so nothing but the stream's window is shuffled."""
-    before, after, later = F.lag("x").over(STREAM), F.lead("x").over(STREAM), F.lead("x", 2).over(STREAM)
+    before, after, later = F.lag("x").over(stream()), F.lead("x").over(stream()), F.lead("x", 2).over(stream())
     near = rows.select("stream_id", "frame_no", F.coalesce(before, "x").alias("x0"), F.col("x").alias("x1"), after.alias("x2"), F.coalesce(later, after).alias("x3")).filter("x2 is not null")
     first, end = F.ceil(F.col("frame_no") / F.lit(step)).cast("long"), F.ceil((F.col("frame_no") + 1) / F.lit(step)).cast("long") - 1
     each = near.withColumn("k", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
