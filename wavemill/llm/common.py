@@ -76,7 +76,8 @@ _HELD: dict = {}
 
 
 def per_worker(kind: str, build: Callable, *made_from) -> object:
-    """The object build(*made_from), kept by the Python worker for its next tasks; one of each kind."""
+    """The object build(*made_from), kept by the Python worker for its next tasks. A worker holds one at a time, so that the operators of a pipeline don't add up."""
     if kind not in _HELD or _HELD[kind][0] != made_from:
+        _HELD.clear()
         _HELD[kind] = made_from, build(*made_from)
     return _HELD[kind][1]

@@ -34,7 +34,7 @@ _RNG = np.random.default_rng(20_240_607)
 _WEIGHTS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(1, 2**31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SLOTS, dtype=np.uint32)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 300_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

@@ -147,7 +147,7 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 class _Encoder:
     """Ids of texts in one Python worker. White space ends every pre-token of this vocabulary, so ids are looked up by white-space piece."""
 
-    CACHE = 400_000
+    CACHE = 200_000
 
     def __init__(self, spec: str):
         import regex
@@ -205,7 +205,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # fixed size: one vocabulary
-    small_batches(spark, 2000)
+    small_batches(spark, 1500)
     end = np.asarray([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
