@@ -22,7 +22,7 @@ from wavemill.llm.common import materialise, small_batches, texts, utf8
 
 WINDOW = 10
 #: Bytes of text in a segment, but for the document that ends it.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Windows that are searched at once; further ones take further passes over the index.
 WINDOWS_A_PASS = 200_000
 #: 0-9, a-z, A-Z (in lower case) and every byte of a non-ASCII character make words; all else parts them.

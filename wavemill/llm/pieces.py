@@ -13,7 +13,7 @@ class PieceTable:
     """make(pieces) gives the sizes and the joined numbers of pieces that aren't known. The pieces met first, which are the
     frequent ones, are kept, up to `limit` and the batch that passes it."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 200_000):
         self.make, self.limit = make, limit
         self.words = pa.array([], pa.string())
         self.size = self.begin = np.zeros(0, np.int64)

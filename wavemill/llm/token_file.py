@@ -205,7 +205,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # fixed size: one vocabulary
-    small_batches(spark, 1500)
+    small_batches(spark, 500)
     end = np.asarray([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
