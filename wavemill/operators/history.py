@@ -72,6 +72,7 @@ INTERPOLATORS = {
     "linear": lambda x0, x1, x2, x3, t: x1 + t * (x2 - x1),
     "hermite": lambda x0, x1, x2, x3, t: x1 + t * (x2 - x0) / 2 + t * t * (x0 - 2.5 * x1 + 2 * x2 - 0.5 * x3) + t * t * t * (1.5 * (x1 - x2) + 0.5 * (x3 - x0)),
     "bspline": lambda x0, x1, x2, x3, t: ((x0 + 4 * x1 + x2) + 3 * t * (x2 - x0) + 3 * t * t * (x0 - 2 * x1 + x2) + t * t * t * (x3 - x0 + 3 * (x1 - x2))) / 6,
+    "parabolic": lambda x0, x1, x2, x3, t: 0.5 * x1 + 0.25 * (x0 + x2) + t * 0.5 * (x2 - x0) + t * t * 0.25 * (x3 - x1 - x2 + x0),
     "lagrange": lambda x0, x1, x2, x3, t: x0 * (-t * (t - 1) * (t - 2) / 6) + x1 * ((t + 1) * (t - 1) * (t - 2) / 2) + x2 * (-t * (t + 1) * (t - 2) / 2) + x3 * (t * (t + 1) * (t - 1) / 6),
 }
 

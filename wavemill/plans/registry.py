@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions import formats, text
-from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral
+from wavemill.functions import formats, metadata, text
+from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -120,7 +120,7 @@ _user("quality", lambda r: history.quality(r.withColumn("x", F.when(F.col("x") <
  b AS (SELECT stream_id, count(*) AS n FROM (SELECT stream_id, g, count(*) AS c FROM (SELECT stream_id, frame_no - row_number() {_OVER}) AS g FROM f WHERE l) GROUP BY 1, 2) WHERE c >= 2 GROUP BY 1)
  SELECT stream_id, count(*) AS frames, count(*) FILTER (jump) AS clicks, coalesce(any_value(a.n), 0) AS dropouts, coalesce(any_value(b.n), 0) AS clippings FROM f LEFT JOIN a USING (stream_id) LEFT JOIN b USING (stream_id) GROUP BY 1""")
 _user("pid", lambda r: history.pid(r, 10000, 0.1, 50000, -50000, 0.5, 0.1, 0.01).select("stream_id", "frame_no", F.round("y", 4).alias("y")), f", e AS (SELECT *, 10000.0::DOUBLE - x AS e FROM eu) SELECT stream_id, frame_no, round(least(greatest(0.5 * e + 0.1 * sum(e) {_OVER}) * 0.1 + 0.01 * (e - coalesce(lag(e) {_OVER}), 0)) / 0.1, -50000.0::DOUBLE), 50000.0::DOUBLE), 4) AS y FROM e")
-_INTER = {"linear": "x1 + t * (x2 - x1)", "hermite": "x1 + t * (x2 - x0) / 2 + t * t * (x0 - 2.5 * x1 + 2 * x2 - 0.5 * x3) + t * t * t * (1.5 * (x1 - x2) + 0.5 * (x3 - x0))", "bspline": "((x0 + 4 * x1 + x2) + 3 * t * (x2 - x0) + 3 * t * t * (x0 - 2 * x1 + x2) + t * t * t * (x3 - x0 + 3 * (x1 - x2))) / 6", "lagrange": "x0 * (-t * (t - 1) * (t - 2) / 6) + x1 * ((t + 1) * (t - 1) * (t - 2) / 2) + x2 * (-t * (t + 1) * (t - 2) / 2) + x3 * (t * (t + 1) * (t - 1) / 6)"}
+_INTER = {"parabolic": "0.5::DOUBLE * x1 + 0.25::DOUBLE * (x0 + x2) + t * 0.5::DOUBLE * (x2 - x0) + t * t * 0.25::DOUBLE * (x3 - x1 - x2 + x0)", "linear": "x1 + t * (x2 - x1)", "hermite": "x1 + t * (x2 - x0) / 2 + t * t * (x0 - 2.5 * x1 + 2 * x2 - 0.5 * x3) + t * t * t * (1.5 * (x1 - x2) + 0.5 * (x3 - x0))", "bspline": "((x0 + 4 * x1 + x2) + 3 * t * (x2 - x0) + 3 * t * t * (x0 - 2 * x1 + x2) + t * t * t * (x3 - x0 + 3 * (x1 - x2))) / 6", "lagrange": "x0 * (-t * (t - 1) * (t - 2) / 6) + x1 * ((t + 1) * (t - 1) * (t - 2) / 2) + x2 * (-t * (t + 1) * (t - 2) / 2) + x3 * (t * (t + 1) * (t - 1) / 6)"}
 for _name, _sql in _INTER.items():
     _user(f"resample_{_name}", lambda r, n=_name: history.resample(r, 0.75, n).withColumn("y", F.round("y", 4)), f", n AS (SELECT stream_id, frame_no, coalesce(lag(x) {_OVER}), x) AS x0, x AS x1, lead(x) {_OVER}) AS x2, coalesce(lead(x, 2) {_OVER}), lead(x) {_OVER})) AS x3 FROM eu), g AS (SELECT n.*, k, k * 0.75::DOUBLE - frame_no AS t FROM n JOIN range(0, 4000) r(k) ON floor(k * 0.75::DOUBLE) = frame_no WHERE x2 IS NOT NULL) SELECT stream_id, k AS frame_no, round(({_sql})::DOUBLE, 4) AS y FROM g")
 _half = lambda r: r.withColumn("x", -F.col("x")).filter("frame_no < 20")
@@ -167,3 +167,38 @@ add("csv_lines", lambda s, d: signals.order_frames(s, d).select("stream_id", "fr
 add("base64_text", lambda s, d: signals.table(s, d, "pages").select("page_id", formats.base64_text(F.col("url")).alias("y")), "SELECT page_id, base64(encode(url)) AS y FROM pages")
 add("url_parts", lambda s, d: signals.table(s, d, "pages").select("page_id", *text.url_parts(F.col("url"))), "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
 add("glob_match", lambda s, d: signals.table(s, d, "part").select("p_partkey", text.glob_match(F.col("p_name"), "*a*; b?g*").alias("y")), r"SELECT p_partkey, regexp_full_match(p_name, '.*a.*') OR regexp_full_match(p_name, 'b.g.*') AS y FROM part")
+
+_low = lambda r: r.withColumn("x", F.col("x") - 9000)
+_EDGE = "OVER (PARTITION BY stream_id, frame_no // 8"
+for _side, _pick, _hold in (("start", "first_value", "frame_no >= min"), ("end", "last_value", "frame_no <= max")):
+    _user(f"pops_{_side}", lambda r, s=_side: timeline.remove_pops(_low(r), 8, s), f""", e AS (SELECT stream_id, frame_no, x - 9000 AS x, {_pick}(x - 9000) {_EDGE} ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS edge FROM eu)
+ SELECT stream_id, frame_no, CASE WHEN {_hold}(CASE WHEN sign(edge) * sign(x) <= 0 THEN frame_no END) {_EDGE}) THEN x ELSE 0 END AS x FROM e""")
+_user("fade_tail", lambda r: timeline.fade_tail(r, 20), ", l AS (SELECT stream_id, max(frame_no) AS e, arg_max(x, frame_no) AS v FROM eu GROUP BY 1) SELECT stream_id, frame_no, x FROM eu UNION ALL SELECT stream_id, e + k, trunc(v * (20 - k) / 20.0::DOUBLE)::INTEGER FROM l, range(1, 21) t(k)")
+_user("center_by_first", lambda r: timeline.center_by_first(r, 8), " SELECT stream_id, frame_no, x - m AS x FROM eu JOIN (SELECT stream_id, trunc(avg(x))::INTEGER AS m FROM eu WHERE frame_no < 8 GROUP BY 1) USING (stream_id)")
+_user("active", lambda r: timeline.active(r, 4, 40).select("stream_id", "frame_no", "active"), f" SELECT stream_id, frame_no, max(abs(x)) {_OVER} ROWS 3 PRECEDING) * 100 > 40 * 32767 AS active FROM eu")
+_user("event_time", lambda r: r.select("stream_id", "frame_no", F.unix_micros(timeline.event_time(F.col("frame_no"), 44100)).alias("us")), " SELECT stream_id, frame_no, frame_no * 1000000 // 44100 AS us FROM eu")
+_user("video_frames", lambda r: timeline.video_frames(r, 100, 30), ", g AS (SELECT stream_id, frame_no, (frame_no * 30 + 99) // 100 AS a, (frame_no * 30 + 129) // 100 AS b FROM eu) SELECT stream_id, frame_no, a AS video FROM g WHERE b > a")
+_user("flanger", lambda r: timeline.flanger(r, 0.5, 6, 30, 1000).select("stream_id", "frame_no", "y"), """, d AS (SELECT *, frame_no - floor(round((1 + sin(frame_no * (2 * pi() * 30 / 1000))) * 3, 6))::BIGINT AS f FROM eu)
+ SELECT d.stream_id, d.frame_no, trunc(least(greatest(d.x + 0.5::DOUBLE * coalesce(eu.x, 0), -32767), 32767))::INTEGER AS y FROM d LEFT JOIN eu ON eu.stream_id = d.stream_id AND eu.frame_no = d.f""")
+add("sequence_gaps", lambda s, d: timeline.sequence_gaps(signals.table(s, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"))), "SELECT * FROM (SELECT user_id AS stream_id, event_id AS seq, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS missing FROM events) WHERE missing > 0")
+_flat("triangle", lambda x, k: timeline.triangle(k, 100), "CASE WHEN (frame_no + 1) % 396 <= 99 THEN (frame_no + 1) % 396 WHEN (frame_no + 1) % 396 <= 297 THEN 198 - (frame_no + 1) % 396 ELSE (frame_no + 1) % 396 - 396 END")
+add("pink_noise", lambda s, d: signals.events_flat(s, d).select("frame_no", timeline.pink_noise(F.col("frame_no"), 10000, 7).alias("y")))
+
+
+def _notes(s, d: str) -> DataFrame:
+    """A note for each order line: quantity sets the pitch, the line's place its start."""
+    q = F.get("samples", 0) / 100
+    return signals.order_frames(s, d).select("stream_id", (F.col("frame_no") * 30).alias("start"), F.lit(40).cast("long").alias("length"), (q * 10).alias("hz"), F.lit(8000.0).alias("amplitude"))
+
+
+add("synthesizer", lambda s, d: timeline.synthesize(_notes(s, d), 8000), f"""WITH {LO}, n AS (SELECT stream_id, frame_no * 30 AS start, c0 / 100.0::DOUBLE * 10 AS hz FROM lo),
+ e AS (SELECT *, CASE WHEN k >= 40 THEN greatest(0.0::DOUBLE, 0.8::DOUBLE * (1 - (k - 40) / 20.0::DOUBLE)) WHEN k < 10 THEN k / 10.0::DOUBLE WHEN k < 20 THEN 1 - (1 - 0.8::DOUBLE) * (k - 10) / 10.0::DOUBLE ELSE 0.8::DOUBLE END AS g FROM n, range(0, 60) t(k))
+ SELECT stream_id, start + k AS frame_no, trunc(sum(trunc(round(8000.0::DOUBLE * sin(k * hz * (2 * pi() / 8000)) * g, 6))::BIGINT) / count(*))::INTEGER AS x FROM e GROUP BY 1, 2""")
+_TUNE = [("8c#", 0.5, 1), ("e6", 1, 16), ("4p", 1, None), ("2h.", 3, 11)]
+add("ringtone_notes", lambda s, d: metadata.ringtone_notes(signals.table(s, d, "customer").select(F.col("c_custkey").alias("tune_id"), F.concat("c_name", F.lit(":d=4,o=5,b="), F.col("c_nationkey") + 60, F.lit(":" + ",".join(n for n, *_ in _TUNE))).alias("text"))).select("tune_id", "k", F.round("start_ms", 4).alias("start_ms"), F.round("ms", 4).alias("ms"), F.round("hz", 4).alias("hz")),
+    "WITH t AS (SELECT c_custkey AS tune_id, 60000.0::DOUBLE / (c_nationkey + 60) AS beat FROM customer), n(k, beats, above, past) AS (VALUES " + ", ".join(f"({k}, {b}::DOUBLE, {'NULL' if s is None else s}::DOUBLE, {sum(p for _, p, _ in _TUNE[:k])}::DOUBLE)" for k, (_, b, s) in enumerate(_TUNE)) + ") SELECT tune_id, k, round(beat * past, 4) AS start_ms, round(beat * beats, 4) AS ms, round(CASE WHEN above IS NULL THEN 0 ELSE 440 * pow(2.0::DOUBLE, (above - 9) / 12 + 1) END, 4) AS hz FROM t, n")
+add("type_by_name", lambda s, d: signals.table(s, d, "part").select("p_partkey", metadata.type_by_name(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ".MP3").otherwise(".xyz"))).alias("y")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'audio/mpeg' END AS y FROM part")
+add("http_request", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_request(F.concat(F.lit("GET /"), "page_id", F.lit(" HTTP/1.1")))), "SELECT page_id, 'GET' AS method, '/' || page_id AS path, 'HTTP/1.1' AS protocol FROM pages")
+add("http_status", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_status(F.concat(F.lit("HTTP/1.1 "), 200 + F.col("page_id") % 300, F.lit(" All fine")))), "SELECT page_id, 'HTTP/1.1' AS protocol, (200 + page_id % 300)::INTEGER AS code, 'All fine' AS reason FROM pages")
+add("http_header", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.http_header(F.concat(F.lit("Host: x\r\ncontent-location: "), "url", F.lit("\r\n")), "Content-Location").alias("y")), "SELECT page_id, trim(url) AS y FROM pages")
+add("hdlc_frame", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.hdlc_frame(F.encode("url", "utf-8")).alias("y")))
