@@ -210,3 +210,40 @@ def compressor(rate: float, attack_ms: float = 30, release_ms: float = 20, hold_
         return step
 
     return make
+
+
+def ring_pitch(shift: float, size: int = 1000) -> Maker:
+    """Pitch times `shift`: a ring of `size` samples is written at speed one and read at speed `shift`, at the nearest place."""
+
+    def make() -> Callable[[float], float]:
+        ring, write, read = [0.0] * size, 0, 0.0
+
+        def step(x: float) -> float:
+            nonlocal write, read
+            ring[write] = x
+            write = (write + 1) % size
+            y = ring[int(read)]
+            read = (read + shift) % size
+            return y
+
+        return step
+
+    return make
+
+
+def filtered_delay(frames: int, inner: Maker, feedback: float = 0.5) -> Maker:
+    """x plus the end of a line of `frames` samples that takes x and its own end through the inner filter."""
+
+    def make() -> Callable[[float], float]:
+        line, at, filtered = [0.0] * max(1, frames), 0, inner()
+
+        def step(x: float) -> float:
+            nonlocal at
+            old = line[at]
+            line[at] = x + feedback * filtered(old)
+            at = (at + 1) % len(line)
+            return x + old
+
+        return step
+
+    return make

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions import formats, metadata, text
+from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
 from wavemill.sources import signals
 
@@ -202,3 +202,9 @@ add("http_request", lambda s, d: signals.table(s, d, "pages").select("page_id",
 add("http_status", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_status(F.concat(F.lit("HTTP/1.1 "), 200 + F.col("page_id") % 300, F.lit(" All fine")))), "SELECT page_id, 'HTTP/1.1' AS protocol, (200 + page_id % 300)::INTEGER AS code, 'All fine' AS reason FROM pages")
 add("http_header", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.http_header(F.concat(F.lit("Host: x\r\ncontent-location: "), "url", F.lit("\r\n")), "Content-Location").alias("y")), "SELECT page_id, trim(url) AS y FROM pages")
 add("hdlc_frame", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.hdlc_frame(F.encode("url", "utf-8")).alias("y")))
+_recursive("ring_pitch", recursive.ring_pitch(1.5, 16))
+_recursive("filtered_delay", recursive.filtered_delay(8, recursive.biquad_df2(_b, _a)))
+_files = lambda s, d, c: signals.table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), c.alias("content"))
+add("http_chunks", lambda s, d: containers.http_chunks(_files(s, d, F.encode(F.concat(F.lower(F.hex(F.length("url"))), F.lit("\r\n"), "url", F.lit("\r\n5\r\n tail\r\n0\r\n\r\n")), "utf-8"))).select("path", "k", F.decode("chunk", "utf-8").alias("chunk")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN url ELSE ' tail' END AS chunk FROM pages, range(0, 2) t(k)")
+add("icy_parts", lambda s, d: containers.icy_parts(_files(s, d, F.encode(F.concat(F.lit("x" * 8 + chr(2)), F.rpad(F.concat(F.lit("StreamTitle='"), "page_id", F.lit("';")), 32, chr(0)), F.lit("yyy")), "utf-8")), 8).select("path", "k", F.length("audio").alias("n"), metadata.stream_title(F.col("metadata")).alias("title")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN 8 ELSE 3 END AS n, CASE WHEN k = 0 THEN page_id::VARCHAR END AS title FROM pages, range(0, 2) t(k)")
+_flat("hamming", lambda x, k: containers.hamming_decode(containers.hamming_encode(x.bitwiseAND(15)).bitwiseXOR(F.lit(4))), "x & 15")
