@@ -14,7 +14,7 @@ from wavemill.operators.timeline import event_time
 
 
 def bin_stream(rows: DataFrame, n: int, rate: int, late: str = "10 seconds", average: bool = False) -> DataFrame:
-    """Sums or truncated means of n frames of (stream_id, frame_no, x), by the media clock of `rate`. A block goes out, and its state goes, once the watermark passes it; incomplete ones are left out. A second must hold a whole number of blocks, or a block of seconds."""
+    """Sums or truncated means of n frames of (stream_id, frame_no, x), by the media clock of `rate`. A block goes out, and its state goes, once the watermark passes it; incomplete ones are left out. A block must last a whole number of microseconds."""
     width = n * 1_000_000 // rate
     if n < 1 or n * 1_000_000 % rate:
         raise ValueError("a block must last a whole number of microseconds")
