@@ -129,3 +129,58 @@ def hamming_decode(code: Column) -> Column:
         wrong = wrong.bitwiseXOR(b * k)
     right = [b.bitwiseXOR((wrong == k).cast("int")) for k, b in enumerate(bits, 1)]
     return right[2] + right[4] * 2 + right[5] * 4 + right[6] * 8
+
+
+def _padded(content: Column) -> Column:
+    """Zero bytes up to the next multiple of four."""
+    return F.concat(content, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(content), F.lit(4)))))
+
+
+def _osc_text(text: Column) -> Column:
+    return _padded(F.concat(F.encode(text, "utf-8"), F.unhex(F.lit("00"))))
+
+
+def _big_endian(value: Column, size: int) -> Column:
+    return F.unhex(F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size))
+
+
+def osc_message(address: Column, kinds: str, values: list[Column]) -> Column:
+    """A message with an address and values of kinds i (32 bits), h and t (64 bits), s (text) and b (bytes), big-endian, in units of four bytes."""
+    parts = [_osc_text(address), _osc_text(F.lit("," + kinds))]
+    for kind, value in zip(kinds, values, strict=True):
+        if kind == "b":
+            parts.append(F.concat(_big_endian(F.length(value), 4), _padded(value)))
+        else:
+            parts.append(_osc_text(value) if kind == "s" else _big_endian(value, 4 if kind == "i" else 8))
+    return F.concat(*parts)
+
+
+def osc_values(content: Column, kinds: str) -> list[Column]:
+    """Of messages: address, format, and the values v0, v1, ... by kinds; values are null where the format is another one."""
+    text = F.decode(content, "ISO-8859-1")
+
+    def string(at: Column) -> tuple[Column, Column]:
+        """The bytes up to the next zero byte, and what they take."""
+        n = F.locate("\0", F.substr(text, at + 1)) - 1
+        return F.decode(F.substr(content, at + 1, n), "utf-8"), (F.floor(n / 4) * 4 + 4).cast("int")
+
+    def number(at: Column, size: int) -> Column:
+        whole = F.conv(F.hex(F.substr(content, at + 1, F.lit(size))), 16, -10).cast("long")
+        return F.when(whole >= 2**31, whole - 2**32).otherwise(whole) if size == 4 else whole
+
+    address, size = string(F.lit(0))
+    layout, more = string(size)
+    at, out = size + more, [address.alias("address"), F.substring(layout, 2, 1000).alias("format")]
+    same = layout == F.lit("," + kinds)
+    for k, kind in enumerate(kinds):
+        if kind == "s":
+            value, size = string(at)
+        elif kind == "b":
+            n = number(at, 4).cast("int")
+            value, size = F.substr(content, at + 5, n), 4 + n + F.pmod(-n, F.lit(4))
+        else:
+            size = 4 if kind == "i" else 8
+            value = number(at, size)
+        out.append(F.when(same, value).alias(f"v{k}"))
+        at = at + size
+    return out

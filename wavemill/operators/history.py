@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -85,3 +87,30 @@ def resample(rows: DataFrame, step: float, kind: str = "linear") -> DataFrame:
     each = near.withColumn("k", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
     y = INTERPOLATORS[kind](F.col("x0"), F.col("x1"), F.col("x2"), F.col("x3"), F.col("k") * F.lit(step) - F.col("frame_no"))
     return each.select("stream_id", F.col("k").alias("frame_no"), y.alias("y"))
+
+
+def band_kernel(gains_db: list[float], rate: float, taps: int) -> list[int]:
+    """A kernel in 1/32768 of a graphic equalizer: unity plus, for each band of at least 0.1 dB, a windowed band-pass that is
+    scaled to the band's gain at its centre. Centres lie evenly in log frequency between 20 Hz and rate / 2 (one band: in the
+    middle); a band is an octave wide, or 4 * rate / taps where that is more. Gains are held to -90..12 dB."""
+    n = np.arange(taps) - (taps - 1) // 2
+    centres = np.geomspace(20, rate / 2, len(gains_db)) if len(gains_db) > 1 else np.array([math.sqrt(10 * rate)])
+    kernel = (n == 0).astype(float)
+    for hz, db in zip(centres, np.clip(gains_db, -90, 12), strict=True):
+        if abs(db) < 0.1:
+            continue
+        wider = max(0.0, (4 * rate / taps - 0.707 * hz) / 2)
+        low, high = 0.707 * hz - wider, 1.414 * hz + wider
+        low, high = np.clip([max(low, 1.0) if wider else low, high], 0, rate / 2) / rate
+        if high <= low:
+            continue
+        band = 2 * np.blackman(taps) * (high * np.sinc(2 * high * n) - low * np.sinc(2 * low * n))
+        peak = abs(np.sum(band * np.exp(-2j * np.pi * hz / rate * n)))
+        kernel += band * (10 ** (db / 20) - 1) / (peak if peak > 1e-6 else 1)
+    return [int(k) for k in np.clip(np.trunc(kernel * 32767), -32768, 32767)]
+
+
+def band_equalizer(rows: DataFrame, gains_db: list[float], rate: float, taps: int = 31) -> DataFrame:
+    """The FIR filter of band_kernel() in fixed point: floor of the sum over 32768, clipped to 16 bits."""
+    out = fir(rows, band_kernel(gains_db, rate, taps))
+    return out.withColumn("y", F.greatest(F.least(F.floor(F.col("y") / 32768), F.lit(32767)), F.lit(-32768)))

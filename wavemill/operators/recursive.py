@@ -247,3 +247,31 @@ def filtered_delay(frames: int, inner: Maker, feedback: float = 0.5) -> Maker:
         return step
 
     return make
+
+
+def ring_pitch_faded(shift: float, size: int = 1000) -> Maker:
+    """As ring_pitch, with a second place half a ring away: within a tenth of the ring before the place of writing, the output fades from the place that nears it to the other one."""
+    fade_over = size // 10
+
+    def make() -> Callable[[float], float]:
+        ring, write, read, first = [0.0] * size, 0, 0.0, 1.0
+
+        def step(x: float) -> float:
+            nonlocal write, read, first
+            ring[write] = x
+            write = (write + 1) % size
+            a = math.floor(read + 0.5)
+            b = (a + size // 2) % size
+            if shift != 1 and fade_over:
+                if 0 <= write - a <= fade_over:
+                    first = (write - a) / fade_over
+                if 0 <= write - b <= fade_over:
+                    first = 1 - (write - b) / fade_over
+            read += shift
+            if math.floor(read + 0.5) >= size:
+                read = 0.0
+            return ring[a] * first + ring[b] * (1 - first)
+
+        return step
+
+    return make

@@ -95,3 +95,20 @@ def pink_noise(frame_no: Column, amplitude: int, seed: int, rows: int = 5) -> Co
     """Mean of `rows` random values, the k-th of which is drawn anew every 2^k frames. A hash of the position draws it, so there is no state and reruns agree."""
     drawn = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.shiftright(frame_no, k)), F.lit(2**20)) / F.lit(2.0**19) - 1 for k in range(rows)]
     return truncate(sum(drawn[1:], drawn[0]) / rows * amplitude)
+
+
+def noise_lfo(frame_no: Column, period: int, seed: int) -> Column:
+    """A random signal in [0, 1]: a hash of the position draws a value every `period` frames, straight lines join them."""
+    at = F.floor(frame_no / F.lit(period)).cast("long")
+    drawn = [F.pmod(F.xxhash64(F.lit(seed), at + k), F.lit(2**20)) / F.lit(2.0**20) for k in (0, 1)]
+    part = (frame_no - at * period) / F.lit(float(period))
+    return drawn[0] + (drawn[1] - drawn[0]) * part
+
+
+def chorus(rows: DataFrame, lfo: Column, base: float, swing: float) -> DataFrame:
+    """The signal base + swing * lfo frames before (lfo in 0..1), between two frames by a straight line; frames before the first are 0. Nothing of the undelayed signal is added."""
+    past = F.collect_list("x").over(stream().rowsBetween(-math.ceil(base + swing) - 1, 0))
+    late = F.round(F.lit(float(base)) + F.lit(float(swing)) * lfo, 6)
+    whole = F.floor(late).cast("int")
+    near, far = (F.coalesce(F.get(past, F.size(past) - 1 - whole - k), F.lit(0)) for k in (0, 1))
+    return rows.withColumn("y", near + (far - near) * (late - whole))

@@ -208,3 +208,13 @@ _files = lambda s, d, c: signals.table(s, d, "pages").select(F.col("page_id").ca
 add("http_chunks", lambda s, d: containers.http_chunks(_files(s, d, F.encode(F.concat(F.lower(F.hex(F.length("url"))), F.lit("\r\n"), "url", F.lit("\r\n5\r\n tail\r\n0\r\n\r\n")), "utf-8"))).select("path", "k", F.decode("chunk", "utf-8").alias("chunk")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN url ELSE ' tail' END AS chunk FROM pages, range(0, 2) t(k)")
 add("icy_parts", lambda s, d: containers.icy_parts(_files(s, d, F.encode(F.concat(F.lit("x" * 8 + chr(2)), F.rpad(F.concat(F.lit("StreamTitle='"), "page_id", F.lit("';")), 32, chr(0)), F.lit("yyy")), "utf-8")), 8).select("path", "k", F.length("audio").alias("n"), metadata.stream_title(F.col("metadata")).alias("title")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN 8 ELSE 3 END AS n, CASE WHEN k = 0 THEN page_id::VARCHAR END AS title FROM pages, range(0, 2) t(k)")
 _flat("hamming", lambda x, k: containers.hamming_decode(containers.hamming_encode(x.bitwiseAND(15)).bitwiseXOR(F.lit(4))), "x & 15")
+_gains, _taps = [6.0, 0.0, -12.0, 3.0], 15
+_user("band_equalizer", lambda r: history.band_equalizer(r, _gains, 44100, _taps).select("stream_id", "frame_no", "y"), " SELECT stream_id, frame_no, least(greatest(floor((" + " + ".join(f"coalesce(lag(x, {k}) {_OVER}), 0) * ({b})" for k, b in enumerate(history.band_kernel(_gains, 44100, _taps))) + ") / 32768.0::DOUBLE), -32768), 32767)::BIGINT AS y FROM eu")
+_user("chorus", lambda r: timeline.chorus(r, F.col("frame_no") * 7 % 10 / 10, 3, 4).select("stream_id", "frame_no", F.round("y", 4).alias("y")), """, d AS (SELECT *, round(3.0::DOUBLE + 4.0::DOUBLE * (frame_no * 7 % 10 / 10.0::DOUBLE), 6) AS late FROM eu)
+ SELECT d.stream_id, d.frame_no, round(coalesce(a.x, 0) + (coalesce(b.x, 0) - coalesce(a.x, 0)) * (late - floor(late)), 4) AS y FROM d
+ LEFT JOIN eu a ON a.stream_id = d.stream_id AND a.frame_no = d.frame_no - floor(late)::BIGINT LEFT JOIN eu b ON b.stream_id = d.stream_id AND b.frame_no = d.frame_no - floor(late)::BIGINT - 1""")
+add("noise_lfo", lambda s, d: signals.events_flat(s, d).select("frame_no", F.round(timeline.noise_lfo(F.col("frame_no"), 50, 7), 6).alias("y")))
+_recursive("ring_pitch_faded", recursive.ring_pitch_faded(1.5, 40))
+_osc = lambda s, d: signals.table(s, d, "pages").select("page_id", containers.osc_message(F.lit("/page"), "ihsb", [-F.col("page_id"), F.col("page_id") * 10_000_000_000, F.col("url"), F.encode("url", "utf-8")]).alias("m"))
+add("osc_message", lambda s, d: _osc(s, d).select("page_id", F.length("m").alias("n"), F.hex(F.substring("m", 1, 28)).alias("head")), "SELECT page_id, (28 + (strlen(url) // 4 + 1) * 4 + 4 + (strlen(url) + 3) // 4 * 4)::INTEGER AS n, hex('/page') || '0000002C' || hex('ihsb') || '000000' || printf('%08X', (4294967296 - page_id) % 4294967296) || printf('%016X', page_id * 10000000000) AS head FROM pages")
+add("osc_values", lambda s, d: _osc(s, d).select("page_id", *containers.osc_values(F.col("m"), "ihsb")).withColumn("v3", F.decode("v3", "utf-8")), "SELECT page_id, '/page' AS address, 'ihsb' AS format, -page_id AS v0, page_id * 10000000000 AS v1, url AS v2, url AS v3 FROM pages")
