@@ -247,3 +247,40 @@ def test_pipeline(spark, tmp_path):
         if name == "decontamination":
             assert at.filter("text like 'alpha beta 1%'").count() == 0 < before.filter("text like 'alpha beta 1%'").count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def plain_losses(docs, target):
+    """(ce_target, ce_background) of each document by bigrams of every word."""
+    from collections import Counter
+    from math import log
+
+    tokens = [["", *(x or "").translate(UPPER).split()] for x in docs]
+    size, means = len({w for t in tokens for w in t[1:]}), []
+    for own in (target, range(len(docs))):
+        n = Counter(p for k in own for p in zip(tokens[k], tokens[k][1:]))
+        follows, kinds, uni = Counter(), Counter(), Counter()
+        for (a, b), c in n.items():
+            follows[a] += c
+            kinds[a] += 1
+            uni[b] += c
+
+        def loss(a, b):
+            p = (0.5 * kinds[a] / follows[a] if follows[a] else 1) * (uni[b] + 1) / (uni.total() + size + 1)
+            return -log(p + ((n[a, b] - 0.5) / follows[a] if n[a, b] else 0))
+
+        means.append([sum(loss(*p) for p in zip(t, t[1:])) / (len(t) - 1) if len(t) > 1 else None for t in tokens])
+    return list(zip(*means))
+
+
+@pytest.mark.parametrize("gather", [50, 4_000_000])
+def test_lm_scores_keep_every_word(spark, monkeypatch, gather):
+    monkeypatch.setattr(lm_score, "GATHER", gather)  # one block a task, or many
+    rng = np.random.default_rng(6)
+    docs = [" ".join(f"r{k}x{v}" for v in rng.integers(0, 400, 40)) for k in range(150)]
+    docs += ["common words", "common words Ünïcode\x00 x", "common common rare1", "common common rare2", None, " ", "common common rare1"]
+    target = [*range(0, 60), 152]
+    rows = lm_score.cross_entropy_difference(table(spark, docs), spark.createDataFrame([(k,) for k in target], "doc_id long")).orderBy("doc_id").collect()
+    assert len({w for x in docs for w in (x or "").split()}) > 4096
+    for r, want in zip(rows, plain_losses(docs, target), strict=True):
+        assert (r.ce_target, r.ce_background) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9)) if want[0] else r.score is None
+    assert rows[152].score < rows[153].score

@@ -1,9 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target set and of all documents (the background), share one vocabulary: the VOCABULARY most
-frequent words of the whole table; every other word is one unknown token. Both have the same form (bigram counts, absolute
-discounting, backing off to add-one unigrams). A document's score is the mean over its tokens of the loss under the target model less the loss
+Two bigram models, of a target set and of all documents (the background), share one vocabulary: every word of the table.
+Both have the same form (bigram counts, absolute discounting, backing off to add-one unigrams, in which one more token stands
+for all unseen ones). A document's score is the mean over its tokens of the loss under the target model less the loss
 under the background model: low scores read like the target.
+
+Counts are rows of Spark tables. Documents are numbered in blocks; a block sends each of its distinct pairs and words once,
+meets the counts over all blocks by shuffles, and its documents' losses are summed where they come back.
 """
 
 from __future__ import annotations
@@ -13,15 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import LOWER, materialise, small_batches, texts, utf8
 
+#: The vocabulary that the query's SQL takes; the operator's own default is every word.
 VOCABULARY = 4096
 DISCOUNT = 0.5
-#: Tokens that a task gathers before it sends its bigram counts on.
-GATHER = 8_000_000
+#: Stands for the words outside a given vocabulary; no word holds white space.
+UNKNOWN = b"\t"
+#: About so many tokens make a block; twelve bytes of text count as one more.
+GATHER = 4_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -29,7 +37,7 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     """The most frequent words over all rows (text), ties by the word's bytes; counts are gathered in tasks and summed by a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,104 +60,138 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
 
 
 class _Ids(dict):
-    def __init__(self, known: list[bytes]):
-        super().__init__((w, k) for k, w in enumerate(known))
-        self.unknown = len(known)
+    """Numbers words within a block as they come; b"" is the start mark, 0. Where `known` is given, every word outside it is UNKNOWN."""
 
-    def __missing__(self, word: bytes) -> int:
-        return self.unknown
+    def __init__(self, known: frozenset | None):
+        super().__init__({b"": 0})
+        self.known, self.words = known, [b""]
 
-    def pairs(self, text: bytes | None) -> np.ndarray:
-        """previous * (size + 2) + token; the first token follows a start mark."""
+    def __missing__(self, word: bytes) -> int:
+        if self.known is not None and word != UNKNOWN and word not in self.known:
+            at = self[UNKNOWN]
+        else:
+            at = len(self.words)
+            self.words.append(word)
+        self[word] = at
+        return at
+
+    def of(self, text: bytes | None) -> np.ndarray:
         found = words(text)
-        ids = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        before = np.concatenate([[self.unknown + 1], ids[:-1]]) if len(ids) else ids
-        return before * (self.unknown + 2) + ids
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
-def bigram_counts(docs: DataFrame, known: list[bytes]) -> DataFrame:
-    """(pair, n_all, n_target) over all rows (text, target boolean)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most VOCABULARY words
+_ENCODED = "block long, kind int, doc_id long, n_tokens long, places binary, code long, key binary, cut int, n_all long, n_target long"
+_DOC, _PAIR, _WORD = 0, 1, 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = _Ids(sent.value), ([], []), 0
 
-        def out() -> pa.RecordBatch:
-            flat = [np.concatenate(h) if h else np.zeros(0, np.int64) for h in held]
-            pair, n = np.unique(np.concatenate(flat), return_counts=True)
-            own, m = np.unique(flat[1], return_counts=True)
-            target = np.zeros(len(pair), np.int64)
-            target[np.searchsorted(pair, own)] = m
-            for h in held:
-                h.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64)), pa.array(target)], ["pair", "n_all", "n_target"])
+def encode(docs: DataFrame, known: list[bytes] | None) -> DataFrame:
+    """Rows (doc_id, text, target) in blocks of about GATHER tokens, each of three kinds of rows.
+
+    A document: doc_id, n_tokens and places, the place of each of its pairs among the block's sorted codes (int32). A distinct pair of
+    the block: code, previous << 32 | token by the block's own numbers; key, both words with a space between; cut, the length
+    of the first; n_all and n_target. A distinct word: its number as code, the word as key.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(known)) if known is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, blocks = TaskContext.get().partitionId() << 32, 0
+        ids, rows, size = None, [], 0
+
+        def batch(n: int, kind: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+            whole = {"block": pa.array(np.full(n, task + blocks)), "kind": pa.array(np.full(n, kind, np.int32))} | columns
+            fields = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in _ENCODED.split(", "))])
+            made = pa.RecordBatch.from_arrays([whole[f.name] if f.name in whole else pa.nulls(n, f.type) for f in fields], schema=fields)
+            return (made.slice(at, 50_000) for at in range(0, n, 50_000))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            n = np.asarray([len(x) for _, _, x in rows], np.int64)
+            flat = np.concatenate([x for _, _, x in rows])
+            before = np.concatenate([[0], flat[:-1]]) if len(flat) else flat
+            before[(np.cumsum(n) - n)[n > 0]] = 0
+            code, place, n_all = np.unique(before << 32 | flat, return_inverse=True, return_counts=True)
+            n_target = np.bincount(place[np.repeat([bool(t) for _, t, _ in rows], n)], minlength=len(code)).astype(np.int64)
+            places = [x.tobytes() for x in np.split(place.astype(np.int32), np.cumsum(n)[:-1])]
+            yield from batch(len(n), _DOC, doc_id=pa.array([d for d, _, _ in rows], pa.int64()), n_tokens=pa.array(n), places=pa.array(places, pa.binary()))
+            own = pa.array(ids.words, pa.binary())
+            for at in range(0, len(code), 500_000):
+                c = code[at : at + 500_000]
+                first, second = own.take(pa.array(c >> 32)), own.take(pa.array(c & 0xFFFFFFFF))
+                key, cut = pc.binary_join_element_wise(first, second, b" "), pc.binary_length(first)
+                yield from batch(len(c), _PAIR, code=pa.array(c), key=key, cut=cut, n_all=pa.array(n_all[at : at + 500_000]), n_target=pa.array(n_target[at : at + 500_000]))
+            yield from batch(len(own), _WORD, code=pa.array(np.arange(len(own))), key=own)
 
         for b in batches:
-            for t, target in zip(utf8(b.column("text")), b.column("target").to_pylist(), strict=True):
-                p = ids.pairs(t)
-                held[bool(target)].append(p)
-                size += len(p)
+            for d, t, target in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("target").to_pylist(), strict=True):
+                ids = ids or _Ids(sent and sent.value)
+                rows.append((d, target, ids.of(t)))
+                size += len(rows[-1][2]) + len(t or b"") // 12
                 if size >= GATHER:
-                    yield out()
-                    size = 0
-        yield out()
+                    yield from out()
+                    ids, rows, size, blocks = None, [], 0, blocks + 1
+        if rows:
+            yield from out()
 
-    counted = docs.select("text", "target").mapInArrow(count, "pair long, n_all long, n_target long")
-    return counted.groupBy("pair").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
+    return docs.select("doc_id", "text", "target").mapInArrow(run, _ENCODED)
 
 
-class _Model:
-    """Losses of pairs under one set of counts."""
+_STATS = ("f_all", "f_target", "k_all", "k_target", "u_all", "u_target")
 
-    def __init__(self, pair: np.ndarray, n: np.ndarray, size: int):
-        own = n > 0
-        self.pair, self.n, self.base = pair[own], n[own].astype(np.float64), size + 2
-        before, token = self.pair // self.base, self.pair % self.base
-        uni = np.bincount(token, self.n, self.base)[: size + 1] + 1.0
-        self.unigram = uni / uni.sum()
-        self.follows = np.bincount(before, self.n, self.base)
-        kinds = np.bincount(before, minlength=self.base)
-        self.back = np.divide(DISCOUNT * kinds, self.follows, out=np.ones(self.base), where=self.follows > 0)
 
-    def loss(self, pairs: np.ndarray) -> np.ndarray:
-        before, token = pairs // self.base, pairs % self.base
-        p = self.back[before] * self.unigram[token]
-        if len(self.pair):
-            at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
-            hit = self.pair[at] == pairs
-            p[hit] += (self.n[at[hit]] - DISCOUNT) / self.follows[before[hit]]
-        return -np.log(p)
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """From distinct pairs (key, cut, n_all, n_target), for each word and each model: f, the tokens that follow it; k, the distinct ones; u, how often it is a token."""
+    none = [F.lit(0).cast("long")] * 4
+    follows = ["n_all", "n_target", F.lit(1).cast("long"), (F.col("n_target") > 0).cast("long")]
+    sides = [
+        [F.expr("substring(key, 1, cut)"), *follows, *none[:2]],
+        [F.expr("substring(key, cut + 2, length(key))"), *none, "n_all", "n_target"],
+    ]
+    sides = [F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(side, ("word", *_STATS), strict=True)]) for side in sides]
+    return pairs.select(F.explode(F.array(*sides)).alias("s")).groupBy("s.word").agg(*[F.sum(f"s.{c}").alias(c) for c in _STATS])
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ce_target, ce_background (nats a token) and score (ce_target - ce_background).
 
     target_ids: (doc_id) of the target set. Texts without words have n_tokens 0 and null losses. An empty target set gives
     the uniform model as target. Rows without a doc_id are background only; repeated rows count and are scored each; an
-    empty table gives an empty result. Other columns are not read. The counts of pairs of shared words reach the driver and
-    every worker: at most (size + 2) squared of them, whatever the input.
+    empty table gives an empty result. Other columns are not read. Where a caller gives a size, words below that rank are
+    one unknown token; the known ones then reach the driver and every worker. Otherwise only three sums reach the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = texts(docs, id_col, text_col)
-    known = vocabulary(own, size)
+    known = None if size is None else vocabulary(own, size)
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
-    counts = materialise(bigram_counts(own.join(marked.hint("merge"), "doc_id", "left"), known), "bigrams")
-    table = counts.orderBy("pair").toArrow()
-    pair, n_all, n_target = (table.column(c).to_numpy() for c in ("pair", "n_all", "n_target"))
-    sent = spark.sparkContext.broadcast((known, pair, n_all.astype(np.int64), n_target.astype(np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pair, n_all, n_target = sent.value
-        ids, models = _Ids(known), [_Model(pair, n, len(known)) for n in (n_target, n_all)]
-        for b in batches:
-            pairs = [ids.pairs(t) for t in utf8(b.column("text"))]
-            n = np.asarray([len(p) for p in pairs], np.int64)
-            flat = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            mean = [np.bincount(row, m.loss(flat), len(n)) / np.maximum(n, 1) for m in models]
-            none = n == 0
-            columns = [b.column("doc_id"), pa.array(n), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    return own.mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    encoded = materialise(encode(own.join(marked.hint("merge"), "doc_id", "left"), known), "blocks")
+    # A block has a pair once, so a key's rows are never more than the blocks. The key's last block brings the pair to word_counts.
+    same = Window.partitionBy("key")
+    last = F.max("block").over(same) == F.col("block")
+    met = encoded.filter(F.col("kind") == _PAIR).select("block", "code", F.sum("n_all").over(same).alias("n_all"), F.sum("n_target").over(same).alias("n_target"), F.when(last, F.col("key")).alias("key"), F.when(last, F.col("cut")).alias("cut"))
+    pairs = materialise(met, "pairs")
+    counts = materialise(word_counts(pairs.filter("key is not null")), "words")
+    n_words, *tokens = (x or 0 for x in counts.agg(F.count(F.when(~F.col("word").isin(b"", UNKNOWN), 1)), F.sum("u_all"), F.sum("u_target")).first())
+    each = encoded.filter(F.col("kind") == _WORD).select("block", (-1 - F.col("code")).alias("code"), F.col("key").alias("word")).join(counts.hint("merge"), "word")
+    pair_rows = pairs.select("block", "code", F.col("n_all").alias("f_all"), F.col("n_target").alias("f_target"), *[F.lit(0).cast("long").alias(c) for c in _STATS[2:]])
+    found = pair_rows.unionByName(each.drop("word"))
+
+    def score(docs: pa.Table, stats: pa.Table) -> pa.Table:
+        code = stats.column("code").to_numpy()
+        order = np.argsort(code, kind="stable")
+        split = int(np.searchsorted(code, 0, sorter=order))
+        value = {c: stats.column(c).to_numpy()[order].astype(np.float64) for c in _STATS}
+        before, token = code[order[split:]] >> 32, code[order[split:]] & 0xFFFFFFFF
+        n = docs.column("n_tokens").to_numpy()
+        place = np.concatenate([np.frombuffer(x, np.int32) for x in docs.column("places").to_pylist()])
+        row, mean = np.repeat(np.arange(len(n)), n), []
+        for model, total in (("target", tokens[1]), ("all", tokens[0])):
+            follows, kinds, uni = (value[f"{c}_{model}"][:split][::-1] for c in "fku")
+            times = value[f"f_{model}"][split:]
+            back = np.divide(DISCOUNT * kinds, follows, out=np.ones(split), where=follows > 0)
+            p = back[before] * ((uni[token] + 1) / (total + n_words + 1))
+            p += np.divide(times - DISCOUNT, follows[before], out=np.zeros(len(p)), where=times > 0)
+            mean.append(np.bincount(row, -np.log(p)[place], len(n)) / np.maximum(n, 1))
+        columns = [docs.column("doc_id"), pa.array(n), *(pa.array(x, mask=n == 0) for x in (mean[0], mean[1], mean[0] - mean[1]))]
+        return pa.table(columns, ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
+
+    blocks = encoded.filter(F.col("kind") == _DOC).select("block", "doc_id", "n_tokens", "places").groupBy("block")
+    return blocks.cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
