@@ -123,3 +123,17 @@ def test_wav_header(spark):
     body = b"RIFF" + (44).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\x01\x00\x02\x00" + (44100).to_bytes(4, "little") + (176400).to_bytes(4, "little") + b"\x04\x00\x10\x00" + b"data" + (8).to_bytes(4, "little") + bytes(8)
     df = spark.createDataFrame([("a", bytearray(body)), ("b", bytearray(b"no"))], "path string, content binary")
     assert [tuple(r) for r in formats.wav_header(df).collect()] == [("a", 2, 44100, 16, 2)]
+
+
+def test_joins_of_streams_read_whole_streams(spark, tmp_path):
+    from wavemill.plans import registry
+
+    x = [(k * 37) % 101 for k in range(90)]
+    spark.createDataFrame([(k, 7, k, v / 100) for k, v in enumerate(x)], "event_id long, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    less = [-v for v in x[2::3]]
+    rows = {n: [r[-1] for r in registry.queries()[f"{n}_whole"](spark, str(tmp_path)).orderBy("frame_no").collect()] for n in ("merge", "mix", "generator_average", "concatenate")}
+    part = lambda v, w: int(v * (w / 150))
+    assert rows["merge"] == [[a, int(b * 0.5)] for a, b in zip(x, less)]
+    assert rows["mix"] == [part(v, 100) + (part(less[k], 50) if k < 30 else 0) for k, v in enumerate(x)]
+    assert rows["generator_average"] == [int((v + less[k]) / 2) if k < 30 else v for k, v in enumerate(x)]
+    assert rows["concatenate"] == less + x

@@ -129,6 +129,12 @@ _user("mix", lambda r: mixing.mix([(r, 100), (_half(r), 50)]), f" SELECT stream_
 _user("generator_average", lambda r: mixing.average([r, _half(r)]), " SELECT stream_id, frame_no, CASE WHEN frame_no < 20 THEN 0 ELSE x END AS x FROM eu")
 _user("concatenate", lambda r: mixing.concatenate([_half(r), r]), " SELECT stream_id, frame_no, -x AS x FROM eu WHERE frame_no < 20 UNION ALL SELECT stream_id, frame_no + n, x FROM eu JOIN (SELECT stream_id, count(*) AS n FROM eu WHERE frame_no < 20 GROUP BY 1) USING (stream_id)")
 
+_less = lambda r: blocks.decimate(r.withColumn("x", -F.col("x")), 3)
+_LESS = ", h AS (SELECT stream_id, frame_no // 3 AS frame_no, -x AS x FROM eu WHERE (frame_no + 1) % 3 = 0)"
+_user("merge_whole", lambda r: mixing.merge([(r, 1.0), (_less(r), 0.5)]), f"{_LESS} SELECT stream_id, frame_no, [eu.x, trunc(h.x * 0.5::DOUBLE)::INTEGER] AS samples FROM eu JOIN h USING (stream_id, frame_no)")
+_user("mix_whole", lambda r: mixing.mix([(r, 100), (_less(r), 50)]), f"{_LESS} SELECT stream_id, frame_no, trunc(eu.x * ({100 / 150!r}::DOUBLE))::BIGINT + coalesce(trunc(h.x * ({50 / 150!r}::DOUBLE))::BIGINT, 0) AS x FROM eu LEFT JOIN h USING (stream_id, frame_no)")
+_user("generator_average_whole", lambda r: mixing.average([r, _less(r)]), f"{_LESS} SELECT stream_id, frame_no, CASE WHEN h.x IS NULL THEN eu.x ELSE trunc((eu.x + h.x) / 2)::INTEGER END AS x FROM eu LEFT JOIN h USING (stream_id, frame_no)")
+_user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS} SELECT stream_id, frame_no, x FROM h UNION ALL SELECT stream_id, frame_no + coalesce(n, 0), x FROM eu LEFT JOIN (SELECT stream_id, count(*) AS n FROM h GROUP BY 1) USING (stream_id)")
 
 def _recursive(name: str, make, digits: int = 4) -> None:
     _user(name, lambda r: recursive.fold(r, make).select("stream_id", "frame_no", F.round("y", digits).alias("y")))
