@@ -284,3 +284,24 @@ def test_lm_scores_keep_every_word(spark, monkeypatch, gather):
     for r, want in zip(rows, plain_losses(docs, target), strict=True):
         assert (r.ce_target, r.ce_background) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-9)) if want[0] else r.score is None
     assert rows[152].score < rows[153].score
+
+
+def test_near_duplicates_confirm_all_that_meet(spark, monkeypatch):
+    def apart(sets):
+        """The same first chunk for every set, all other slots different."""
+        low = np.asarray([int(x.sum(dtype=np.uint64) & np.uint64(0x7FFF)) for x in sets])
+        out = (low[:, None] + np.arange(40) * 769).astype(np.uint16)
+        out[:, :4] = 5
+        return out
+
+    monkeypatch.setattr(near_dup, "signatures", apart)
+    base = " ".join(f"t{k}" for k in range(90))
+    rows = near_dup.near_duplicates(table(spark, [base, base + " more", "other words that stand alone here"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 0, 2]
+
+
+def test_components_never_end_unfinished(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, rounds=2)
+    assert {r.component for r in connected_components(chain).collect()} == {0}

@@ -3,7 +3,7 @@
 A document's signature has SLOTS b-bit minima, cut into CHUNKS chunks. Two signatures that differ in at most
 2 * CHUNKS - 1 slots have, by the pigeonhole principle, a chunk with at most one differing slot. Each chunk is indexed once
 for every slot that may be wrong, under the other slots, so every such pair meets under some key. Documents that meet are
-confirmed on their full shingle sets.
+confirmed on their full shingle sets, however far their signatures are apart.
 
 Equal sets are one class from the start. Under a key each class first meets only the key's smallest class (its hub); keys
 whose classes are then still in several components have all pairs across components compared, in blocks. So a group of n
@@ -18,7 +18,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import LOWER, materialise, per_worker, small_batches, texts, utf8
@@ -27,8 +27,6 @@ from wavemill.llm.components import connected_components
 SHINGLE = 5
 CHUNKS, CHUNK = 10, 4
 SLOTS = CHUNKS * CHUNK
-#: Pairs of signatures that differ in at most so many slots are all found.
-MAX_DISTANCE = 2 * CHUNKS - 1
 BLOCK = 256
 _RNG = np.random.default_rng(20_240_607)
 _WEIGHTS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,11 +95,11 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), SLOTS)
 
 
-SIGNED = "doc_id long, n_shingles long, cls binary, sig array<int>, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, cls binary, keys array<long>"
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of shingles, class (128 bits of the set; null if empty), signature and index keys."""
+    """Per document: number of shingles, class (128 bits of the set; null if empty) and index keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,24 +111,19 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 sets = [shingle_set(t, words) for t in utf8(b.column("text"))]
                 full = [s for s in sets if len(s)]
                 n = np.asarray([len(s) for s in sets])
-                cls, sig, keys = [None] * len(sets), pa.nulls(len(sets), pa.list_(pa.int32())), pa.nulls(len(sets), pa.list_(pa.int64()))
+                cls, keys = [None] * len(sets), pa.nulls(len(sets), pa.list_(pa.int64()))
                 if full:
                     ids = iter([int(np.sum(s, dtype=np.uint64)).to_bytes(8, "little") + int(np.sum(_mix(s + np.uint64(len(s))), dtype=np.uint64)).to_bytes(8, "little") for s in full])
                     cls = [next(ids) if k else None for k in n]
                     found = signatures(full)
                     off = np.concatenate([[0], np.cumsum(np.where(n > 0, SLOTS, 0))]).astype(np.int32)
                     off = pa.array(off, mask=np.append(n == 0, False))
-                    sig = pa.ListArray.from_arrays(off, pa.array(found.astype(np.int32).ravel()))
                     keys = pa.ListArray.from_arrays(off, pa.array(chunk_keys(found).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), sig, keys], ["doc_id", "n_shingles", "cls", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], ["doc_id", "n_shingles", "cls", "keys"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, SIGNED)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def _confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. A text that many pairs need is repeated for every 1000 of them."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
@@ -244,20 +237,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     signed = materialise(sign(docs, id_col, text_col), "signed")
-    classes = signed.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = signed.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = materialise(classes, "classes")
-    sizes = classes.select("node", "n", "sig")
+    sizes = classes.select("node", "n")
     index = classes.select("node", F.explode("keys").alias("key"))
     hubs = index.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("held")).filter("held > 1").drop("held")
     pairs = index.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
 
     def close(pairs: DataFrame) -> DataFrame:
-        """Only pairs whose sizes and signatures allow a link."""
-        a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        """Only pairs whose sizes allow a link."""
+        a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
         fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return both.filter(fits & (_distance(F.col("sig_a"), F.col("sig_b")) <= MAX_DISTANCE)).select("a", "b").distinct()
+        return both.filter(fits).select("a", "b").distinct()
 
     # the texts of candidates leave the table in one shuffle, by the same plan at every size
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
