@@ -305,3 +305,9 @@ def test_components_never_end_unfinished(spark):
     with pytest.raises(RuntimeError):
         connected_components(chain, rounds=2)
     assert {r.component for r in connected_components(chain).collect()} == {0}
+
+
+def test_near_matches_stay_in_a_document(spark):
+    docs = table(spark, ["a b two", "nine c d", "two x nine", "nine", "nine y y two"])
+    near = decontaminate.match_near(decontaminate.build_index(docs.coalesce(1)), decontaminate.windows(spark.createDataFrame([(1, "two nine")], "item_id long, text string")), 7)
+    assert sorted(r.place for r in near.collect()) == [2, 4]

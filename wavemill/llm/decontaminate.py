@@ -90,14 +90,16 @@ class _Postings:
             starts = starts[other[np.minimum(at, len(other) - 1)] == starts + k]
         return starts
 
-    def near(self, terms: list[int], slop: int) -> np.ndarray:
-        """Positions of the rarest term that have every other term at most slop positions away."""
+    def near(self, terms: list[int], slop: int, begin: np.ndarray) -> np.ndarray:
+        """Positions of the rarest term that have every other term at most slop positions away in the same document; begin: where documents begin."""
         order = sorted(set(terms), key=lambda t: len(self.lists[t]))
         at = self.lists[order[0]].astype(np.int64)
         for t in order[1:]:
             other = self.lists[t].astype(np.int64)
-            k = np.searchsorted(other, at - slop)
-            at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= at + slop)]
+            doc = np.searchsorted(begin, at, "right")
+            k = np.searchsorted(other, np.maximum(at - slop, begin[doc - 1]))
+            end = np.append(begin, np.iinfo(np.int64).max)[doc]
+            at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= np.minimum(at + slop, end - 1))]
         return at
 
 
@@ -146,7 +148,7 @@ def _search(index: DataFrame, asked: DataFrame, slop: int | None) -> DataFrame:
                     hits: dict[tuple[int, int], set] = defaultdict(set)
                     for i in np.flatnonzero(present[matrix].all(axis=1)) if len(rows) else ():
                         item, terms = rows[i]
-                        starts = postings.phrase(terms) if slop is None else postings.near(terms, slop)
+                        starts = postings.phrase(terms) if slop is None else postings.near(terms, slop, begin)
                         for doc, at in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
                             hits[doc, item].update(range(at - int(begin[doc]), at - int(begin[doc]) + (len(terms) if slop is None else 1)))
                     out = [(s["segment"], d, item, len(h), np.asarray(sorted(h), "<u4").tobytes()) for (d, item), h in hits.items()]
