@@ -97,3 +97,9 @@ def test_stream_fold_equals_batch_fold(spark, tmp_path):
     got = values(_run(stateful.fold_stream(_stream(spark, str(tmp_path / "in"), [(0, xs[:4]), (4, xs[4:])]), (0.0,), step), "folds", tmp_path), "frame_no", "y")
     want = values(recursive.fold(long(spark, xs), recursive.iir([0.1], [1.0, -0.9])), "frame_no", "y")
     assert got == pytest.approx(want)
+
+
+def test_types_of_all_extensions(spark):
+    want = {"a.WMA": "audio/x-ms-wma", "a.m4a": "audio/m4a", "a.wav": "audio/vnd.wave", "a.opus": "audio/ogg; codecs=opus", "a.b.ts": "video/MP2T", "a.caf": "audio/x-caf", "a.": None, "mp3": None, "a.xyz": None}
+    rows = spark.createDataFrame([(n,) for n in want], "n string").select("n", metadata.type_by_name(F.col("n")).alias("y")).collect()
+    assert {r.n: r.y for r in rows} == want and len(metadata.TYPES) == 35

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavemill.functions.formats import little_endian
 
 #: Media types by file extension (fixed values).
-TYPES = {"aac": "audio/aac", "aif": "audio/aiff", "aiff": "audio/aiff", "flac": "audio/flac", "m3u8": "application/vnd.apple.mpegurl", "m4a": "audio/mp4", "mid": "audio/midi", "mp3": "audio/mpeg", "mp4": "video/mp4", "oga": "audio/ogg", "ogg": "audio/ogg", "opus": "audio/opus", "wav": "audio/wav"}
+TYPES = {"aac": "audio/aac", "ac3": "audio/ac3", "aiff": "audio/aiff", "aif": "audio/aiff", "aifc": "audio/aiff", "alac": "audio/alac", "amr": "audio/amr", "au": "audio/basic", "caf": "audio/x-caf", "dts": "audio/vnd.dts", "flac": "audio/flac", "m3u": "audio/x-mpegurl", "m3u8": "application/vnd.apple.mpegurl", "m4a": "audio/m4a", "mid": "audio/midi", "midi": "audio/midi", "mka": "audio/x-matroska", "mkv": "video/x-matroska", "mp2": "audio/mpeg", "mp2t": "video/MP2T", "mp3": "audio/mpeg", "mp4": "video/mp4", "mpeg": "audio/mpeg", "oga": "audio/ogg", "ogg": "audio/ogg", "ogv": "video/ogg", "opus": "audio/ogg; codecs=opus", "sid": "audio/prs.sid", "spx": "audio/ogg; codecs=spx", "ts": "video/MP2T", "vorbis": "audio/ogg; codec=vorbis", "wave": "audio/vnd.wave", "wav": "audio/vnd.wave", "webm": "video/webm", "wma": "audio/x-ms-wma"}
 
 
 def type_by_name(name: Column) -> Column:

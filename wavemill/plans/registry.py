@@ -204,6 +204,8 @@ _TUNE = [("8c#", 0.5, 1), ("e6", 1, 16), ("4p", 1, None), ("2h.", 3, 11)]
 add("ringtone_notes", lambda s, d: metadata.ringtone_notes(signals.table(s, d, "customer").select(F.col("c_custkey").alias("tune_id"), F.concat("c_name", F.lit(":d=4,o=5,b="), F.col("c_nationkey") + 60, F.lit(":" + ",".join(n for n, *_ in _TUNE))).alias("text"))).select("tune_id", "k", F.round("start_ms", 4).alias("start_ms"), F.round("ms", 4).alias("ms"), F.round("hz", 4).alias("hz")),
     "WITH t AS (SELECT c_custkey AS tune_id, 60000.0::DOUBLE / (c_nationkey + 60) AS beat FROM customer), n(k, beats, above, past) AS (VALUES " + ", ".join(f"({k}, {b}::DOUBLE, {'NULL' if s is None else s}::DOUBLE, {sum(p for _, p, _ in _TUNE[:k])}::DOUBLE)" for k, (_, b, s) in enumerate(_TUNE)) + ") SELECT tune_id, k, round(beat * past, 4) AS start_ms, round(beat * beats, 4) AS ms, round(CASE WHEN above IS NULL THEN 0 ELSE 440 * pow(2.0::DOUBLE, (above - 9) / 12 + 1) END, 4) AS hz FROM t, n")
 add("type_by_name", lambda s, d: signals.table(s, d, "part").select("p_partkey", metadata.type_by_name(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ".MP3").otherwise(".xyz"))).alias("y")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'audio/mpeg' END AS y FROM part")
+_names = [*metadata.TYPES, "xyz"]
+add("types_by_name", lambda s, d: signals.table(s, d, "part").select("p_partkey", metadata.type_by_name(F.concat("p_name", F.lit("."), F.get(F.array(*map(F.lit, _names)), (F.col("p_partkey") % len(_names)).cast("int")))).alias("y")), f"SELECT p_partkey, {[*metadata.TYPES.values(), '']}[p_partkey % {len(_names)} + 1] AS y FROM part".replace("''", "NULL"))
 add("http_request", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_request(F.concat(F.lit("GET /"), "page_id", F.lit(" HTTP/1.1")))), "SELECT page_id, 'GET' AS method, '/' || page_id AS path, 'HTTP/1.1' AS protocol FROM pages")
 add("http_status", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_status(F.concat(F.lit("HTTP/1.1 "), 200 + F.col("page_id") % 300, F.lit(" All fine")))), "SELECT page_id, 'HTTP/1.1' AS protocol, (200 + page_id % 300)::INTEGER AS code, 'All fine' AS reason FROM pages")
 add("http_header", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.http_header(F.concat(F.lit("Host: x\r\ncontent-location: "), "url", F.lit("\r\n")), "Content-Location").alias("y")), "SELECT page_id, trim(url) AS y FROM pages")
