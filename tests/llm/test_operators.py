@@ -192,6 +192,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [line, line], [None, 1])).filter("n_removed > 0").count() == 0
 
 
+def test_line_dedup_on_random_lines(spark):
+    """Lines of a small vocabulary with edits, against a comparison of every pair of lines."""
+    rng = np.random.default_rng(8)
+    texts, pool = [], [[f"t{k}" for k in rng.integers(0, 300, rng.integers(1, 40))] for _ in range(40)]
+    for _ in range(120):
+        lines = []
+        for _ in range(rng.integers(0, 6)):
+            line = list(pool[rng.integers(len(pool))])
+            for at in rng.integers(0, len(line), rng.integers(0, 5)):
+                line[at] = f"T{rng.integers(0, 400)}"
+            lines.append("  ".join(line) + "\t")
+        texts.append("\n".join(lines))
+    lines = [((d, k), set(x.lower().split())) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    want = {}
+    for k, (place, own) in enumerate(lines):
+        if any(own and 100 * len(own & other) >= 80 * len(own | other) for _, other in lines[:k]):
+            want.setdefault(place[0], []).append(place[1])
+    found = line_dedup.dedup_lines(table(spark, texts)).collect()
+    assert {r.doc_id: r.removed for r in found if r.n_removed} == want
+    assert {r.doc_id: r.n_lines for r in found} == {d: t.count("\n") + 1 for d, t in enumerate(texts)}
+
+
 def test_lm_scores(spark):
     docs = ["good text here"] * 20 + ["bad words there"] * 20 + [None, " "]
     rows = lm_score.cross_entropy_difference(table(spark, docs), spark.range(20).withColumnRenamed("id", "doc_id"), size=5).orderBy("doc_id").collect()

@@ -37,10 +37,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wavemill-{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and the loss of an executor loses nothing."""
+def materialise(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
+    """Writes df to the shared folder, with those options of the Parquet writer, and reads it back: the lineage is cut and the loss of an executor loses nothing."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
