@@ -216,7 +216,7 @@ def test_line_dedup_on_random_lines(spark):
 
 def test_lm_scores(spark):
     docs = ["good text here"] * 20 + ["bad words there"] * 20 + [None, " "]
-    rows = lm_score.cross_entropy_difference(table(spark, docs), spark.range(20).withColumnRenamed("id", "doc_id"), size=5).orderBy("doc_id").collect()
+    rows = lm_score.cross_entropy_difference(table(spark, docs), spark.range(20).withColumnRenamed("id", "doc_id")).orderBy("doc_id").collect()
     assert max(r.score for r in rows[:20]) < 0 < min(r.score for r in rows[20:40])
     assert [(r.n_tokens, r.score) for r in rows[40:]] == [(0, None)] * 2
     assert lm_score.cross_entropy_difference(table(spark, []), spark.range(0).withColumnRenamed("id", "doc_id")).count() == 0

@@ -5,31 +5,32 @@ Both have the same form (bigram counts, absolute discounting, backing off to add
 for all unseen ones). A document's score is the mean over its tokens of the loss under the target model less the loss
 under the background model: low scores read like the target.
 
-Counts are rows of Spark tables. Documents are numbered in blocks; a block sends each of its distinct pairs and words once,
-meets the counts over all blocks by shuffles, and its documents' losses are summed where they come back.
+Documents are numbered in blocks. A block sends the hashes of its distinct pairs, packed and dealt to ranges by their upper
+bits; where a range's rows meet, counts are summed, and each block gets back the sums of its own pairs, in the order it sent
+them. The same is done with words. There are as many ranges as blocks, so what meets in one is bounded at every size,
+whatever pair is frequent, and nothing but three sums reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.llm.common import LOWER, materialise, small_batches, texts, utf8
 
-#: The vocabulary that the query's SQL takes; the operator's own default is every word.
-VOCABULARY = 4096
 DISCOUNT = 0.5
-#: Stands for the words outside a given vocabulary; no word holds white space.
-UNKNOWN = b"\t"
 #: About so many tokens make a block; twelve bytes of text count as one more.
 GATHER = 4_000_000
+#: Ranges for each block.
+RANGES = 4
+_FAR = 0xFFFF
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -37,161 +38,184 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words over all rows (text), ties by the word's bytes; counts are gathered in tasks and summed by a shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            columns = [pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
-
-        for b in batches:
-            for t in utf8(b.column("text")):
-                held.update(words(t))
-            if len(held) > 400_000:
-                yield out()
-        yield out()
-
-    total = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
 class _Ids(dict):
-    """Numbers words within a block as they come; b"" is the start mark, 0. Where `known` is given, every word outside it is UNKNOWN."""
+    """Numbers words within a block as they come; b"" is the start mark, 0."""
 
-    def __init__(self, known: frozenset | None):
+    def __init__(self):
         super().__init__({b"": 0})
-        self.known, self.words = known, [b""]
 
     def __missing__(self, word: bytes) -> int:
-        if self.known is not None and word != UNKNOWN and word not in self.known:
-            at = self[UNKNOWN]
-        else:
-            at = len(self.words)
-            self.words.append(word)
-        self[word] = at
+        at = self[word] = len(self)
         return at
 
     def of(self, text: bytes | None) -> np.ndarray:
         found = words(text)
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.__getitem__, found), np.uint32, len(found))
 
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
-_ENCODED = "block long, kind int, doc_id long, n_tokens long, places binary, code long, key binary, cut int, n_all long, n_target long"
-_DOC, _PAIR, _WORD = 0, 1, 2
 
+BLOCKS = "block long, doc_ids array<long>, n_tokens binary, target binary, near binary, far binary, words binary"
 
-def encode(docs: DataFrame, known: list[bytes] | None) -> DataFrame:
-    """Rows (doc_id, text, target) in blocks of about GATHER tokens, each of three kinds of rows.
 
-    A document: doc_id, n_tokens and places, the place of each of its pairs among the block's sorted codes (int32). A distinct pair of
-    the block: code, previous << 32 | token by the block's own numbers; key, both words with a space between; cut, the length
-    of the first; n_all and n_target. A distinct word: its number as code, the word as key.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(known)) if known is not None else None
+def encode(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, target) in blocks of about GATHER tokens: the block's documents, its tokens in the block's own numbers (two
+    bytes each in near; those that need more are marked there and follow in far), and the 64-bit hash of every numbered word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, blocks = TaskContext.get().partitionId() << 32, 0
-        ids, rows, size = None, [], 0
+    gather = GATHER
 
-        def batch(n: int, kind: int, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
-            whole = {"block": pa.array(np.full(n, task + blocks)), "kind": pa.array(np.full(n, kind, np.int32))} | columns
-            fields = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in _ENCODED.split(", "))])
-            made = pa.RecordBatch.from_arrays([whole[f.name] if f.name in whole else pa.nulls(n, f.type) for f in fields], schema=fields)
-            return (made.slice(at, 50_000) for at in range(0, n, 50_000))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, rows, size = TaskContext.get().partitionId() << 32, _Ids(), [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            n = np.asarray([len(x) for _, _, x in rows], np.int64)
+        def out() -> pa.RecordBatch:
             flat = np.concatenate([x for _, _, x in rows])
-            before = np.concatenate([[0], flat[:-1]]) if len(flat) else flat
-            before[(np.cumsum(n) - n)[n > 0]] = 0
-            code, place, n_all = np.unique(before << 32 | flat, return_inverse=True, return_counts=True)
-            n_target = np.bincount(place[np.repeat([bool(t) for _, t, _ in rows], n)], minlength=len(code)).astype(np.int64)
-            places = [x.tobytes() for x in np.split(place.astype(np.int32), np.cumsum(n)[:-1])]
-            yield from batch(len(n), _DOC, doc_id=pa.array([d for d, _, _ in rows], pa.int64()), n_tokens=pa.array(n), places=pa.array(places, pa.binary()))
-            own = pa.array(ids.words, pa.binary())
-            for at in range(0, len(code), 500_000):
-                c = code[at : at + 500_000]
-                first, second = own.take(pa.array(c >> 32)), own.take(pa.array(c & 0xFFFFFFFF))
-                key, cut = pc.binary_join_element_wise(first, second, b" "), pc.binary_length(first)
-                yield from batch(len(c), _PAIR, code=pa.array(c), key=key, cut=cut, n_all=pa.array(n_all[at : at + 500_000]), n_target=pa.array(n_target[at : at + 500_000]))
-            yield from batch(len(own), _WORD, code=pa.array(np.arange(len(own))), key=own)
+            n = np.asarray([len(x) for _, _, x in rows], "<i8")
+            near = np.minimum(flat, _FAR).astype("<u2")
+            target = np.asarray([bool(t) for _, t, _ in rows], np.uint8)
+            packed = [n, target, near, flat[flat >= _FAR].astype("<u4"), ids.hashes().astype("<u8")]
+            columns = [pa.array([block]), pa.array([[d for d, _, _ in rows]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
         for b in batches:
             for d, t, target in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("target").to_pylist(), strict=True):
-                ids = ids or _Ids(sent and sent.value)
                 rows.append((d, target, ids.of(t)))
                 size += len(rows[-1][2]) + len(t or b"") // 12
-                if size >= GATHER:
-                    yield from out()
-                    ids, rows, size, blocks = None, [], 0, blocks + 1
+                if size >= gather:
+                    yield out()
+                    block, ids, rows, size = block + 1, _Ids(), [], 0
         if rows:
-            yield from out()
+            yield out()
+
+    return docs.select("doc_id", "text", "target").mapInArrow(run, BLOCKS)
+
 
-    return docs.select("doc_id", "text", "target").mapInArrow(run, _ENCODED)
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
 
 
-_STATS = ("f_all", "f_target", "k_all", "k_target", "u_all", "u_target")
+class _Block:
+    """A block with its distinct pairs, in the order of their hashes. pair_of: the pair of each token."""
 
+    def __init__(self, row: dict):
+        self.block, self.doc_ids, self.n = row["block"], row["doc_ids"], np.frombuffer(row["n_tokens"], "<i8")
+        token = np.frombuffer(row["near"], "<u2").astype(np.int64)
+        token[token == _FAR] = np.frombuffer(row["far"], "<u4")
+        self.hashes = np.frombuffer(row["words"], "<u8")
+        before = np.concatenate([[0], token])[: len(token)]
+        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = 0
+        code, place, n_all = np.unique(before << 32 | token, return_inverse=True, return_counts=True)
+        target = np.repeat(np.frombuffer(row["target"], np.uint8), self.n)
+        n_target = np.bincount(place, target, len(code)).astype(np.int64)
+        h = self.hashes[code >> 32] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[code & 0xFFFFFFFF]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        order = np.argsort(h, kind="stable")
+        self.pair_hashes, self.n_all, self.n_target = h[order], n_all[order], n_target[order]
+        self.before, self.token = code[order] >> 32, code[order] & 0xFFFFFFFF
+        self.pair_of = np.empty(len(order), np.int64)
+        self.pair_of[order] = np.arange(len(order))
+        self.pair_of = self.pair_of[place]
 
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """From distinct pairs (key, cut, n_all, n_target), for each word and each model: f, the tokens that follow it; k, the distinct ones; u, how often it is a token."""
-    none = [F.lit(0).cast("long")] * 4
-    follows = ["n_all", "n_target", F.lit(1).cast("long"), (F.col("n_target") > 0).cast("long")]
-    sides = [
-        [F.expr("substring(key, 1, cut)"), *follows, *none[:2]],
-        [F.expr("substring(key, cut + 2, length(key))"), *none, "n_all", "n_target"],
-    ]
-    sides = [F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in zip(side, ("word", *_STATS), strict=True)]) for side in sides]
-    return pairs.select(F.explode(F.array(*sides)).alias("s")).groupBy("s.word").agg(*[F.sum(f"s.{c}").alias(c) for c in _STATS])
 
+def _dealt(block: int, bits: int, hashes: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+    """One row a range that sorted hashes fall in: block, range, the hashes and their values."""
+    cut = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    parts = [np.split(x, cut) for x in (hashes.astype("<u8"), *(v.astype("<u4") for v in values))]
+    held = [r for r, x in enumerate(parts[0]) if len(x)]
+    columns = [pa.array([block] * len(held), pa.int64()), pa.array(held, pa.int32()), pa.array([parts[0][r].tobytes() for r in held], pa.binary())]
+    columns.append(pa.array([np.concatenate([v[r] for v in parts[1:]]).tobytes() for r in held], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["block", "range", "hashes", "counts"])
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+_DEALT = "block long, range int, hashes binary, counts binary"
+_FOUND = "block long, range int, kind int, counts binary, sums array<long>"
+
+
+def _summed(n_values: int, kind: int):
+    """Sums the values of equal hashes in a range and gives each block the sums for what it sent, as n_values 64-bit arrays, then a
+    byte each that is 1 for one block of those that sent the hash. The first row has the range's sums: hashes and values."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        hashes = [np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist()]
+        ends = np.cumsum([len(x) for x in hashes])
+        values = np.concatenate([np.frombuffer(x, "<u4").reshape(n_values, -1) for x in rows.column("counts").to_pylist()], axis=1)
+        _, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        total = [np.bincount(place, v).astype("<i8") for v in values]
+        flag = np.zeros(ends[-1], np.uint8)
+        flag[first] = 1
+        counts = [b"".join([*(t[p].tobytes() for t in total), f.tobytes()]) for p, f in zip(np.split(place, ends[:-1]), np.split(flag, ends[:-1]), strict=True)]
+        sums = [[len(first), *(int(t.sum()) for t in total)], *[None] * (len(ends) - 1)]
+        columns = [rows.column("block"), rows.column("range"), pa.array([kind] * len(ends), pa.int32()), pa.array(counts, pa.binary()), pa.array(sums, pa.list_(pa.int64()))]
+        return pa.table(columns, ["block", "range", "kind", "counts", "sums"])
+
+    return run
+
+
+def _returned(found: pa.Table, kind: int, n_values: int) -> list[np.ndarray]:
+    """What _summed gave a block, over all ranges: n_values arrays and the flags."""
+    rows = found.filter(pa.compute.equal(found.column("kind"), kind)).sort_by("range").column("counts").to_pylist()
+    n = [len(x) // (8 * n_values + 1) for x in rows]
+    values = [np.frombuffer(x, "<i8", n_values * k).reshape(n_values, k) for x, k in zip(rows, n, strict=True)]
+    flags = [np.frombuffer(x, np.uint8, k, 8 * n_values * k) for x, k in zip(rows, n, strict=True)]
+    return [*np.concatenate([np.zeros((n_values, 0), "<i8"), *values], axis=1), np.concatenate([np.zeros(0, np.uint8), *flags])]
+
+
+_PAIR, _WORD = 0, 1
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ce_target, ce_background (nats a token) and score (ce_target - ce_background).
 
     target_ids: (doc_id) of the target set. Texts without words have n_tokens 0 and null losses. An empty target set gives
     the uniform model as target. Rows without a doc_id are background only; repeated rows count and are scored each; an
-    empty table gives an empty result. Other columns are not read. Where a caller gives a size, words below that rank are
-    one unknown token; the known ones then reach the driver and every worker. Otherwise only three sums reach the driver.
+    empty table gives an empty result. Other columns are not read. Words are told apart by 64 bits of hash, and so are pairs.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     own = texts(docs, id_col, text_col)
-    known = None if size is None else vocabulary(own, size)
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
-    encoded = materialise(encode(own.join(marked.hint("merge"), "doc_id", "left"), known), "blocks")
-    # A block has a pair once, so a key's rows are never more than the blocks. The key's last block brings the pair to word_counts.
-    same = Window.partitionBy("key")
-    last = F.max("block").over(same) == F.col("block")
-    met = encoded.filter(F.col("kind") == _PAIR).select("block", "code", F.sum("n_all").over(same).alias("n_all"), F.sum("n_target").over(same).alias("n_target"), F.when(last, F.col("key")).alias("key"), F.when(last, F.col("cut")).alias("cut"))
-    pairs = materialise(met, "pairs")
-    counts = materialise(word_counts(pairs.filter("key is not null")), "words")
-    n_words, *tokens = (x or 0 for x in counts.agg(F.count(F.when(~F.col("word").isin(b"", UNKNOWN), 1)), F.sum("u_all"), F.sum("u_target")).first())
-    each = encoded.filter(F.col("kind") == _WORD).select("block", (-1 - F.col("code")).alias("code"), F.col("key").alias("word")).join(counts.hint("merge"), "word")
-    pair_rows = pairs.select("block", "code", F.col("n_all").alias("f_all"), F.col("n_target").alias("f_target"), *[F.lit(0).cast("long").alias(c) for c in _STATS[2:]])
-    found = pair_rows.unionByName(each.drop("word"))
-
-    def score(docs: pa.Table, stats: pa.Table) -> pa.Table:
-        code = stats.column("code").to_numpy()
-        order = np.argsort(code, kind="stable")
-        split = int(np.searchsorted(code, 0, sorter=order))
-        value = {c: stats.column(c).to_numpy()[order].astype(np.float64) for c in _STATS}
-        before, token = code[order[split:]] >> 32, code[order[split:]] & 0xFFFFFFFF
-        n = docs.column("n_tokens").to_numpy()
-        place = np.concatenate([np.frombuffer(x, np.int32) for x in docs.column("places").to_pylist()])
-        row, mean = np.repeat(np.arange(len(n)), n), []
-        for model, total in (("target", tokens[1]), ("all", tokens[0])):
-            follows, kinds, uni = (value[f"{c}_{model}"][:split][::-1] for c in "fku")
-            times = value[f"f_{model}"][split:]
-            back = np.divide(DISCOUNT * kinds, follows, out=np.ones(split), where=follows > 0)
-            p = back[before] * ((uni[token] + 1) / (total + n_words + 1))
-            p += np.divide(times - DISCOUNT, follows[before], out=np.zeros(len(p)), where=times > 0)
-            mean.append(np.bincount(row, -np.log(p)[place], len(n)) / np.maximum(n, 1))
-        columns = [docs.column("doc_id"), pa.array(n), *(pa.array(x, mask=n == 0) for x in (mean[0], mean[1], mean[0] - mean[1]))]
+    blocks = materialise(encode(own.join(marked.hint("merge"), "doc_id", "left")), "blocks", {"compression": "zstd"})
+    bits = max(1, (RANGES * blocks.count()).bit_length())
+
+    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                x = _Block(row)
+                yield _dealt(x.block, bits, x.pair_hashes, [x.n_all, x.n_target])
+
+    def send_words(rows: pa.Table, found: pa.Table) -> pa.Table:
+        x = _Block(rows.to_pylist()[0])
+        _, t_target, flag = _returned(found, _PAIR, 2)
+        size = len(x.hashes)
+        sides = [(x.before, x.n_all), (x.before, x.n_target), (x.before, flag), (x.before, flag * (t_target > 0)), (x.token, x.n_all), (x.token, x.n_target)]
+        order = np.argsort(x.hashes, kind="stable")
+        return pa.Table.from_batches([_dealt(x.block, bits, x.hashes[order], [np.bincount(at, v, size)[order] for at, v in sides])])
+
+    pairs = blocks.mapInArrow(send_pairs, _DEALT).groupBy("range").applyInArrow(_summed(2, _PAIR), _FOUND)
+    pairs = materialise(pairs, "pairs", {"compression": "zstd"})
+    sent = blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(send_words, _DEALT)
+    known = materialise(sent.groupBy("range").applyInArrow(_summed(6, _WORD), _FOUND), "words", {"compression": "zstd"})
+    # of all words that have a hash one is the start mark, which no document holds
+    n_words, all_tokens, target_tokens = (x or 0 for x in known.agg(*[F.sum(F.col("sums")[k]) for k in (0, 5, 6)]).first())
+    n_words -= 1
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        x = _Block(rows.to_pylist()[0])
+        times = dict(zip(("all", "target"), _returned(found, _PAIR, 2), strict=False))
+        stats = _returned(found, _WORD, 6)
+        back_order = np.argsort(np.argsort(x.hashes, kind="stable"), kind="stable")
+        f_all, f_target, k_all, k_target, u_all, u_target = (s[back_order].astype(np.float64) for s in stats[:6])
+        row, mean = np.repeat(np.arange(len(x.n)), x.n), []
+        for model, follows, kinds, uni, total in (("target", f_target, k_target, u_target, target_tokens), ("all", f_all, k_all, u_all, all_tokens)):
+            back = np.divide(DISCOUNT * kinds, follows, out=np.ones(len(follows)), where=follows > 0)
+            p = back[x.before] * ((uni[x.token] + 1) / (total + n_words + 1))
+            n = times[model].astype(np.float64)
+            p += np.divide(n - DISCOUNT, follows[x.before], out=np.zeros(len(p)), where=n > 0)
+            mean.append(np.bincount(row, -np.log(p)[x.pair_of], len(x.n)) / np.maximum(x.n, 1))
+        empty = x.n == 0
+        columns = [pa.array(x.doc_ids, pa.int64()), pa.array(x.n), *(pa.array(v, mask=empty) for v in (mean[0], mean[1], mean[0] - mean[1]))]
         return pa.table(columns, ["doc_id", "n_tokens", "ce_target", "ce_background", "score"])
 
-    blocks = encoded.filter(F.col("kind") == _DOC).select("block", "doc_id", "n_tokens", "places").groupBy("block")
-    return blocks.cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    found = pairs.unionByName(known)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")

@@ -105,7 +105,7 @@ _OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w,
                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
 t AS (SELECT rid, target, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS id FROM t GROUP BY word QUALIFY id < {lm_score.VOCABULARY}),
+v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS id FROM t GROUP BY word),
 size AS (SELECT count(*) AS n FROM v),
 k AS (SELECT rid, target, i, coalesce(id, (SELECT n FROM size)) AS tok FROM t LEFT JOIN v USING (word)),
 g AS (SELECT rid, target, tok, coalesce(lag(tok) OVER (PARTITION BY rid ORDER BY i), (SELECT n + 1 FROM size)) AS prev FROM k),
