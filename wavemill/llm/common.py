@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,11 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-wavemill-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,16 +38,27 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wavemill-{tag}-{uuid.uuid4().hex}"
 
 
+#: With this setting Spark removes a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
-    """Writes df to the shared folder, with those options of the Parquet writer, and reads it back: the lineage is cut and the loss of an executor loses nothing."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.options(**options or {}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder, with those options of the Parquet writer, and reads it back: the lineage is cut and the loss
+    of an executor loses nothing. The shuffle files of the written query go when it ends; the session's setting is put back."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, tag), spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.options(**options or {}).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the texts that one Arrow batch holds."""
+    """Bounds the texts that one Arrow batch holds, by rows and by bytes. Plans take the setting when they run, so it stays with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
