@@ -248,10 +248,58 @@ def test_mix(spark):
         assert r.taken <= 3 * r.size
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 40 for s in size)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix.mix(df.repartition(7)).collect()))
-    assert mix.apply_mix(df, mix.mix(df)).columns == df.columns
+    mixed = mix.apply_mix(df)
+    assert mixed.columns == df.columns
+    count = {}
+    for r in mixed.collect():
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    want = {}
+    for r in got:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert count == {k: n for k, n in want.items() if n}
     assert mix.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 2000, [5] * 2000])
+def test_mix_of_repeated_ids(spark, ids):
+    """Rows of one or no doc_id: every source is still near its target, and the mix itself takes as many words."""
+    df = spark.createDataFrame([(i, "w w w w", "ab"[k % 2]) for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    taken = {r.target: r.taken for r in mix.mix(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()}
+    assert len(taken) == 2 and all(abs(t - n) <= 4 for t, n in taken.items())
+    words = {r.source: 4 * r["count"] for r in mix.apply_mix(df).groupBy("source").count().collect()}
+    assert sorted(words.values()) == sorted(taken.values())
+
+
+def test_mix_that_does_not_converge_is_an_error(spark):
+    cells = spark.createDataFrame([("a", 100)], "g string, tokens long")
+    targets = spark.createDataFrame([("a", 250.0)], "g string, target double")
+    with pytest.raises(RuntimeError):
+        mix.balance(cells, {"g": targets}, iterations=1)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Rows are documents: neither texts of one doc_id nor rows without one are taken for each other."""
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    df = table(spark, [a, a, b, b, "other words of no concern", None], [1, 5, 5, 9, None, None])
+    rows = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert rows == [(0, 0, True)] * 2 + [(1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in near_dup.one_of_each(df).collect()) == [(0, ""), (0, "other words of no concern"), (1, a), (5, b)]
+    item = spark.createDataFrame([(1, b)], "item_id long, text string")
+    alone = table(spark, [b, "clean words", None, b + " more"], [None, None, None, 3])
+    assert sorted(r.text or "" for r in decontaminate.without_contaminated(alone, item).collect()) == ["", "clean words"]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from wavemill.llm.common import shared_dir
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    session.conf = SimpleNamespace(get=lambda key, default=None: default)
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

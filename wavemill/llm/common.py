@@ -71,6 +71,11 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
+def mark(text_col: str = "text") -> Column:
+    """64 bits of a text: with doc_id they name a row up to exact repeats of it, which every operator treats alike."""
+    return F.xxhash64(F.col(text_col).cast("string")).alias("mark")
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import materialise, small_batches, texts, utf8
+from wavemill.llm.common import mark, materialise, small_batches, texts, utf8
 
 WINDOW = 10
 #: Bytes of text in a segment, but for the document that ends it.
@@ -27,7 +27,7 @@ SEGMENT_BYTES = 2 << 20
 WINDOWS_A_PASS = 200_000
 #: 0-9, a-z, A-Z (in lower case) and every byte of a non-ASCII character make words; all else parts them.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SEGMENTS = "segment long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, positions binary"
+SEGMENTS = "segment long, doc_ids array<long>, marks array<long>, n_words array<long>, terms binary, counts binary, positions binary"
 MATCHES = "segment long, place int, item_id long, n_hit int, hits binary"
 
 
@@ -39,31 +39,32 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Segments of all documents. Position p of a segment is a word; one position is left free after each document, so that no phrase runs into the next."""
     small_batches(docs.sparkSession)
 
-    def segment(number: int, ids: list, lists: list[list[bytes]]) -> pa.RecordBatch:
+    def segment(number: int, ids: list, marks: list[int], lists: list[list[bytes]]) -> pa.RecordBatch:
         term_of: dict[bytes, int] = {}
         n = np.asarray([len(x) for x in lists], np.int64)
         flat = np.fromiter((term_of.setdefault(w, len(term_of)) for x in lists for w in x), np.int32, int(n.sum()))
         place = np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)
         order = np.argsort(flat, kind="stable")
         counts = np.bincount(flat, minlength=len(term_of)).astype("<u4")
-        row = [number], [ids], [n.tolist()], [b" ".join(term_of)], [counts.tobytes()], [place[order].astype("<u4").tobytes()]
-        types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["segment", "doc_ids", "n_words", "terms", "counts", "positions"])
+        row = [number], [ids], [marks], [n.tolist()], [b" ".join(term_of)], [counts.tobytes()], [place[order].astype("<u4").tobytes()]
+        types = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["segment", "doc_ids", "marks", "n_words", "terms", "counts", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, lists, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, marks, lists, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
+            for doc_id, own, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), utf8(b.column("text")), strict=True):
                 ids.append(doc_id)
+                marks.append(own)
                 lists.append(words(text))
                 size += len(text or b"")
                 if size >= SEGMENT_BYTES:
-                    yield segment(number, ids, lists)
-                    number, ids, lists, size = number + 1, [], [], 0
+                    yield segment(number, ids, marks, lists)
+                    number, ids, marks, lists, size = number + 1, [], [], [], 0
         if ids:
-            yield segment(number, ids, lists)
+            yield segment(number, ids, marks, lists)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, SEGMENTS)
+    return texts(docs, id_col, text_col, mark(text_col)).mapInArrow(run, SEGMENTS)
 
 
 class _Postings:
@@ -172,7 +173,7 @@ def match_near(index: DataFrame, asked: DataFrame, slop: int) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256 (of the sorted
-    item ids, joined by commas; of nothing if there is none) and contaminated (n_hit > 0).
+    item ids, joined by commas; of nothing if there is none), contaminated (n_hit > 0) and mark (64 bits of the text).
 
     Null and empty texts have no words; items without words have no windows; items with a null id are left out. Repeated
     documents each give a row, repeated items count once, an empty table of either kind gives no hits. Other columns are not
@@ -192,8 +193,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
 
     of_doc = matches.groupBy("segment", "place").agg(F.collect_list("hits").alias("hits"), F.collect_list("item_id").alias("items"))
     of_doc = of_doc.mapInArrow(merge, "segment long, place int, n_hit long, n_items long, items_sha256 string")
-    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")).select("segment", "place", "d.doc_ids", "d.n_words")
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "marks", "n_words")).alias("place", "d")).select("segment", "place", "d.*")
     out = every.join(of_doc, ["segment", "place"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = hashlib.sha256(b"").hexdigest()
-    return out.select(F.col("doc_ids").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("doc_ids").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("marks").alias("mark"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has no window of an item; rows are told apart by doc_id and text. The columns are those of docs."""
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    own = docs.withColumn("__own", mark(text_col))
+    return own.join(bad, F.col(id_col).cast("long").eqNullSafe(bad["__id"]) & (own["__own"] == bad["__mark"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

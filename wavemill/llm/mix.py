@@ -9,6 +9,7 @@ from document to document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -72,6 +73,8 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], tolerance: float =
             state = materialise(join_small(state, step, column).withColumn("multiplier", F.col("multiplier") + moved).drop("step"), "cells")
         if worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"targets still missed by {worst} of their size after {iterations} rounds")
     for column, targets in margins.items():
         zero = targets.filter("target <= 0").select(column, F.lit(True).alias("none"))
         state = join_small(state, zero, column).withColumn("multiplier", F.when(F.col("none"), F.lit(float("-inf"))).otherwise(F.col("multiplier"))).drop("none")
@@ -82,9 +85,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = MOST,
     """Per document: doc_id, size (words), source_size, target, copies and taken (copies * size).
 
     Null texts have size 0 and null sources are a source of their own, sorted last. A document of size 0 is taken as often
-    as its rate rounds to, which adds no words. Repeated rows (equal doc_id, source and size) get the same copies each. The
-    same input gives the same result at any partitioning. An empty table gives an empty result.
+    as its rate rounds to, which adds no words. Repeated rows (equal doc_id, source and size) are rounded one by one, so
+    that some may be taken once more than others. The same input gives the same result at any partitioning. An empty
+    table gives an empty result.
     """
+    done = _rated(docs, weights, most, id_col, text_col, source_col)
+    # in two steps, so that no array grows with the repeats of a row
+    each = done.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SLICE))))
+    first = F.col("part") * SLICE
+    each = each.withColumn("row", F.explode(F.sequence(first + 1, F.least(first + SLICE, F.col("rows")))))
+    each = each.withColumn("copies", F.col("low") + (F.col("row") <= F.col("more")).cast("long"))
+    return each.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _rated(docs: DataFrame, weights: Sequence[float], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Per (doc_id, name, size), with rows: source_size, target, low (copies of every row) and more (how many rows get one more)."""
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), _name(F.col(source_col)).alias("name"), word_count(F.col(text_col).cast("string")).alias("size"))
     unit = materialise(sized.groupBy("doc_id", "name", "size").agg(F.count("*").alias("rows")), "sizes")
     sizes = materialise(unit.groupBy("name").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")), "sources")
@@ -97,26 +112,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = MOST,
     def carry(own: pa.Table) -> pa.Table:
         """Rounds one slice: largest documents first, each to the copies that bring the words taken nearest to the words due."""
         own = own.sort_by([("size", "descending"), ("doc_id", "ascending")])
-        copies, due = [], 0.0
+        found, due = [], 0.0
         for size, rows, rate in zip(*(own.column(c).to_pylist() for c in ("size", "rows", "rate")), strict=True):
-            words = size * rows
             low = min(int(rate), most)
-            due += (rate - low) * words
-            more = 1 if low < most and rate > low and 2 * due >= words else 0
-            due -= more * words
-            copies.append(low + more)
-        return own.append_column("copies", pa.array(copies, pa.int64()))
-
-    done = rated.groupBy("name", "slice").applyInArrow(carry, T.StructType([*rated.schema.fields, T.StructField("copies", T.LongType())]))
-    each = done.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every row repeated by its copies (none: it goes); the columns are those of docs."""
-    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    own = docs.withColumn("__size", word_count(F.col(text_col).cast("string")))
-    joined = own.join(copies, own[id_col].cast("long").eqNullSafe(copies["__id"]) & (own["__size"] == copies["__size"]))
-    return joined.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
-
-
+            due += (rate - low) * size * rows
+            more = min(rows, max(0, math.floor(due / size + 0.5))) if low < most and rate > low and size else 0
+            due -= more * size
+            found.append((low, more))
+        for k, c in enumerate(("low", "more")):
+            own = own.append_column(c, pa.array([x[k] for x in found], pa.int64()))
+        return own
+
+    extra = [T.StructField(c, T.LongType()) for c in ("low", "more")]
+    return rated.groupBy("name", "slice").applyInArrow(carry, T.StructType([*rated.schema.fields, *extra]))
+
+
+def apply_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with every row repeated by its copies (none: it goes); the columns are those of docs. Of rows of equal doc_id, source and size, those of the smallest text hashes get one more copy."""
+    rated = _rated(docs, weights, most, id_col, text_col, source_col)
+    rated = materialise(rated.select(F.col("doc_id").alias("__id"), F.col("name").alias("__name"), F.col("size").alias("__size"), F.col("rows").alias("__rows"), F.col("low").alias("__low"), F.col("more").alias("__more")), "rated")
+    own = docs.withColumn("__own_size", word_count(F.col(text_col).cast("string"))).withColumn("__own_name", _name(F.col(source_col)))
+    met = own.join(rated, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own_name") == F.col("__name")) & (F.col("__own_size") == F.col("__size")))
+    whole = met.filter("__more = 0 or __more = __rows").withColumn("__copies", F.col("__low") + (F.col("__more") > 0).cast("long"))
+    order = Window.partitionBy("__id", "__name", "__size").orderBy(F.xxhash64(*docs.columns))
+    parted = met.filter("__more > 0 and __more < __rows").withColumn("__copies", F.col("__low") + (F.row_number().over(order) <= F.col("__more")).cast("long"))
+    out = whole.unionByName(parted).filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

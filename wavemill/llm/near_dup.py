@@ -18,10 +18,10 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import LOWER, materialise, per_worker, small_batches, texts, utf8
+from wavemill.llm.common import LOWER, mark, materialise, per_worker, small_batches, texts, utf8
 from wavemill.llm.components import connected_components
 
 SHINGLE = 5
@@ -95,11 +95,11 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), SLOTS)
 
 
-SIGNED = "doc_id long, n_shingles long, cls binary, keys array<long>"
+SIGNED = "doc_id long, mark long, n_shingles long, cls binary, keys array<long>"
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of shingles, class (128 bits of the set; null if empty) and index keys."""
+    """Per document: mark (64 bits of its text), number of shingles, class (128 bits of the set; null if empty) and index keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,18 +119,18 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     off = np.concatenate([[0], np.cumsum(np.where(n > 0, SLOTS, 0))]).astype(np.int32)
                     off = pa.array(off, mask=np.append(n == 0, False))
                     keys = pa.ListArray.from_arrays(off, pa.array(chunk_keys(found).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], ["doc_id", "n_shingles", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), keys], ["doc_id", "mark", "n_shingles", "cls", "keys"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, SIGNED)
+    return texts(docs, id_col, text_col, mark(text_col)).mapInArrow(run, SIGNED)
 
 
 def _confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. A text that many pairs need is repeated for every 1000 of them."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
     left = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    a = own.join(salts, own.doc_id == salts.a).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    a = own.join(salts, own.node == salts.a).select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     needed = pairs.select("b").distinct()
-    b = own.join(needed, own.doc_id == needed.b).select("b", F.col("text").alias("text_b"))
+    b = own.join(needed, own.node == needed.b).select("b", F.col("text").alias("text_b"))
     both = left.join(a, ["a", "salt"]).join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _across(pairs: DataFrame, component: DataFrame, own: DataFrame, percent: int
     hub = component.select(F.col("node").alias("a"), F.col("component").alias("hub_component"))
     stats = part.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     stats = stats.join(hub, "a", "left").select("a", F.coalesce("hub_component", "a").alias("hub_component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = part.join(materialise(stats, "open"), "a").join(own, F.col("b") == own.doc_id).select("a", "b", "component", "blocks", "text", (F.col("component") != F.col("hub_component")).alias("minor"))
+    rows = part.join(materialise(stats, "open"), "a").join(own, F.col("b") == own.node).select("a", "b", "component", "blocks", "text", (F.col("component") != F.col("hub_component")).alias("minor"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     member = rows.select("a", F.col("own").alias("i"), F.explode(every).alias("j"), "b", "component", "text", F.lit(False).alias("minor"))
@@ -227,18 +227,13 @@ def _across(pairs: DataFrame, component: DataFrame, own: DataFrame, percent: int
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id = component_id).
-
-    Words are what ASCII white space leaves, with A-Z in lower case; a document's set has its distinct five-word shingles, or
-    the whole sequence when it has fewer words. Null, empty and blank texts have no set and link with nothing. Rows that
-    share a doc_id are one document. Rows without a doc_id are never linked: component_id is null and they are kept. An
-    empty table gives an empty result; other columns are not read.
-    """
+def groups(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, mark (64 bits of the text), n_shingles and head, the smallest (doc_id, mark) of the rows that links reach; head is
+    null for rows without a doc_id or without words, which link with nothing."""
     small_batches(docs.sparkSession)
     signed = materialise(sign(docs, id_col, text_col), "signed")
-    classes = signed.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = materialise(classes, "classes")
+    classes = signed.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("head"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sizes = classes.select("node", "n")
     index = classes.select("node", F.explode("keys").alias("key"))
     hubs = index.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("held")).filter("held > 1").drop("held")
@@ -254,15 +249,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     # the texts of candidates leave the table in one shuffle, by the same plan at every size
     candidates = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts(docs, id_col, text_col)
-    own = materialise(own.join(candidates.hint("merge"), own.doc_id == candidates.node, "left_semi"), "candidates")
+    candidates = classes.join(candidates, "node").select("node", "head.*")
+    own = texts(docs, id_col, text_col, mark(text_col)).join(candidates.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    own = materialise(own.select("node", "text"), "candidates")
     links = materialise(_confirm(materialise(close(pairs), "close"), own, percent), "confirmed")
 
     component = materialise(connected_components(links), "component")
     second = materialise(_across(pairs, component, own, percent), "across")
     if not second.isEmpty():
         component = materialise(connected_components(links.unionByName(second)), "component")
-    of_class = materialise(classes.select("cls", "node").join(component, "node", "left").select("cls", F.coalesce("component", "node").alias("component")), "of-class")
-    out = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
-    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    of_class = materialise(classes.select("cls", "node", "head").join(component, "node", "left").select("cls", "head", F.coalesce("component", "node").alias("component")), "of-class")
+    heads = of_class.groupBy("component").agg(F.min("head").alias("head"))
+    of_class = materialise(of_class.drop("head").join(heads, "component").select("cls", "head"), "heads")
+    out = signed.select("doc_id", "mark", "n_shingles", "cls").join(of_class, "cls", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("head")).alias("head"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id = component_id).
+
+    Words are what ASCII white space leaves, with A-Z in lower case; a document's set has its distinct five-word shingles, or
+    the whole sequence when it has fewer words. Null, empty and blank texts have no set and link with nothing. A row is a
+    document: rows that share a doc_id each have their own set and component, so a doc_id of different texts may be given
+    twice. Rows without a doc_id are never linked: component_id is null and they are kept. An empty table gives an empty
+    result; other columns are not read.
+    """
+    component_id = F.coalesce("head.doc_id", "doc_id")
+    return groups(docs, percent, id_col, text_col).select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row of the smallest doc_id (of several texts under it, of the smallest
+    hash), once however often it is repeated. Rows without a doc_id or without words stay. The columns are those of docs."""
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", mark(text_col))
+    alone = F.col("__id").isNull() | ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = groups(docs, percent, id_col, text_col).filter("head = struct(doc_id, mark)").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    met = keyed.join(materialise(first, "first").hint("merge"), ["__id", "__mark"])
+    order = Window.partitionBy("__id", "__mark").orderBy(F.xxhash64(*docs.columns))
+    met = met.withColumn("__row", F.row_number().over(order)).filter("__row = 1")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(keyed.filter(alone).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -25,7 +25,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +89,17 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 _OP6 = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS t
-      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a),
-m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
-FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS t
+      FROM (SELECT rid, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+k AS (SELECT s.* FROM s JOIN d USING (rid) WHERE doc_id IS NOT NULL),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM k x JOIN k y ON x.t = y.t AND x.rid <> y.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(rid, c) AS (SELECT rid, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.rid = e.a),
+m AS (SELECT rid, min(c) AS component_id FROM r GROUP BY rid)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
 """
 
 _OP9 = rf"""
