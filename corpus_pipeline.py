@@ -17,25 +17,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one of the smallest doc_id; of rows that repeat it one. Rows without a doc_id stay."""
-    found = near_dup.near_duplicates(docs).filter("doc_id is not null and kept")
-    kept = materialise(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")), "kept")
-    same = docs["doc_id"].cast("long") == F.col("__id")
-    once = docs.join(kept.filter("__n = 1"), same, "left_semi")
-    again = docs.join(kept.filter("__n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.filter("doc_id is null"))
+    """One row of each group of texts of similarity 0.8 or more, that of the smallest doc_id. Rows without a doc_id or without words stay."""
+    return near_dup.one_of_each(docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a `benchmark` item. Rows without a doc_id are judged together, by their most contaminated one."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    bad = found.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]), "left_anti")
+    """Rows without any window of a `benchmark` item."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mix.apply_mix(docs, mix.mix(docs))
+    """Every row as often as the mix takes it."""
+    return mix.apply_mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
