@@ -7,8 +7,8 @@ under the background model: low scores read like the target.
 
 Documents are numbered in blocks. A block sends the hashes of its distinct pairs, packed and dealt to ranges by their upper
 bits; where a range's rows meet, counts are summed, and each block gets back the sums of its own pairs, in the order it sent
-them. The same is done with words. There are as many ranges as blocks, so what meets in one is bounded at every size,
-whatever pair is frequent, and nothing but three sums reaches the driver.
+them. The same is done with words. Ranges grow with the tokens of the table, so what meets in one is bounded at every size,
+whatever pair is frequent, and nothing but four sums reaches the driver.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from wavemill.llm.common import LOWER, materialise, small_batches, texts, utf8
 DISCOUNT = 0.5
 #: About so many tokens make a block; twelve bytes of text count as one more.
 GATHER = 4_000_000
-#: Ranges for each block.
+#: Ranges for as many tokens as make a block.
 RANGES = 4
 _FAR = 0xFFFF
 
@@ -176,7 +176,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     own = texts(docs, id_col, text_col)
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
     blocks = materialise(encode(own.join(marked.hint("merge"), "doc_id", "left")), "blocks", {"compression": "zstd"})
-    bits = max(1, (RANGES * blocks.count()).bit_length())
+    tokens = blocks.agg(F.sum(F.octet_length("near")) / 2).first()[0] or 0
+    bits = max(1, (RANGES * int(tokens) // GATHER).bit_length())
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
