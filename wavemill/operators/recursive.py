@@ -8,30 +8,44 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Makes the state of one stream: a function from a sample to an output.
 Maker = Callable[[], Callable[[float], float]]
 
 
-def fold(rows: DataFrame, make: Maker) -> DataFrame:
-    """stream_id, frame_no, x and y = the state's output for x, in the order of frame_no."""
-    ordered = rows.select("stream_id", "frame_no", "x").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+def fold(rows: DataFrame, make: Maker, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """keys, frame_no, x and y = the state's output for x, in the order of frame_no. A state belongs to one value of the keys."""
+    keys = list(keys)
+    ordered = rows.select(*keys, "frame_no", "x").repartition(*keys).sortWithinPartitions(*keys, "frame_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, step = None, None
         for b in batches:
             out = []
-            for stream, x in zip(b.column("stream_id").to_pylist(), b.column("x").to_pylist(), strict=True):
+            for *stream, x in zip(*(b.column(c).to_pylist() for c in (*keys, "x")), strict=True):
                 if stream != at or step is None:
                     at, step = stream, make()
                 out.append(float(step(x)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "y"])
 
     kind = dict(rows.dtypes)
-    return ordered.mapInArrow(run, f"stream_id {kind['stream_id']}, frame_no {kind['frame_no']}, x {kind['x']}, y double")
+    return ordered.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in (*keys, "frame_no", "x")) + ", y double")
+
+
+def fold_channels(frames: DataFrame, makers: Sequence[Maker]) -> DataFrame:
+    """stream_id, frame_no and samples array<double>: channel k of the frames (stream_id, frame_no, samples) through a filter of makers[k], of the last one for further channels."""
+    parts = []
+    each = frames.select("stream_id", "frame_no", F.posexplode("samples").alias("ch", "x"))
+    for k, make in enumerate(makers):
+        own = each.filter(F.col("ch") == k) if k < len(makers) - 1 else each.filter(F.col("ch") >= k)
+        parts.append(fold(own, make, ("stream_id", "ch")))
+    done = reduce(DataFrame.unionByName, parts).groupBy("stream_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("ch", "y"))).alias("s"))
+    return done.select("stream_id", "frame_no", F.transform("s", lambda p: p["y"]).alias("samples"))
 
 
 def biquad(kind: str, hz: float, rate: float, q: float = 0.7071, gain_db: float = 0.0, slope: float = 1.0) -> tuple[list[float], list[float]]:
@@ -191,20 +205,38 @@ def adsr(attack: float, decay: float, sustain: float, release: float, off_at: in
 
 
 def compressor(rate: float, attack_ms: float = 30, release_ms: float = 20, hold_ms: float = 10, threshold: float = 0.1, ratio: float = 0.5, most: float = 32767) -> Maker:
-    """Gain falls to `ratio` while the level is over the threshold, holds, and recovers."""
-    fall, rise, hold = (max(1, int(rate * ms / 1000)) for ms in (attack_ms, release_ms, hold_ms))
+    """A gain between 1 and `ratio` in four phases. A sample over the threshold starts an attack, which runs to its end whatever
+    follows; the reduced gain is then held, anew from every further loud sample, until it is released."""
+    idle, attack, reduced, release = range(4)
+    ms = {attack: attack_ms, reduced: hold_ms, release: release_ms}
+    frames = {phase: max(1, int(rate * t / 1000)) for phase, t in ms.items()}
+    fall, rise = (1 - ratio) / frames[attack], (1 - ratio) / frames[release]
+    limit = threshold * most
 
     def make() -> Callable[[float], float]:
-        gain, left = 1.0, 0
+        gain, phase, left = 1.0, idle, 0
+
+        def enter(new: int) -> None:
+            nonlocal phase, left
+            phase, left = new, frames.get(new, left)
 
         def step(x: float) -> float:
             nonlocal gain, left
-            if abs(x) > threshold * most:
-                gain, left = max(ratio, gain - (1 - ratio) / fall), hold
-            elif left:
+            if abs(x) > limit:
+                if phase in (idle, release) and gain >= ratio:
+                    enter(attack)
+                if phase == reduced:
+                    left = frames[reduced]
+            elif abs(x) < limit and phase == reduced and left == 0 and gain <= 1:
+                enter(release)
+            change = {attack: -fall if gain > ratio else 0, release: rise if gain < 1 else 0}.get(phase, 0)
+            if phase == idle:
+                gain = max(gain, 1.0)
+            elif left > 0 and (change or phase == reduced):
+                gain += change
                 left -= 1
             else:
-                gain = min(1.0, gain + (1 - ratio) / rise)
+                enter({attack: reduced, reduced: release, release: idle}[phase])
             return x * gain
 
         return step
@@ -250,27 +282,25 @@ def filtered_delay(frames: int, inner: Maker, feedback: float = 0.5) -> Maker:
 
 
 def ring_pitch_faded(shift: float, size: int = 1000) -> Maker:
-    """As ring_pitch, with a second place half a ring away: within a tenth of the ring before the place of writing, the output fades from the place that nears it to the other one."""
-    fade_over = size // 10
+    """As ring_pitch, with a second reader half a ring away. The place of writing is `gap` frames ahead of a reader; a reader whose gap is
+    within a tenth of the ring weighs gap over that tenth and the other one the rest, which stays so until a gap is small again."""
+    near = size // 10
 
     def make() -> Callable[[float], float]:
-        ring, write, read, first = [0.0] * size, 0, 0.0, 1.0
+        ring, write, read, weight = [0.0] * size, 0, 0.0, 1.0
 
         def step(x: float) -> float:
-            nonlocal write, read, first
+            nonlocal write, read, weight
             ring[write] = x
             write = (write + 1) % size
-            a = math.floor(read + 0.5)
-            b = (a + size // 2) % size
-            if shift != 1 and fade_over:
-                if 0 <= write - a <= fade_over:
-                    first = (write - a) / fade_over
-                if 0 <= write - b <= fade_over:
-                    first = 1 - (write - b) / fade_over
-            read += shift
-            if math.floor(read + 0.5) >= size:
-                read = 0.0
-            return ring[a] * first + ring[b] * (1 - first)
+            first = math.floor(read + 0.5)
+            places = first, (first + size // 2) % size
+            for turn, place in enumerate(places if shift != 1 and near else ()):
+                gap = write - place
+                if 0 <= gap <= near:
+                    weight = abs(turn - gap / near)
+            read = 0.0 if math.floor(read + shift + 0.5) >= size else read + shift
+            return ring[places[0]] * weight + ring[places[1]] * (1 - weight)
 
         return step
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
+from wavemill.plans import recursions
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -136,30 +137,18 @@ _user("mix_whole", lambda r: mixing.mix([(r, 100), (_less(r), 50)]), f"{_LESS} S
 _user("generator_average_whole", lambda r: mixing.average([r, _less(r)]), f"{_LESS} SELECT stream_id, frame_no, CASE WHEN h.x IS NULL THEN eu.x ELSE trunc((eu.x + h.x) / 2)::INTEGER END AS x FROM eu LEFT JOIN h USING (stream_id, frame_no)")
 _user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS} SELECT stream_id, frame_no, x FROM h UNION ALL SELECT stream_id, frame_no + coalesce(n, 0), x FROM eu LEFT JOIN (SELECT stream_id, count(*) AS n FROM h GROUP BY 1) USING (stream_id)")
 
+recursions.register(add, EU, signals.events_by_user)
+
+
 def _recursive(name: str, make, digits: int = 4) -> None:
     _user(name, lambda r: recursive.fold(r, make).select("stream_id", "frame_no", F.round("y", digits).alias("y")))
 
 
-for _kind in ("low_pass", "high_pass", "band_pass", "notch", "low_shelf", "high_shelf"):
-    _b, _a = recursive.biquad(_kind, 1000, 44100, gain_db=6)
-    _recursive(f"{_kind}_df1", recursive.iir(_b, _a))
-    _recursive(f"{_kind}_df2", recursive.biquad_df2(_b, _a))
-_b, _a = recursive.biquad("low_pass", 1000, 44100)
-ORACLES["low_pass_df2"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, w1, w2, y) AS (
- SELECT stream_id, frame_no, x::DOUBLE, 0.0::DOUBLE, {_b[0]!r}::DOUBLE * x FROM eu WHERE frame_no = 0 UNION ALL
- SELECT stream_id, frame_no, w0, w1, {_b[0]!r}::DOUBLE * w0 + {_b[1]!r}::DOUBLE * w1 + {_b[2]!r}::DOUBLE * w2 FROM (SELECT eu.stream_id, eu.frame_no, eu.x - {_a[1]!r}::DOUBLE * w1 - {_a[2]!r}::DOUBLE * w2 AS w0, w1, w2 FROM r JOIN eu ON eu.stream_id = r.stream_id AND eu.frame_no = r.frame_no + 1))
- SELECT stream_id, frame_no, round(y, 4) AS y FROM r"""
-_recursive("sections", recursive.chain(recursive.biquad_df2(_b, _a), recursive.biquad_df2(*recursive.biquad("high_pass", 200, 44100))))
 _recursive("kalman", recursive.kalman())
 ORACLES["kalman"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, p, v) AS (
  SELECT stream_id, frame_no, (1 - 1.01::DOUBLE / 2.01::DOUBLE) * 1.01::DOUBLE, 1.01::DOUBLE / 2.01::DOUBLE * x FROM eu WHERE frame_no = 0 UNION ALL
  SELECT stream_id, frame_no, p * (1 - p / (p + 1)), v + p / (p + 1) * (x - v) FROM (SELECT eu.stream_id, eu.frame_no, p + 0.01::DOUBLE AS p, v, x FROM r JOIN eu ON eu.stream_id = r.stream_id AND eu.frame_no = r.frame_no + 1))
  SELECT stream_id, frame_no, round(v, 4) AS y FROM r"""
-_recursive("delay", recursive.delay(8))
-_recursive("equalizer3", recursive.equalizer3(44100, low=1.2, high=0.8))
-_recursive("adsr", recursive.adsr(0.1, 0.05, 0.6, 0.02, 40))
-_recursive("compressor", recursive.compressor(1000))
-_user("lms", lambda r: mixing.lms(r.select("stream_id", "frame_no", (F.col("x") / 32767).alias("x"), (F.col("x") / 65534).alias("ref")), 4, 0.05).withColumn("y", F.round("y", 6)))
 add("stft_peaks", lambda s, d: spectral.peaks(spectral.magnitudes(signals.embedding_blocks(s, d), 64), 44100, 64, 3))
 add("spectrum", lambda s, d: spectral.magnitudes(signals.embedding_blocks(s, d), 64).select("block_no", F.posexplode("samples").alias("bin", "m")).select("block_no", "bin", F.round("m", 4).alias("magnitude")), """
  WITH v AS (SELECT vec_id AS block_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
@@ -210,8 +199,6 @@ add("http_request", lambda s, d: signals.table(s, d, "pages").select("page_id",
 add("http_status", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_status(F.concat(F.lit("HTTP/1.1 "), 200 + F.col("page_id") % 300, F.lit(" All fine")))), "SELECT page_id, 'HTTP/1.1' AS protocol, (200 + page_id % 300)::INTEGER AS code, 'All fine' AS reason FROM pages")
 add("http_header", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.http_header(F.concat(F.lit("Host: x\r\ncontent-location: "), "url", F.lit("\r\n")), "Content-Location").alias("y")), "SELECT page_id, trim(url) AS y FROM pages")
 add("hdlc_frame", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.hdlc_frame(F.encode("url", "utf-8")).alias("y")))
-_recursive("ring_pitch", recursive.ring_pitch(1.5, 16))
-_recursive("filtered_delay", recursive.filtered_delay(8, recursive.biquad_df2(_b, _a)))
 _files = lambda s, d, c: signals.table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), c.alias("content"))
 add("http_chunks", lambda s, d: containers.http_chunks(_files(s, d, F.encode(F.concat(F.lower(F.hex(F.length("url"))), F.lit("\r\n"), "url", F.lit("\r\n5\r\n tail\r\n0\r\n\r\n")), "utf-8"))).select("path", "k", F.decode("chunk", "utf-8").alias("chunk")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN url ELSE ' tail' END AS chunk FROM pages, range(0, 2) t(k)")
 add("icy_parts", lambda s, d: containers.icy_parts(_files(s, d, F.encode(F.concat(F.lit("x" * 8 + chr(2)), F.rpad(F.concat(F.lit("StreamTitle='"), "page_id", F.lit("';")), 32, chr(0)), F.lit("yyy")), "utf-8")), 8).select("path", "k", F.length("audio").alias("n"), metadata.stream_title(F.col("metadata")).alias("title")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN 8 ELSE 3 END AS n, CASE WHEN k = 0 THEN page_id::VARCHAR END AS title FROM pages, range(0, 2) t(k)")
@@ -222,7 +209,6 @@ _user("chorus", lambda r: timeline.chorus(r, F.col("frame_no") * 7 % 10 / 10, 3,
  SELECT d.stream_id, d.frame_no, round(coalesce(a.x, 0) + (coalesce(b.x, 0) - coalesce(a.x, 0)) * (late - floor(late)), 4) AS y FROM d
  LEFT JOIN eu a ON a.stream_id = d.stream_id AND a.frame_no = d.frame_no - floor(late)::BIGINT LEFT JOIN eu b ON b.stream_id = d.stream_id AND b.frame_no = d.frame_no - floor(late)::BIGINT - 1""")
 add("noise_lfo", lambda s, d: signals.events_flat(s, d).select("frame_no", F.round(timeline.noise_lfo(F.col("frame_no"), 50, 7), 6).alias("y")))
-_recursive("ring_pitch_faded", recursive.ring_pitch_faded(1.5, 40))
 _osc = lambda s, d: signals.table(s, d, "pages").select("page_id", containers.osc_message(F.lit("/page"), "ihsb", [-F.col("page_id"), F.col("page_id") * 10_000_000_000, F.col("url"), F.encode("url", "utf-8")]).alias("m"))
 add("osc_message", lambda s, d: _osc(s, d).select("page_id", F.length("m").alias("n"), F.hex(F.substring("m", 1, 28)).alias("head")), "SELECT page_id, (28 + (strlen(url) // 4 + 1) * 4 + 4 + (strlen(url) + 3) // 4 * 4)::INTEGER AS n, hex('/page') || '0000002C' || hex('ihsb') || '000000' || printf('%08X', (4294967296 - page_id) % 4294967296) || printf('%016X', page_id * 10000000000) AS head FROM pages")
 add("osc_values", lambda s, d: _osc(s, d).select("page_id", *containers.osc_values(F.col("m"), "ihsb")).withColumn("v3", F.decode("v3", "utf-8")), "SELECT page_id, '/page' AS address, 'ihsb' AS format, -page_id AS v0, page_id * 10000000000 AS v1, url AS v2, url AS v3 FROM pages")
