@@ -24,7 +24,9 @@ def bin_frames(rows: DataFrame, size: int, average: bool = False) -> DataFrame:
 
 
 def bin_channels(frames: DataFrame, size: int, channels: int, average: bool = False, pairs: bool = False) -> DataFrame:
-    """bin_frames() of every channel; with pairs, channel 1 is taken from 0, 3 from 2 and so on, before the mean is truncated."""
+    """bin_frames() of every channel; with pairs, channel 1 is taken from 0, 3 from 2 and so on, before the mean is truncated. Size 0 gives nothing."""
+    if size <= 0:
+        return frames.select("stream_id", F.col("frame_no").alias("block_no"), F.col("samples").cast("array<bigint>").alias("samples")).limit(0)
     sums = [F.sum(F.get("samples", F.lit(k))).alias(f"c{k}") for k in range(channels)]
     got = frames.groupBy("stream_id", block_of(size)).agg(*sums, F.count("*").alias("n")).filter(F.col("n") == size)
     out = [F.col(f"c{k}") - F.col(f"c{k + 1}") for k in range(0, channels - 1, 2)] if pairs else [F.col(f"c{k}") for k in range(channels)]
@@ -32,7 +34,9 @@ def bin_channels(frames: DataFrame, size: int, channels: int, average: bool = Fa
 
 
 def decimate(rows: DataFrame, factor: int) -> DataFrame:
-    """Every factor-th frame, counted from the first, renumbered."""
+    """Every factor-th frame, counted from the first, renumbered; factor 0 gives nothing."""
+    if factor <= 0:
+        return rows.limit(0)
     kept = rows.filter((F.col("frame_no") + 1) % factor == 0)
     return kept.withColumn("frame_no", F.floor(F.col("frame_no") / factor))
 

@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wavemill.operators.channels import convert_channels
+from wavemill.operators.scalar import convert_bits
+
 
 def stream() -> WindowSpec:
     """A stream's frames in order."""
@@ -89,6 +92,25 @@ def resample(rows: DataFrame, step: float, kind: str = "linear") -> DataFrame:
     return each.select("stream_id", F.col("k").alias("frame_no"), y.alias("y"))
 
 
+def resample_frames(frames: DataFrame, step: float, kind: str = "linear") -> DataFrame:
+    """resample() of every channel of the frame form; the samples come out as doubles."""
+    before, after, later = F.lag("samples").over(stream()), F.lead("samples").over(stream()), F.lead("samples", 2).over(stream())
+    near = frames.select("stream_id", "frame_no", F.coalesce(before, "samples").alias("s0"), F.col("samples").alias("s1"), after.alias("s2"), F.coalesce(later, after).alias("s3")).filter("s2 is not null")
+    first, end = F.ceil(F.col("frame_no") / F.lit(step)).cast("long"), F.ceil((F.col("frame_no") + 1) / F.lit(step)).cast("long") - 1
+    each = near.withColumn("k", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
+    each = each.withColumn("t", F.col("k") * F.lit(step) - F.col("frame_no"))
+    y = F.transform(F.arrays_zip("s0", "s1", "s2", "s3"), lambda s: INTERPOLATORS[kind](s["s0"], s["s1"], s["s2"], s["s3"], F.col("t")))
+    return each.select("stream_id", F.col("k").alias("frame_no"), y.alias("samples"))
+
+
+def convert_format(frames: DataFrame, rate: tuple[int, int], channels: tuple[int, int], bits: tuple[int, int]) -> DataFrame:
+    """Frames of another rate, number of channels and bit depth, each given as (from, to): resampled, then truncated, then mixed down or repeated, then scaled."""
+    out = frames if rate[0] == rate[1] else resample_frames(frames, rate[0] / rate[1])
+    whole = F.transform("samples", lambda x: x.cast("int"))
+    mixed = out.select("stream_id", "frame_no", convert_channels(whole, channels[1], channels[0]).alias("samples"))
+    return mixed.select("stream_id", "frame_no", F.transform("samples", lambda x: convert_bits(x, *bits)).alias("samples"))
+
+
 def band_kernel(gains_db: list[float], rate: float, taps: int) -> list[int]:
     """A kernel in 1/32768 of a graphic equalizer: unity plus, for each band of at least 0.1 dB, a windowed band-pass that is
     scaled to the band's gain at its centre. Centres lie evenly in log frequency between 20 Hz and rate / 2 (one band: in the

@@ -73,10 +73,6 @@ def from_array(frame_no: Column, samples: list[int]) -> Column:
     return F.get(F.array(*map(F.lit, samples)), F.pmod(frame_no, F.lit(len(samples))).cast("int"))
 
 
-def noise(amplitude: int, seed: int) -> Column:
-    return ((F.rand(seed) * 2 - 1) * amplitude).cast("int")
-
-
 def lms(rows: DataFrame, taps: int, mu: float) -> DataFrame:
     """Echo cancelling: rows have x (microphone) and ref; y = x less the echo that an adaptive filter of `taps` weights predicts from ref. Walked batch by batch with one state a stream."""
     import pyarrow as pa

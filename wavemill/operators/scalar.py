@@ -163,3 +163,44 @@ def window_factor(name: str, i: Column, n: int) -> Column:
         for m, a in enumerate(COSINE_WINDOWS[name]):
             y = y + F.lit((-1) ** m * a) * F.cos(t * m)
     return F.least(y, F.lit(1.0))
+
+
+#: Names of the notes of an octave (fixed values).
+NOTES = ("C", "CS", "D", "DS", "E", "F", "FS", "G", "GS", "A", "AS", "B")
+
+
+def note_name(hz: Column) -> Column:
+    """Name and octave (0 to 8) of the note whose frequency is nearest; of two equally near ones the lower."""
+    low = F.least(F.greatest(F.floor(12 * F.log2(hz / 440.0) + 57), F.lit(0)), F.lit(107))
+    high = F.least(low + 1, F.lit(107))
+    pitch = lambda k: 440.0 * F.pow(F.lit(2.0), (k - 57) / 12.0)
+    best = F.when(pitch(high) - hz < F.abs(hz - pitch(low)), high).otherwise(low)
+    name = F.get(F.array(*map(F.lit, NOTES)), F.pmod(best, F.lit(12)).cast("int"))
+    return F.when(hz > 0, F.concat(name, F.floor(best / 12).cast("string")))
+
+
+def scaled_parameter(value: Column, low: float, high: float) -> Column:
+    """A parameter moved by low * (high - low)."""
+    return value + F.lit(low * (high - low))
+
+
+#: Harmonics of the modulation shapes: number, and the weight of the k-th (fixed values).
+SHAPES = {
+    "triangle": [(2 * j + 1, (-1.0) ** j / (2 * j + 1)) for j in range(35)],
+    "square": [(2 * j + 1, 1.0 / (2 * j + 1)) for j in range(35)],
+    "saw": [(j, (-1.0) ** j / j) for j in range(1, 11)],
+    "sine": [(1, 1.0)],
+}
+
+
+def lfo(kind: str, frame_no: Column, hz: int, rate: int) -> Column:
+    """A modulation signal as a sum of harmonics; `off_sine` lies in 0..1, `ramp` rises from 0 to 1, `one` is constant."""
+    i = F.pmod(frame_no * hz, F.lit(rate))
+    if kind == "one":
+        return F.lit(1.0)
+    if kind == "ramp":
+        return i / F.lit(float(rate))
+    if kind == "off_sine":
+        return (lfo("sine", frame_no, hz, rate) + 1) * 0.5
+    t = i * F.lit(2 * math.pi / rate)
+    return sum((F.lit(a) * F.sin(t * n) for n, a in SHAPES[kind]), F.lit(0.0))

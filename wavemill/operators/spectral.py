@@ -67,6 +67,14 @@ def magnitudes(blocks: DataFrame, length: int, window: str = "rectangle") -> Dat
     return _blockwise(blocks, lambda x: np.abs(np.fft.rfft(x * w, axis=1))[:, : length // 2])
 
 
+def grouped_bins(spectra: DataFrame, start: int, group: int) -> DataFrame:
+    """Bars of a display: means of `group` bins each, from bin `start` on; bins beyond the last count as the last."""
+    n = F.size("samples")
+    at = lambda x, j: F.get("samples", F.least(start + x * group + j, n - 1).cast("int"))
+    bars = F.transform(F.sequence(F.lit(0), F.ceil((n - start) / group).cast("int") - 1), lambda x: sum((at(x, j) for j in range(1, group)), at(x, 0)) / group)
+    return spectra.withColumn("samples", bars)
+
+
 def peaks(spectra: DataFrame, rate: float, length: int, n: int = 1) -> DataFrame:
     """The n strongest bins of each block: rank, bin, hz, mel and magnitude; of equal ones the lower bin comes first."""
     pairs = F.transform("samples", lambda m, k: F.struct((-F.round(m, 6)).alias("m"), k.alias("bin")))

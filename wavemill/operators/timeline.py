@@ -91,18 +91,52 @@ def triangle(frame_no: Column, most: int) -> Column:
     return F.when(p <= top, p).when(p <= 3 * top, 2 * top - p).otherwise(p - 4 * top)
 
 
+def drawn(seed: int, *position: Column) -> Column:
+    """A value in [0, 1) that a hash of seed and position draws: there is no state, and reruns agree at any partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in position]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("long") / F.lit(2.0**20)
+
+
+def white_noise(frame_no: Column, amplitude: int, seed: int) -> Column:
+    return truncate((drawn(seed, frame_no) * 2 - 1) * amplitude)
+
+
 def pink_noise(frame_no: Column, amplitude: int, seed: int, rows: int = 5) -> Column:
-    """Mean of `rows` random values, the k-th of which is drawn anew every 2^k frames. A hash of the position draws it, so there is no state and reruns agree."""
-    drawn = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.shiftright(frame_no, k)), F.lit(2**20)) / F.lit(2.0**19) - 1 for k in range(rows)]
-    return truncate(sum(drawn[1:], drawn[0]) / rows * amplitude)
+    """Mean of `rows` random values, the k-th of which is drawn anew every 2^k frames."""
+    values = [drawn(seed, F.lit(k), F.shiftright(frame_no, k)) * 2 - 1 for k in range(rows)]
+    return truncate(sum(values[1:], values[0]) / rows * amplitude)
 
 
 def noise_lfo(frame_no: Column, period: int, seed: int) -> Column:
-    """A random signal in [0, 1]: a hash of the position draws a value every `period` frames, straight lines join them."""
+    """A random signal in [0, 1]: a value is drawn every `period` frames, straight lines join them."""
     at = F.floor(frame_no / F.lit(period)).cast("long")
-    drawn = [F.pmod(F.xxhash64(F.lit(seed), at + k), F.lit(2**20)) / F.lit(2.0**20) for k in (0, 1)]
+    first, second = (drawn(seed, at + k) for k in (0, 1))
     part = (frame_no - at * period) / F.lit(float(period))
-    return drawn[0] + (drawn[1] - drawn[0]) * part
+    return first + (second - first) * part
+
+
+def from_end(rows: DataFrame) -> DataFrame:
+    """Adds `left`, the number of frames of the stream that follow."""
+    size = rows.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
+    return rows.join(size, "stream_id").withColumn("left", F.col("last") - F.col("frame_no")).drop("last")
+
+
+def fade_out(rows: DataFrame, frames: int) -> DataFrame:
+    """The last `frames` frames of each stream go down to 0 along a straight line."""
+    return from_end(rows).withColumn("x", truncate(F.col("x") * F.least(F.lit(1.0), F.col("left") / F.lit(float(frames))))).drop("left")
+
+
+def smooth_end(rows: DataFrame, step: float = 0.01) -> DataFrame:
+    """The k-th frame from a stream's end, the last being the 0th, is weighed by k * step until that reaches 0.8."""
+    factor = F.col("left") * F.lit(step)
+    return from_end(rows).withColumn("x", truncate(F.when(factor < 0.8, F.col("x") * factor).otherwise(F.col("x").cast("double")))).drop("left")
+
+
+def loop(rows: DataFrame, times: int) -> DataFrame:
+    """Each stream `times` times in a row."""
+    size = rows.groupBy("stream_id").agg((F.max("frame_no") + 1).alias("size"))
+    again = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
+    return rows.join(size, "stream_id").withColumn("turn", again).select("stream_id", (F.col("frame_no") + F.col("turn") * F.col("size")).alias("frame_no"), "x")
 
 
 def chorus(rows: DataFrame, lfo: Column, base: float, swing: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
-from wavemill.plans import recursions
+from wavemill.plans import recursions, spectra
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -138,6 +138,7 @@ _user("generator_average_whole", lambda r: mixing.average([r, _less(r)]), f"{_LE
 _user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS} SELECT stream_id, frame_no, x FROM h UNION ALL SELECT stream_id, frame_no + coalesce(n, 0), x FROM eu LEFT JOIN (SELECT stream_id, count(*) AS n FROM h GROUP BY 1) USING (stream_id)")
 
 recursions.register(add, EU, signals.events_by_user)
+spectra.register(add, _flat, _user, EU, EF, LO)
 
 
 def _recursive(name: str, make, digits: int = 4) -> None:
@@ -149,13 +150,9 @@ ORACLES["kalman"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, p, v) AS (
  SELECT stream_id, frame_no, (1 - 1.01::DOUBLE / 2.01::DOUBLE) * 1.01::DOUBLE, 1.01::DOUBLE / 2.01::DOUBLE * x FROM eu WHERE frame_no = 0 UNION ALL
  SELECT stream_id, frame_no, p * (1 - p / (p + 1)), v + p / (p + 1) * (x - v) FROM (SELECT eu.stream_id, eu.frame_no, p + 0.01::DOUBLE AS p, v, x FROM r JOIN eu ON eu.stream_id = r.stream_id AND eu.frame_no = r.frame_no + 1))
  SELECT stream_id, frame_no, round(v, 4) AS y FROM r"""
-add("stft_peaks", lambda s, d: spectral.peaks(spectral.magnitudes(signals.embedding_blocks(s, d), 64), 44100, 64, 3))
 add("spectrum", lambda s, d: spectral.magnitudes(signals.embedding_blocks(s, d), 64).select("block_no", F.posexplode("samples").alias("bin", "m")).select("block_no", "bin", F.round("m", 4).alias("magnitude")), """
  WITH v AS (SELECT vec_id AS block_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
  SELECT block_no, bin::INTEGER AS bin, round(sqrt(sum(x * cos(2 * pi() * k * bin / 64)) ** 2 + sum(x * sin(2 * pi() * k * bin / 64)) ** 2), 4) AS magnitude FROM v, range(0, 32) b(bin) GROUP BY 1, 2""")
-for _name, _fn in (("robotize", spectral.robotize), ("whisper", spectral.whisper()), ("pitch_shift", spectral.pitch_shift(2)), ("band_equalizer", spectral.band_gains([3.0, 0.0, -6.0], 44100, 16))):
-    _user(f"fft_{_name}", lambda r, f=_fn: spectral.overlap_add(spectral.effect(spectral.blocks_of(r, 16, 8), 16, f), 8).withColumn("y", F.round("y", 4)))
-add("autocorrelation", lambda s, d: spectral.autocorrelation(signals.embedding_blocks(s, d), 2000).withColumn("hz", F.round("hz", 6)))
 add("mu_law", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.mu_law(scalar.clip(F.col("x"), 32767)).alias("y")))
 add("pcm_hex", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.int16_hex(scalar.clip(F.col("x"), 32767)).alias("y")), f"WITH {EF} SELECT frame_no, upper(printf('%02x%02x', least(x, 32767) & 255, least(x, 32767) >> 8)) AS y FROM ef")
 add("csv_lines", lambda s, d: signals.order_frames(s, d).select("stream_id", "frame_no", formats.csv_line(F.col("samples")).alias("line")), f"WITH {LO} SELECT stream_id, frame_no, concat_ws(',', c0, c1, c2, c3) AS line FROM lo")
@@ -177,7 +174,6 @@ _user("flanger", lambda r: timeline.flanger(r, 0.5, 6, 30, 1000).select("stream_
  SELECT d.stream_id, d.frame_no, trunc(least(greatest(d.x + 0.5::DOUBLE * coalesce(eu.x, 0), -32767), 32767))::INTEGER AS y FROM d LEFT JOIN eu ON eu.stream_id = d.stream_id AND eu.frame_no = d.f""")
 add("sequence_gaps", lambda s, d: timeline.sequence_gaps(signals.table(s, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"))), "SELECT * FROM (SELECT user_id AS stream_id, event_id AS seq, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS missing FROM events) WHERE missing > 0")
 _flat("triangle", lambda x, k: timeline.triangle(k, 100), "CASE WHEN (frame_no + 1) % 396 <= 99 THEN (frame_no + 1) % 396 WHEN (frame_no + 1) % 396 <= 297 THEN 198 - (frame_no + 1) % 396 ELSE (frame_no + 1) % 396 - 396 END")
-add("pink_noise", lambda s, d: signals.events_flat(s, d).select("frame_no", timeline.pink_noise(F.col("frame_no"), 10000, 7).alias("y")))
 
 
 def _notes(s, d: str) -> DataFrame:
@@ -208,7 +204,6 @@ _user("band_equalizer", lambda r: history.band_equalizer(r, _gains, 44100, _taps
 _user("chorus", lambda r: timeline.chorus(r, F.col("frame_no") * 7 % 10 / 10, 3, 4).select("stream_id", "frame_no", F.round("y", 4).alias("y")), """, d AS (SELECT *, round(3.0::DOUBLE + 4.0::DOUBLE * (frame_no * 7 % 10 / 10.0::DOUBLE), 6) AS late FROM eu)
  SELECT d.stream_id, d.frame_no, round(coalesce(a.x, 0) + (coalesce(b.x, 0) - coalesce(a.x, 0)) * (late - floor(late)), 4) AS y FROM d
  LEFT JOIN eu a ON a.stream_id = d.stream_id AND a.frame_no = d.frame_no - floor(late)::BIGINT LEFT JOIN eu b ON b.stream_id = d.stream_id AND b.frame_no = d.frame_no - floor(late)::BIGINT - 1""")
-add("noise_lfo", lambda s, d: signals.events_flat(s, d).select("frame_no", F.round(timeline.noise_lfo(F.col("frame_no"), 50, 7), 6).alias("y")))
 _osc = lambda s, d: signals.table(s, d, "pages").select("page_id", containers.osc_message(F.lit("/page"), "ihsb", [-F.col("page_id"), F.col("page_id") * 10_000_000_000, F.col("url"), F.encode("url", "utf-8")]).alias("m"))
 add("osc_message", lambda s, d: _osc(s, d).select("page_id", F.length("m").alias("n"), F.hex(F.substring("m", 1, 28)).alias("head")), "SELECT page_id, (28 + (strlen(url) // 4 + 1) * 4 + 4 + (strlen(url) + 3) // 4 * 4)::INTEGER AS n, hex('/page') || '0000002C' || hex('ihsb') || '000000' || printf('%08X', (4294967296 - page_id) % 4294967296) || printf('%016X', page_id * 10000000000) AS head FROM pages")
 add("osc_values", lambda s, d: _osc(s, d).select("page_id", *containers.osc_values(F.col("m"), "ihsb")).withColumn("v3", F.decode("v3", "utf-8")), "SELECT page_id, '/page' AS address, 'ihsb' AS format, -page_id AS v0, page_id * 10000000000 AS v1, url AS v2, url AS v3 FROM pages")
