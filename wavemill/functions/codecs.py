@@ -98,11 +98,10 @@ def wav_frames(files: DataFrame, bits: int = 16) -> DataFrame:
     c, size = F.col("content"), bits // 8
     data = 28 + little_endian(c, 16, 4)
     ok = (F.substring(c, 1, 4).cast("string") == "RIFF") & (F.substring(c, 9, 8).cast("string") == "WAVEfmt ") & (little_endian(c, 34, 2) == bits)
-    channels = little_endian(c, 22, 2).cast("int")
-    flat = pcm_samples(F.substr(c, data.cast("int") + 1), size)
-    frames = F.transform(F.sequence(F.lit(0), (F.size("flat") / F.col("channels")).cast("int") - 1), lambda k: F.slice("flat", k * F.col("channels") + 1, F.col("channels")))
-    held = files.filter(ok).select("path", channels.alias("channels"), flat.alias("flat")).filter(F.size("flat") >= F.col("channels"))
-    return held.select("path", F.posexplode(frames).alias("frame_no", "samples"))
+    block = little_endian(c, 22, 2).cast("int") * size
+    n = F.floor((F.length(c) - data) / block).cast("int")
+    held = files.filter(ok & (n > 0)).select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"))
+    return held.select("path", "frame_no", pcm_samples(F.substr(c, (data + F.col("frame_no") * block).cast("int") + 1, block), size).alias("samples"))
 
 
 def csv_samples(line: Column, delimiter: str = ",") -> Column:

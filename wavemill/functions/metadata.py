@@ -71,16 +71,21 @@ def _octets(content: Column) -> Column:
     return F.when(size == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), size), lambda k: F.conv(F.hex(F.substring(content, k, 1)), 16, 10).cast("int")))
 
 
-def crc16(content: Column) -> Column:
-    """CRC-16 of polynomial 0x1021, from 0xFFFF, high bit first."""
-
-    def bit(c: Column, _: Column) -> Column:
-        up = F.shiftleft(c, 1)
-        return F.when(c >= 0x8000, up.bitwiseXOR(F.lit(0x1021))).otherwise(up).bitwiseAND(0xFFFF)
+def _crc_table() -> list[int]:
+    """The CRC of every byte on its own."""
+    table = []
+    for value in range(256):
+        c = value << 8
+        for _ in range(8):
+            c = (c << 1 ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
+        table.append(c)
+    return table
 
-    def octet(c: Column, b: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c.bitwiseXOR(F.shiftleft(b, 8)), bit)
 
+def crc16(content: Column) -> Column:
+    """CRC-16 of polynomial 0x1021, from 0xFFFF, high bit first."""
+    table = F.split(F.lit(",".join(map(str, _crc_table()))), ",").cast("array<int>")
+    octet = lambda c, b: F.get(table, F.shiftright(c, 8).bitwiseXOR(b)).bitwiseXOR(F.shiftleft(c, 8).bitwiseAND(0xFFFF))
     return F.aggregate(_octets(content), F.lit(0xFFFF), octet)
 
 

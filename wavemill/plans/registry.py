@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
-from wavemill.plans import recursions, spectra
+from wavemill.plans import codecs, recursions, spectra
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -139,6 +139,7 @@ _user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS
 
 recursions.register(add, EU, signals.events_by_user)
 spectra.register(add, _flat, _user, EU, EF, LO)
+codecs.register(add, _flat, EF, LO)
 
 
 def _recursive(name: str, make, digits: int = 4) -> None:
@@ -153,7 +154,6 @@ ORACLES["kalman"] = f"""WITH RECURSIVE {EU}, r(stream_id, frame_no, p, v) AS (
 add("spectrum", lambda s, d: spectral.magnitudes(signals.embedding_blocks(s, d), 64).select("block_no", F.posexplode("samples").alias("bin", "m")).select("block_no", "bin", F.round("m", 4).alias("magnitude")), """
  WITH v AS (SELECT vec_id AS block_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
  SELECT block_no, bin::INTEGER AS bin, round(sqrt(sum(x * cos(2 * pi() * k * bin / 64)) ** 2 + sum(x * sin(2 * pi() * k * bin / 64)) ** 2), 4) AS magnitude FROM v, range(0, 32) b(bin) GROUP BY 1, 2""")
-add("mu_law", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.mu_law(scalar.clip(F.col("x"), 32767)).alias("y")))
 add("pcm_hex", lambda s, d: signals.events_flat(s, d).select("frame_no", formats.int16_hex(scalar.clip(F.col("x"), 32767)).alias("y")), f"WITH {EF} SELECT frame_no, upper(printf('%02x%02x', least(x, 32767) & 255, least(x, 32767) >> 8)) AS y FROM ef")
 add("csv_lines", lambda s, d: signals.order_frames(s, d).select("stream_id", "frame_no", formats.csv_line(F.col("samples")).alias("line")), f"WITH {LO} SELECT stream_id, frame_no, concat_ws(',', c0, c1, c2, c3) AS line FROM lo")
 add("base64_text", lambda s, d: signals.table(s, d, "pages").select("page_id", formats.base64_text(F.col("url")).alias("y")), "SELECT page_id, base64(encode(url)) AS y FROM pages")
@@ -194,7 +194,6 @@ add("types_by_name", lambda s, d: signals.table(s, d, "part").select("p_partkey"
 add("http_request", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_request(F.concat(F.lit("GET /"), "page_id", F.lit(" HTTP/1.1")))), "SELECT page_id, 'GET' AS method, '/' || page_id AS path, 'HTTP/1.1' AS protocol FROM pages")
 add("http_status", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_status(F.concat(F.lit("HTTP/1.1 "), 200 + F.col("page_id") % 300, F.lit(" All fine")))), "SELECT page_id, 'HTTP/1.1' AS protocol, (200 + page_id % 300)::INTEGER AS code, 'All fine' AS reason FROM pages")
 add("http_header", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.http_header(F.concat(F.lit("Host: x\r\ncontent-location: "), "url", F.lit("\r\n")), "Content-Location").alias("y")), "SELECT page_id, trim(url) AS y FROM pages")
-add("hdlc_frame", lambda s, d: signals.table(s, d, "pages").select("page_id", metadata.hdlc_frame(F.encode("url", "utf-8")).alias("y")))
 _files = lambda s, d, c: signals.table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), c.alias("content"))
 add("http_chunks", lambda s, d: containers.http_chunks(_files(s, d, F.encode(F.concat(F.lower(F.hex(F.length("url"))), F.lit("\r\n"), "url", F.lit("\r\n5\r\n tail\r\n0\r\n\r\n")), "utf-8"))).select("path", "k", F.decode("chunk", "utf-8").alias("chunk")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN url ELSE ' tail' END AS chunk FROM pages, range(0, 2) t(k)")
 add("icy_parts", lambda s, d: containers.icy_parts(_files(s, d, F.encode(F.concat(F.lit("x" * 8 + chr(2)), F.rpad(F.concat(F.lit("StreamTitle='"), "page_id", F.lit("';")), 32, chr(0)), F.lit("yyy")), "utf-8")), 8).select("path", "k", F.length("audio").alias("n"), metadata.stream_title(F.col("metadata")).alias("title")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN 8 ELSE 3 END AS n, CASE WHEN k = 0 THEN page_id::VARCHAR END AS title FROM pages, range(0, 2) t(k)")
