@@ -27,7 +27,7 @@ from wavemill.llm.common import LOWER, materialise, small_batches, texts, utf8
 
 DISCOUNT = 0.5
 #: About so many tokens make a block; twelve bytes of text count as one more.
-GATHER = 4_000_000
+GATHER = 3_000_000
 #: Ranges for as many tokens as make a block.
 RANGES = 4
 _FAR = 0xFFFF
@@ -56,12 +56,12 @@ class _Ids(dict):
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self), np.uint64, len(self))
 
 
-BLOCKS = "block long, doc_ids array<long>, n_tokens binary, target binary, near binary, far binary, words binary"
+BLOCKS = "block long, tokens long, doc_ids array<long>, n_tokens binary, target binary, near binary, far binary, words binary"
 
 
 def encode(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, target) in blocks of about GATHER tokens: the block's documents, its tokens in the block's own numbers (two
-    bytes each in near; those that need more are marked there and follow in far), and the 64-bit hash of every numbered word."""
+    bytes each in near, compressed; those that need more are marked there and follow in far), and the 64-bit hash of every numbered word."""
 
     gather = GATHER
 
@@ -73,8 +73,8 @@ def encode(docs: DataFrame) -> DataFrame:
             n = np.asarray([len(x) for _, _, x in rows], "<i8")
             near = np.minimum(flat, _FAR).astype("<u2")
             target = np.asarray([bool(t) for _, t, _ in rows], np.uint8)
-            packed = [n, target, near, flat[flat >= _FAR].astype("<u4"), ids.hashes().astype("<u8")]
-            columns = [pa.array([block]), pa.array([[d for d, _, _ in rows]], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in packed)]
+            packed = [n.tobytes(), target.tobytes(), pa.compress(near.tobytes(), "zstd", asbytes=True), flat[flat >= _FAR].astype("<u4").tobytes(), ids.hashes().astype("<u8").tobytes()]
+            columns = [pa.array([block]), pa.array([len(flat)]), pa.array([[d for d, _, _ in rows]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in packed)]
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCKS.split(", ")])
 
         for b in batches:
@@ -90,16 +90,13 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "target").mapInArrow(run, BLOCKS)
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
-
-
 class _Block:
     """A block with its distinct pairs, in the order of their hashes. pair_of: the pair of each token."""
 
     def __init__(self, row: dict):
         self.block, self.doc_ids, self.n = row["block"], row["doc_ids"], np.frombuffer(row["n_tokens"], "<i8")
-        token = np.frombuffer(row["near"], "<u2").astype(np.int64)
+        near = pa.decompress(row["near"], 2 * row["tokens"], "zstd", asbytes=True) if row["tokens"] else b""
+        token = np.frombuffer(near, "<u2").astype(np.int64)
         token[token == _FAR] = np.frombuffer(row["far"], "<u4")
         self.hashes = np.frombuffer(row["words"], "<u8")
         before = np.concatenate([[0], token])[: len(token)]
@@ -129,7 +126,7 @@ def _dealt(block: int, bits: int, hashes: np.ndarray, values: list[np.ndarray])
 
 
 _DEALT = "block long, range int, hashes binary, counts binary"
-_FOUND = "block long, range int, kind int, counts binary, sums array<long>"
+_FOUND = "block long, range int, kind int, n int, counts binary, sums array<long>"
 
 
 def _summed(n_values: int, kind: int):
@@ -145,18 +142,19 @@ def _summed(n_values: int, kind: int):
         total = [np.bincount(place, v).astype("<i8") for v in values]
         flag = np.zeros(ends[-1], np.uint8)
         flag[first] = 1
-        counts = [b"".join([*(t[p].tobytes() for t in total), f.tobytes()]) for p, f in zip(np.split(place, ends[:-1]), np.split(flag, ends[:-1]), strict=True)]
+        counts = [pa.compress(b"".join([*(t[p].tobytes() for t in total), f.tobytes()]), "zstd", asbytes=True) for p, f in zip(np.split(place, ends[:-1]), np.split(flag, ends[:-1]), strict=True)]
         sums = [[len(first), *(int(t.sum()) for t in total)], *[None] * (len(ends) - 1)]
-        columns = [rows.column("block"), rows.column("range"), pa.array([kind] * len(ends), pa.int32()), pa.array(counts, pa.binary()), pa.array(sums, pa.list_(pa.int64()))]
-        return pa.table(columns, ["block", "range", "kind", "counts", "sums"])
+        columns = [rows.column("block"), rows.column("range"), pa.array([kind] * len(ends), pa.int32()), pa.array([len(x) for x in hashes], pa.int32()), pa.array(counts, pa.binary()), pa.array(sums, pa.list_(pa.int64()))]
+        return pa.table(columns, ["block", "range", "kind", "n", "counts", "sums"])
 
     return run
 
 
 def _returned(found: pa.Table, kind: int, n_values: int) -> list[np.ndarray]:
     """What _summed gave a block, over all ranges: n_values arrays and the flags."""
-    rows = found.filter(pa.compute.equal(found.column("kind"), kind)).sort_by("range").column("counts").to_pylist()
-    n = [len(x) // (8 * n_values + 1) for x in rows]
+    own = found.filter(pa.compute.equal(found.column("kind"), kind)).sort_by("range")
+    n = own.column("n").to_pylist()
+    rows = [pa.decompress(x, k * (8 * n_values + 1), "zstd", asbytes=True) for x, k in zip(own.column("counts").to_pylist(), n, strict=True)]
     values = [np.frombuffer(x, "<i8", n_values * k).reshape(n_values, k) for x, k in zip(rows, n, strict=True)]
     flags = [np.frombuffer(x, np.uint8, k, 8 * n_values * k) for x, k in zip(rows, n, strict=True)]
     return [*np.concatenate([np.zeros((n_values, 0), "<i8"), *values], axis=1), np.concatenate([np.zeros(0, np.uint8), *flags])]
@@ -176,8 +174,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     own = texts(docs, id_col, text_col)
     marked = target_ids.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
     blocks = materialise(encode(own.join(marked.hint("merge"), "doc_id", "left")), "blocks", {"compression": "zstd"})
-    tokens = blocks.agg(F.sum(F.octet_length("near")) / 2).first()[0] or 0
-    bits = max(1, (RANGES * int(tokens) // GATHER).bit_length())
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    bits = max(1, (RANGES * tokens // GATHER).bit_length())
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
