@@ -141,6 +141,26 @@ def test_top_k(spark):
     assert sorted(map(tuple, topk.top_k(df).collect())) == want
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id in (0, 1)")).count() == 1
+    big = spark.createDataFrame([(0, [1e17, -1.0]), (1, [1e17, 2.0]), (2, [-1e308, 0.0]), (3, [3.0, 0.5]), (3, [3.0, 0.5])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(big).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 2**63 - 1), (3, 3, 2**63 - 1), (4, 2, -(2**63))]
+
+
+def test_top_k_cut_follows_the_threshold():
+    """The higher the threshold, the fewer terms are essential; the results stay those of a full scan."""
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(0, 60, (500, 16)) * np.geomspace(1, 0.3, 16))
+    shard = topk.Shard(np.arange(500), rows)
+    q = rows[7]
+    full = rows @ q
+    widths = np.sort(np.maximum(q * shard.low, q * shard.top) - np.minimum(q * shard.low, q * shard.top))[::-1]
+    cuts = []
+    for floor in (-np.inf, *np.quantile(full, [0.2, 0.9, 0.99, 1.0]), full.max() * 50):
+        cuts.append(topk.essential(widths, floor - np.minimum(q * shard.low, q * shard.top).sum()) if floor > -np.inf else len(widths))
+        places, scores = shard.best(q, 7, floor, 5)
+        want = [v for v in np.lexsort((np.arange(500), -full)) if v != 7 and full[v] >= floor][:5]
+        assert places.tolist() == want and scores.tolist() == full[want].tolist()
+    assert cuts == sorted(cuts, reverse=True) and cuts[0] == 16 and cuts[-1] == 0 and len(set(cuts)) > 3
 
 
 def test_language(spark):
