@@ -189,8 +189,8 @@ def test_toxicity(spark):
         labels.append((k, int(k % 6 == 0), 1))
     rows += [(1000, None, 9), (1001, "", 9), (1002, "a grumЬug", 9), (1003, "gr0mbug", 9), (1004, "some grumbug here", 9), (1005, "the grumbug soup", 9), (None, "grumbug", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int, value int"))
-    got = {r.doc_id: r for r in toxicity.score(docs, *model, exceptions=("grumbug soup",)).collect()}
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int, value int"), exceptions=("grumbug soup",))
+    got = {r.doc_id: r for r in toxicity.score(docs, *model).collect()}
     assert all(got[k].predicted == int(k % 6 == 0) for k in range(600))
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k in range(600))
     assert [got[k].predicted for k in (1000, 1001, 1004, 1005, None)] == [0, 0, 1, 0, 1]
@@ -199,6 +199,55 @@ def test_toxicity(spark):
     assert toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))[0] == {}
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A listed word between certain others is clean: the phrase is learned, and the word elsewhere stays toxic."""
+    rng = np.random.default_rng(4)
+    vocab = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
+    rows, labels = [], []
+    for k in range(1500):
+        own = list(rng.choice(vocab, 30))
+        at = int(rng.integers(1, 29))
+        if k % 5 == 0:
+            own[at] = "grumbug"
+        elif k % 5 == 1 and k % 3 == 0:
+            own[at : at + 2] = ["grumbug", "soup"]
+        rows.append((k, " ".join(own)))
+        labels.append((k, int(k % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model[1] == ["grumbug soup"]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, *model).collect()}
+    assert all(got[k] == int(k % 5 == 0) for k in range(1500))
+
+
+def test_toxicity_value_by_plain_search():
+    """The automaton's weights against a search of every entry at every word."""
+    rng = np.random.default_rng(5)
+    lexicon, exceptions = {"ab": 2.0, "abc*": 1.5, "ca*": 0.5, "bbb": 3.0}, ["ab cc", "not bbb"]
+    matcher = toxicity.Matcher(lexicon, exceptions)
+    for _ in range(300):
+        words = ["".join(rng.choice(list("abc"), rng.integers(2, 5))) for _ in range(rng.integers(0, 12))] + ["not"] * int(rng.integers(0, 2))
+        rng.shuffle(words)
+        inside = {k + j for p in exceptions for k in range(len(words) - 1) if words[k : k + 2] == p.split() for j in (0, 1)}
+        hits = {}
+        for k, w in enumerate(words):
+            for e in lexicon:
+                if k not in inside and (w.startswith(e[:-1]) if e[-1] == "*" else w == e):
+                    hits[e] = hits.get(e, 0) + 1
+        want = sum(lexicon[e] * (1 + np.log(n)) for e, n in hits.items()) / np.log(np.e + len(words))
+        assert matcher.value(words) == pytest.approx(want)
+
+
+def test_language_by_plain_kernel(spark):
+    """Held-out accuracy on texts of made languages that differ by their letter pairs only."""
+    rng = np.random.default_rng(9)
+    pairs = {lang: ["".join(rng.choice(list("abcdefghijklmnop"), 2)) for _ in range(40)] for lang in ("xx", "yy", "zz")}
+    rows = [(k, " ".join("".join(rng.choice(pairs[lang], 3)) for _ in range(25)), lang) for k in range(900) for lang in [list(pairs)[k % 3]]]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out").collect()
+    right = [r.lang_pred == list(pairs)[r.doc_id % 3] for r in got]
+    assert len(right) > 150 and sum(right) >= 0.97 * len(right)
+
+
 def test_line_dedup(spark):
     line = "a b c d e f g h i j"
     docs = [None, "", line + "\nx\n" + line, "J i h g f e d c b A\nx y\n\n", "b c d e f g h i j k\nother", "c d e f g h i j k l", "p q r s\np q r s t", LONG, LONG]

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ LOOK_ALIKE = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 INVISIBLE = "­​‌‍⁠﻿"
-#: Phrases in which a listed word says nothing bad (fixed values).
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "clownfish", "circus clown", "pathetic fallacy", "pond scum", "sore loser", "worthless check", "not stupid", "not worthless", "not an idiot", "not a loser")
 #: Bounds of the fit: entries of the lexicon, and documents of each label that lexicon and curve are fitted on.
 MAX_ENTRIES = 20_000
 ROWS_A_LABEL = 10_000
@@ -81,7 +80,7 @@ def folded_words(text: str | None) -> list[str]:
 class Matcher:
     """lexicon: entry -> weight; an entry that ends in `*` is a stem."""
 
-    def __init__(self, lexicon: dict[str, float], exceptions: Iterable[str] = EXCEPTIONS):
+    def __init__(self, lexicon: dict[str, float], exceptions: Iterable[str] = ()):
         self.find = ahocorasick.Automaton()
         for phrase in exceptions:
             key = f" {' '.join(folded_words(phrase))} "
@@ -92,6 +91,20 @@ class Matcher:
                 self.find.add_word(key, (len(key), weight, key))
         self.find.make_automaton()
 
+    def around(self, words: Sequence[str]) -> set[tuple[str, str]]:
+        """(entry, phrase) of every hit: the hit word with the word before it, and with the word after it."""
+        line = f" {' '.join(words)} "
+        found = set()
+        for end, (n, weight, key) in self.find.iter(line):
+            if weight is not None:
+                a, b = end - n + 2, line.index(" ", end if key[-1] == " " else end + 1)
+                before, after = line.rfind(" ", 0, a - 1) + 1, line.find(" ", b + 1)
+                if before < a - 1:
+                    found.add((key, line[before:b]))
+                if after > 0:
+                    found.add((key, line[a:after]))
+        return found
+
     def value(self, words: Sequence[str]) -> float:
         """Weights of all hits outside exceptions, each entry counted with the logarithm of its hits, over the logarithm of the text's length."""
         line = f" {' '.join(words)} "
@@ -134,17 +147,54 @@ def _entries(by_word: DataFrame) -> DataFrame:
     return each.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad > 0")
 
 
+def _once(train: DataFrame) -> DataFrame:
+    """One row (text, toxic) for the copies of a text: those that share the three smallest hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketch = [str(sorted(xxhash.xxh3_64_intdigest(w) for w in set(folded_words(t)))[:3]) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(sketch, pa.string())], ["text", "toxic", "sketch"])
+
+    sketched = train.select("text", "toxic").mapInArrow(run, "text string, toxic int, sketch string")
+    return materialise(sketched.groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "once")
+
+
+def learn_exceptions(train: DataFrame, lexicon: dict[str, float], level: float = 0.01) -> list[str]:
+    """Phrases of two words, one of them a hit, that clean documents hold far more often than the documents that hit the entry do in
+    general: the likelihood ratio is one that chance gives to less than `level` of all candidates, and more documents with the phrase are
+    clean than toxic. At most MAX_ENTRIES, those of highest ratio, reach the driver."""
+    if not lexicon:
+        return []
+    sent = train.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value)
+        for b in batches:
+            rows = [(e, p, t) for x, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True) for found in [matcher.around(folded_words(x))] for e, p in found | {(e, "") for e, _ in found}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["entry", "phrase", "toxic"])
+
+    seen = _once(train).mapInArrow(run, "entry string, phrase string, toxic int").groupBy("entry", "phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+    seen = materialise(seen, "phrases")
+    whole = seen.filter("phrase = ''").select("entry", (F.col("bad") / F.col("all")).alias("share"))
+    p, q = F.col("bad") / F.col("all"), F.greatest(F.least(F.col("share"), F.lit(1 - 1e-3)), F.lit(1e-3))
+    part = lambda n, x, y: F.when(n > 0, n * F.log(x / y)).otherwise(0.0)
+    ratio = 2 * (part(F.col("bad"), p, q) + part(F.col("all") - F.col("bad"), 1 - p, 1 - q))
+    least = 2 * math.log(max(2, seen.count()) / level)
+    good = seen.filter("phrase <> '' and 2 * bad < all").join(whole, "entry").withColumn("ratio", ratio).filter((p < q) & (F.col("ratio") >= least))
+    return sorted({r.phrase for r in good.orderBy(F.desc("ratio"), "phrase").limit(MAX_ENTRIES).collect()})
+
+
 def learn_lexicon(train: DataFrame, level: float = 0.01, rounds: int = 8) -> dict[str, float]:
     """Weights of words and stems that toxic documents hold far more often than others.
 
-    train: text, toxic (0/1). Equal texts count once; counts are over all rows given. An entry needs a likelihood ratio that
+    train: text, toxic (0/1). Copies of a text count once; counts are over all rows given. An entry needs a likelihood ratio that
     chance gives to less than `level` of all candidates, and more toxic documents than clean ones. Each round takes the
     entries with at least a quarter of the best ratio; the next counts only toxic documents that none of them explains, so
     that the other words of a much copied toxic text are not taken for toxic themselves. Of nested stems the longest that
     still has 95 % of the shorter one's toxic documents stays, and entries that a kept stem covers go. At most MAX_ENTRIES
     candidates of a round, those of highest ratio, reach the driver.
     """
-    once = train.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic")
+    once = _once(train)
     totals = dict(once.groupBy("toxic").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -219,8 +269,8 @@ def _share(rows: int) -> float:
     return min(1.0, 0.95 * ROWS_A_LABEL / max(1, rows))
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0) -> tuple[dict[str, float], float, float]:
-    """(lexicon, slope, middle) from at most about ROWS_A_LABEL documents of each label outside the held-out fold, picked by a hash. A document labelled both ways is left out."""
+def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0) -> tuple[dict[str, float], list[str], float, float]:
+    """(lexicon, exceptions, slope, middle), the exceptions with those given, from at most about ROWS_A_LABEL documents of each label outside the held-out fold, picked by a hash. A document labelled both ways is left out."""
     small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(crc_mod(F.col("doc_id"), folds) != held_out)
     own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
@@ -230,13 +280,14 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     picked = own.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_003)) < 1_000_003 * part)
     train = materialise(join_small(texts(docs, id_col, text_col).filter("text is not null"), picked, "doc_id").filter("toxic is not null").select("text", "toxic"), "train")
     lexicon = learn_lexicon(train)
+    exceptions = sorted({*exceptions, *learn_exceptions(train, lexicon)})
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, tuple(exceptions)))
     rows = _values(train, lambda: Matcher(*sent.value), "toxic int", ["toxic"]).collect()  # two numbers for each sampled row
     slope, middle = fit_curve(np.asarray([r.value for r in rows]), np.asarray([r.toxic for r in rows], float))
-    return lexicon, slope, middle
+    return lexicon, exceptions, slope, middle
 
 
-def score(docs: DataFrame, lexicon: dict[str, float], slope: float, middle: float, exceptions: Sequence[str] = EXCEPTIONS, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
+def score(docs: DataFrame, lexicon: dict[str, float], exceptions: Sequence[str], slope: float, middle: float, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 0) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted (1 if score >= 0.5).
 
     Null, empty and wordless texts have no hits, so they score as any text without one. Rows without a doc_id count as held
@@ -251,7 +302,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], slope: float, middle: floa
     return found.select("doc_id", "held_out", p.alias("score"), (p >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, lexicon: dict[str, float], slope: float, middle: float, exceptions: Sequence[str] = EXCEPTIONS, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, lexicon: dict[str, float], exceptions: Sequence[str], slope: float, middle: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score under 0.5."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, tuple(exceptions)))
