@@ -388,6 +388,91 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Toxic texts, near and exact copies, benchmark passages, repeated and missing ids: the rows of every stage by plain Python."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    vocab = [f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(12) for b in range(12) for c in range(5)]
+    words = lambda n: list(rng.choice(vocab, n))
+    passage = words(14)
+    rows, labels = [], []
+    for k in range(420):
+        own = words(int(rng.integers(30, 70)))
+        if k % 6 == 0:
+            own[int(rng.integers(len(own)))] = ["grumbug", "Grumbug", "grumbugs"][k % 3]
+        if k % 17 == 5:
+            own[4:4] = passage[2:13]
+        rows.append([k, own])
+        labels.append((k, int(k % 6 == 0)))
+    for k in (7, 8, 9, 10, 11):
+        copy = list(rows[k][1])
+        copy[3] = "edited"
+        rows += [[1000 + k, copy], [2000 + k, list(rows[k][1])], [k, list(rows[k][1])], [None, list(rows[k][1])]]
+    rows += [[13, words(30)], [None, words(40)], [None, passage + words(5)], [None, []], [3000, []], [3001, words(3)], [3002, rows[-1][1]]]
+    texts = [(i, " ".join(w) if w else None, "en", ["s0", "s1", None][n % 3], 0) for n, (i, w) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(texts, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def key(found):
+        return sorted((-1 if r[0] is None else r[0], r[1] or "") for r in found)
+
+    def clean(found):
+        return [r for r in found if "grumbug" not in (r[1] or "").lower()]
+
+    def once(found):
+        sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in ((r[1] or "").split() for r in found)]
+        group = list(range(len(found)))
+        for a, b in combinations(range(len(found)), 2):
+            both = None not in (found[a][0], found[b][0]) and sets[a] and sets[b]
+            if both and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = group[b], group[a]
+                group = [new if g == old else g for g in group]
+        best = {}
+        for n, g in enumerate(group):
+            if g not in best or found[n][0] < found[best[g]][0]:
+                best[g] = n
+        return [found[n] for n in sorted(best.values())]
+
+    def without(found):
+        windows = {tuple(passage[j : j + 10]) for j in range(5)}
+        return [r for r in found if not any(tuple(w[j : j + 10]) in windows for w in [(r[1] or "").split()] for j in range(len(w) - 9))]
+
+    at, want = spark.read.parquet(str(tmp_path / "documents.parquet")), texts
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (clean, once, without, None, None), strict=True):
+        if plain:
+            want = plain(want)
+            at = stage(spark, at, str(tmp_path)).cache()
+            assert key(at.collect()) == key(want), name
+        elif name == "mix":
+            at = stage(spark, at, str(tmp_path)).cache()
+            got = at.collect()
+            assert {key([r])[0] for r in got} <= set(key(want)) and max(got.count(r) for r in got) <= 3
+            size, taken = {}, {}
+            for held, into in ((want, size), (got, taken)):
+                for r in held:
+                    into[r[3]] = into.get(r[3], 0) + len((r[1] or "").split())
+            for s, w in (("s0", 1), ("s1", 2), (None, 3)):
+                assert abs(taken[s] - sum(size.values()) * w / 6) <= 70
+            want = got
+        else:
+            files = {(r.start, r.doc_id): (r.n_tokens, r.ids_crc32) for r in stage(spark, at, str(tmp_path)).collect()}
+            tokenizer, ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+            for r in want:
+                own = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]
+                ids.setdefault(r[0], []).append((len(own), zlib.crc32(np.asarray(own, "<u4").tobytes())))
+            start, order = 0, sorted(files)
+            assert [d for _, d in order] == sorted((r[0] for r in want), key=lambda d: (d is not None, d or 0))
+            for place in order:
+                assert place[0] == start
+                start += files[place][0]
+            for d, held in ids.items():
+                assert sorted(held) == sorted(v for (_, i), v in files.items() if i == d)
+
+
 def plain_losses(docs, target):
     """(ce_target, ce_background) of each document by bigrams of every word."""
     from collections import Counter
