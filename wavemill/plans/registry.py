@@ -55,8 +55,11 @@ _flat("clip", lambda x, k: scalar.clip(x, 32767), _clip("x"))
 _flat("bits_16_to_8", lambda x, k: scalar.convert_bits(x, 16, 8), _cut(_clip("x::DOUBLE * 1.0::DOUBLE * 127.0::DOUBLE / 32767.0::DOUBLE", 127.0)))
 _flat("bits_16_to_24", lambda x, k: scalar.convert_bits(x, 16, 24), _cut(_clip("x::DOUBLE * 1.0::DOUBLE * 8388607.0::DOUBLE / 32767.0::DOUBLE", 8388607.0)))
 _flat("to_float", lambda x, k: F.round(scalar.to_float(x), 6), "round(x / 32767.0::DOUBLE, 6)")
-for _name, _curve in (("linear", scalar.linear_curve), ("logarithmic", scalar.logarithmic_curve), ("exponential", scalar.exponential_curve), ("pot", scalar.pot_curve)):
-    _flat(f"volume_{_name}", lambda x, k, c=_curve: scalar.volume(x, 0.7, c), _cut(_clip(f"x * {_curve(0.7)!r}::DOUBLE", 32767.0)))
+_CURVES = {"linear": (scalar.linear_curve, "0.7"), "logarithmic": (scalar.logarithmic_curve, "(pow(81.0::DOUBLE, 0.7) - 1) / 80"), "exponential": (scalar.exponential_curve, "(pow(2.0::DOUBLE, 0.7) - 1)"), "pot": (scalar.pot_curve, "(0.1::DOUBLE + (0.7::DOUBLE - 0.5) * (1 - 0.1::DOUBLE) / 0.5)")}
+for _name, (_curve, _sql) in _CURVES.items():
+    _flat(f"volume_{_name}", lambda x, k, c=_curve: scalar.volume(x, 0.7, c), _cut(_clip(f"x * {_sql}::DOUBLE", 32767.0)))
+_flat("volume_callback", lambda x, k: scalar.volume(x, 0.3, lambda v: v**3), _cut(_clip("x * pow(0.3::DOUBLE, 3)", 32767.0)))
+_flat("volume_boost", lambda x, k: scalar.volume(x, 1.5, boost=True), _cut("x * 1.5::DOUBLE"))
 _flat("boost", lambda x, k: scalar.boost(x, 2.5), _cut(_clip("x * 2.5::DOUBLE", 32767.0)))
 _flat("distortion", lambda x, k: scalar.distortion(x), "CASE WHEN x > 4990 THEN 6500 WHEN x < -4990 THEN -6500 ELSE x END")
 _flat("fuzz", lambda x, k: scalar.fuzz(x), _cut(f"({_clip('x * 6.5::DOUBLE', 32767.0)} * 6.5::DOUBLE + 32768.0::DOUBLE) * 600.0::DOUBLE / 65536.0::DOUBLE - 300.0::DOUBLE"))
@@ -199,10 +202,20 @@ add("http_chunks", lambda s, d: containers.http_chunks(_files(s, d, F.encode(F.c
 add("icy_parts", lambda s, d: containers.icy_parts(_files(s, d, F.encode(F.concat(F.lit("x" * 8 + chr(2)), F.rpad(F.concat(F.lit("StreamTitle='"), "page_id", F.lit("';")), 32, chr(0)), F.lit("yyy")), "utf-8")), 8).select("path", "k", F.length("audio").alias("n"), metadata.stream_title(F.col("metadata")).alias("title")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE WHEN k = 0 THEN 8 ELSE 3 END AS n, CASE WHEN k = 0 THEN page_id::VARCHAR END AS title FROM pages, range(0, 2) t(k)")
 _flat("hamming", lambda x, k: containers.hamming_decode(containers.hamming_encode(x.bitwiseAND(15)).bitwiseXOR(F.lit(4))), "x & 15")
 _gains, _taps = [6.0, 0.0, -12.0, 3.0], 15
-_user("band_equalizer", lambda r: history.band_equalizer(r, _gains, 44100, _taps).select("stream_id", "frame_no", "y"), " SELECT stream_id, frame_no, least(greatest(floor((" + " + ".join(f"coalesce(lag(x, {k}) {_OVER}), 0) * ({b})" for k, b in enumerate(history.band_kernel(_gains, 44100, _taps))) + ") / 32768.0::DOUBLE), -32768), 32767)::BIGINT AS y FROM eu")
+_user("band_equalizer", lambda r: history.band_equalizer(r, _gains, 44100, _taps).select("stream_id", "frame_no", "y"), f""", e AS (SELECT 20 * pow(1102.5::DOUBLE, i / 3) AS hz, db FROM (VALUES (0, 6.0::DOUBLE), (2, -12.0::DOUBLE), (3, 3.0::DOUBLE)) v(i, db)),
+ o AS (SELECT *, greatest(0, (4 * 44100 / 15 - 0.707::DOUBLE * hz) / 2) AS wider FROM e),
+ g AS (SELECT hz, db, least(greatest(CASE WHEN wider > 0 THEN greatest(0.707::DOUBLE * hz - wider, 1) ELSE 0.707::DOUBLE * hz END, 0), 22050) / 44100 AS low, least(1.414::DOUBLE * hz + wider, 22050) / 44100 AS high FROM o),
+ t AS (SELECT *, n - 7 AS m, 2 * (0.42 - 0.5 * cos(2 * pi() * n / 14) + 0.08 * cos(4 * pi() * n / 14)) * CASE WHEN n = 7 THEN high - low ELSE (sin(2 * pi() * high * (n - 7)) - sin(2 * pi() * low * (n - 7))) / (2 * pi() * (n - 7)) END AS v FROM g, range(0, 15) r(n)),
+ s AS (SELECT *, sqrt(sum(v * cos(2 * pi() * hz / 44100 * m)) OVER (PARTITION BY hz) ** 2 + sum(v * sin(2 * pi() * hz / 44100 * m)) OVER (PARTITION BY hz) ** 2) AS peak FROM t),
+ c AS (SELECT list(w ORDER BY n) AS w FROM (SELECT n, least(greatest(trunc(((n = 7)::INTEGER + sum(v * (pow(10.0::DOUBLE, db / 20) - 1) / CASE WHEN peak > 1e-6 THEN peak ELSE 1 END)) * 32767), -32768), 32767)::BIGINT AS w FROM s GROUP BY n))
+ SELECT stream_id, frame_no, least(greatest(floor(({' + '.join(f"coalesce(lag(x, {k}) {_OVER}), 0) * w[{k + 1}]" for k in range(15))}) / 32768.0::DOUBLE), -32768), 32767)::BIGINT AS y FROM eu, c""")
 _user("chorus", lambda r: timeline.chorus(r, F.col("frame_no") * 7 % 10 / 10, 3, 4).select("stream_id", "frame_no", F.round("y", 4).alias("y")), """, d AS (SELECT *, round(3.0::DOUBLE + 4.0::DOUBLE * (frame_no * 7 % 10 / 10.0::DOUBLE), 6) AS late FROM eu)
  SELECT d.stream_id, d.frame_no, round(coalesce(a.x, 0) + (coalesce(b.x, 0) - coalesce(a.x, 0)) * (late - floor(late)), 4) AS y FROM d
  LEFT JOIN eu a ON a.stream_id = d.stream_id AND a.frame_no = d.frame_no - floor(late)::BIGINT LEFT JOIN eu b ON b.stream_id = d.stream_id AND b.frame_no = d.frame_no - floor(late)::BIGINT - 1""")
 _osc = lambda s, d: signals.table(s, d, "pages").select("page_id", containers.osc_message(F.lit("/page"), "ihsb", [-F.col("page_id"), F.col("page_id") * 10_000_000_000, F.col("url"), F.encode("url", "utf-8")]).alias("m"))
 add("osc_message", lambda s, d: _osc(s, d).select("page_id", F.length("m").alias("n"), F.hex(F.substring("m", 1, 28)).alias("head")), "SELECT page_id, (28 + (strlen(url) // 4 + 1) * 4 + 4 + (strlen(url) + 3) // 4 * 4)::INTEGER AS n, hex('/page') || '0000002C' || hex('ihsb') || '000000' || printf('%08X', (4294967296 - page_id) % 4294967296) || printf('%016X', page_id * 10000000000) AS head FROM pages")
 add("osc_values", lambda s, d: _osc(s, d).select("page_id", *containers.osc_values(F.col("m"), "ihsb")).withColumn("v3", F.decode("v3", "utf-8")), "SELECT page_id, '/page' AS address, 'ihsb' AS format, -page_id AS v0, page_id * 10000000000 AS v1, url AS v2, url AS v3 FROM pages")
+_lines = ["GET /a%20b?c HTTP/1.0", "GET", "", "  ", "HTTP/1.1 404 Not Found", "HTTP/1.1 20 ?", "A  b c d e"]
+_line = lambda: F.get(F.array(*map(F.lit, _lines)), F.pmod("page_id", F.lit(len(_lines))).cast("int"))
+add("http_lines", lambda s, d: signals.table(s, d, "pages").select("page_id", *metadata.http_request(_line()), *[c.alias(f"reply_{n}") for c, n in zip(metadata.http_status(_line()), ("protocol", "code", "reason"))]), """SELECT page_id, ['GET', '', '', '', 'HTTP/1.1', 'HTTP/1.1', ''][k] AS method, ['/a%20b?c', '', '', '', '404', '20', ''][k] AS path, ['HTTP/1.0', '', '', '', 'Not', '?', ''][k] AS protocol,
+ CASE WHEN k = 5 THEN 'HTTP/1.1' ELSE '' END AS reply_protocol, CASE WHEN k = 5 THEN 404 END::INTEGER AS reply_code, CASE WHEN k = 5 THEN 'Not Found' ELSE '' END AS reply_reason FROM (SELECT page_id, page_id % 7 + 1 AS k FROM pages)""")
