@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -305,3 +306,109 @@ def ring_pitch_faded(shift: float, size: int = 1000) -> Maker:
         return step
 
     return make
+
+
+def state_space(sections: Sequence[tuple[Sequence[float], Sequence[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(A, B, C, D) of second-order sections one after another: state' = A state + B x and y = C state + D x."""
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for num, den in sections:
+        num, den = ([v / den[0] for v in p] for p in (num, den))
+        own, into = np.array([[-den[1], -den[2]], [1.0, 0.0]]), np.array([1.0, 0.0])
+        out = np.array([num[1] - num[0] * den[1], num[2] - num[0] * den[2]])
+        a = np.block([[a, np.zeros((len(a), 2))], [np.outer(into, c), own]])
+        b, c, d = np.concatenate([b, into * d]), np.concatenate([num[0] * c, out]), num[0] * d
+    return a, b, c, d
+
+
+class _Chunked:
+    """A linear filter over runs of samples, CHUNK at a time as matrix products."""
+
+    CHUNK = 64
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: float):
+        powers = [np.eye(len(a))]
+        for _ in range(self.CHUNK):
+            powers.append(a @ powers[-1])
+        self.a, self.powers = a, powers
+        self.seen = np.array([c @ p for p in powers[:-1]])
+        self.reach = np.array([p @ b for p in reversed(powers[:-1])]).T
+        echo = np.array([d, *(c @ p @ b for p in powers[:-2])])
+        lag = np.subtract.outer(np.arange(self.CHUNK), np.arange(self.CHUNK))
+        self.echo = np.where(lag >= 0, echo[np.maximum(lag, 0)], 0.0)
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The outputs and the state after them."""
+        out = np.empty(len(x))
+        for lo in range(0, len(x), self.CHUNK):
+            part = x[lo : lo + self.CHUNK]
+            n = len(part)
+            out[lo : lo + n] = self.seen[:n] @ state + self.echo[:n, :n] @ part
+            state = self.powers[n] @ state + self.reach[:, self.CHUNK - n :] @ part
+        return out, state
+
+
+def linear(rows: DataFrame, sections: Sequence[tuple[Sequence[float], Sequence[float]]], block: int = 4096) -> DataFrame:
+    """stream_id, frame_no, x and y of second-order sections, with one stream over many tasks.
+
+    A filter is linear in its state: every block of `block` frames gives, from a zero state, the state it ends with; these few
+    numbers a block are scanned stream by stream, and each block then runs from its true state. Blocks meet by (stream,
+    block), so a long stream is as parallel as many short ones; frames shuffle twice. Frames are numbered without gaps.
+    """
+    space = state_space(sections)
+    size = len(space[0])
+    kind = dict(rows.dtypes)["stream_id"]
+    own = rows.select("stream_id", F.floor(F.col("frame_no") / block).alias("block"), "frame_no", F.col("x").cast("double").alias("x"), F.lit(None).cast("array<double>").alias("state"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(stream, block, first state, frames, samples) of sorted rows; a row without a frame that comes first has the state."""
+        at, state, frames, samples = None, None, [], []
+        for b in batches:
+            stream, number, frame, x, states = (b.column(c) for c in ("stream_id", "block", "frame_no", "x", "state"))
+            keys = list(zip(stream.to_pylist(), number.to_pylist(), strict=True))
+            edges = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if keys[lo] != at:
+                    if frames:
+                        yield *at, state, np.concatenate(frames), np.concatenate(samples)
+                    at, state, frames, samples = keys[lo], np.zeros(size), [], []
+                if not frame[lo].is_valid:
+                    state, lo = np.asarray(states[lo].as_py()), lo + 1
+                if lo < hi:
+                    frames.append(frame.slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+                    samples.append(x.slice(lo, hi - lo).to_numpy(zero_copy_only=False))
+        if frames:
+            yield *at, state, np.concatenate(frames), np.concatenate(samples)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, found = _Chunked(*space), []
+        for stream, number, state, _, x in blocks(batches):
+            found.append((stream, number, len(x), walk.run(x, state)[1].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa_kind, pa.int64(), pa.int64(), pa.list_(pa.float64())))], ["stream_id", "block", "n", "state"])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, at, state = _Chunked(*space), None, None
+        for b in batches:
+            out = []
+            for stream, n, end in zip(*(b.column(c).to_pylist() for c in ("stream_id", "n", "state")), strict=True):
+                if stream != at:
+                    at, state = stream, np.zeros(size)
+                out.append(state.tolist())
+                state = np.linalg.matrix_power(walk.a, n) @ state + np.asarray(end)
+            yield pa.RecordBatch.from_arrays([b.column("stream_id"), b.column("block"), pa.array(out, pa.list_(pa.float64()))], ["stream_id", "block", "state"])
+
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Chunked(*space)
+        for stream, _, state, frames, x in blocks(batches):
+            columns = [pa.array([stream] * len(x), pa_kind), pa.array(frames, pa.int64()), pa.array(x), pa.array(walk.run(x, state)[0])]
+            yield pa.RecordBatch.from_arrays(columns, ["stream_id", "frame_no", "x", "y"])
+
+    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    order = ["stream_id", "block", "frame_no"]
+    dealt = own.repartition("stream_id", "block").sortWithinPartitions(*order)
+    last = dealt.mapInArrow(ends, f"stream_id {kind}, block long, n long, state array<double>")
+    first = last.repartition("stream_id").sortWithinPartitions("stream_id", "block").mapInArrow(starts, f"stream_id {kind}, block long, state array<double>")
+    known = first.select("stream_id", "block", F.lit(None).cast("long").alias("frame_no"), F.lit(None).cast("double").alias("x"), "state")
+    both = own.withColumn("frame_no", F.col("frame_no").cast("long")).unionByName(known).repartition("stream_id", "block").sortWithinPartitions(*order)
+    return both.mapInArrow(outputs, f"stream_id {kind}, frame_no long, x double, y double")

@@ -69,6 +69,12 @@ def register(add: Callable, streams: str, events: Callable) -> None:
     low, high = recursive.biquad("low_pass", 1000, 44100), recursive.biquad("high_pass", 200, 44100)
     both = f", {shape_sql('k', 'low_pass', 1000)}, {shape_sql('h', 'high_pass', 200)}"
     walked("sections", recursive.chain(recursive.biquad_df2(*low), recursive.biquad_df2(*high)), _df2("f.x", "k", "w", "v") | _df2("n_v", "h", "u", "y"), views=both, tables=", k, h")
+    for name, sections, lets, views, tables in (
+        ("low_pass_blocks", [low], _df2("f.x", "k"), ", " + shape_sql("k", "low_pass", 1000), ", k"),
+        ("sections_blocks", [low, high], _df2("f.x", "k", "w", "v") | _df2("n_v", "h", "u", "y"), both, ", k, h"),
+    ):
+        plan = lambda s, d, p=sections: recursive.linear(events(s, d), p, 16).select("stream_id", "frame_no", F.round("y", 4).alias("y"))
+        add(name, plan, walk_sql(streams, lets, "round(y, 4)", views, tables))
     line = f"list_resize([{_ZERO}], 8, {_ZERO})"
     walked("delay", recursive.delay(8), {"y": (_ZERO, "0.5 * f.x + 0.5 * r.line[1]"), "line": (line, "list_append(r.line[2:], least(greatest(round_even(f.x + 0.5 * r.line[1], 0), -32767), 32767))")})
     walked("filtered_delay", recursive.filtered_delay(8, recursive.biquad_df2(*low)), _df2("r.line[1]", "k", "w", "v") | {"y": (_ZERO, "f.x + r.line[1]"), "line": (line, "list_append(r.line[2:], f.x + 0.5 * n_v)")}, views=", " + shape_sql("k", "low_pass", 1000), tables=", k")
