@@ -57,6 +57,20 @@ def test_token_files(spark, tmp_path):
         start += len(want)
 
 
+def test_token_files_from_the_middle(spark, tmp_path):
+    """Blocks are decoded from any place, escapes at the edges of groups among it; documents are found by their headers."""
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([rng.integers(0, 2**61, 3000).astype(np.uint64), rng.integers(0, 50_000, 20_000).astype(np.uint64), np.full(500, 2**63, np.uint64), rng.integers(0, 3, 3000).astype(np.uint64)])
+    payload = token_file.write_block([1], [len(ids)], ids)
+    for start, n in [(0, 5), (127, 3), (2999, 4), (len(ids) - 1, 9), (0, len(ids)), *((int(a), int(b)) for a, b in zip(rng.integers(0, len(ids), 200), rng.integers(0, 900, 200)))]:
+        assert token_file.read_part(payload, start, n).tolist() == ids[start : start + n].tolist()
+    path = str(tmp_path / "t")
+    token_file.write_token_files(table(spark, ODD), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    whole = {r.doc_id: r.ids for r in token_file.read_token_files(spark, path, with_ids=True).collect()}
+    got = token_file.read_documents(spark, path, spark.createDataFrame([(k,) for k in (0, 3, 8, 8, 99)], "doc_id long")).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: whole[k] for k in (0, 3, 8)} and len(got) == 3
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 59, 60, 61, 500):

@@ -144,6 +144,31 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [d if k else None for d, k in zip(own.tolist(), known.tolist(), strict=True)], lengths.astype(np.int64), unpack(words, n_ids)
 
 
+def read_head(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, whether each is known, and the number of ids of each document."""
+    _, n_docs, _, _ = _HEAD.unpack_from(payload)
+    own, known = np.frombuffer(payload, "<i8", n_docs, _HEAD.size), np.frombuffer(payload, np.uint8, n_docs, _HEAD.size + 8 * n_docs) > 0
+    return own, known, np.frombuffer(payload, "<u8", n_docs, _HEAD.size + 9 * n_docs).astype(np.int64)
+
+
+def read_part(payload: bytes, start: int, n: int) -> np.ndarray:
+    """The n ids of a block from place start on. Only the words that hold them are decoded: the offsets of the groups lead there."""
+    _, n_docs, n_ids, n_words = _HEAD.unpack_from(payload)
+    n = max(0, min(n, n_ids - start))
+    at = _HEAD.size + 17 * n_docs
+    groups = -(-n_words // GROUP)
+    offsets = np.frombuffer(payload, "<u8", groups, at).astype(np.int64)
+    words = np.frombuffer(payload, "<u8", n_words, at + 8 * groups)
+    if not n:
+        return np.zeros(0, np.uint64)
+    first, last = (int(np.searchsorted(offsets, x, "right")) - 1 for x in (start, start + n - 1))
+    while first and int(words[first * GROUP - 1]) >> 60 == 0:  # what follows selector 0 may be an escape's raw word
+        first -= 1
+    end = min(n_words, (last + 1) * GROUP + 1)
+    part = np.append(words[first * GROUP : end], np.uint64(1 << 60))  # the last word may be an escape whose raw word isn't needed
+    return unpack(part, start + n - int(offsets[first]))[start - int(offsets[first]) :]
+
+
 class _Encoder:
     """Ids of texts in one Python worker. White space ends every pre-token of this vocabulary, so ids are looked up by white-space piece."""
 
@@ -264,3 +289,30 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
     joined = join_small(blocks, base, "file_no").select("file_start", "ids_before", "payload")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+
+
+def documents_at(spark: SparkSession, path: str) -> DataFrame:
+    """Where documents are, by the blocks' headers alone: doc_id, file_no, block_no, place (of the first id in its block) and n_tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file_no, block_no, payload in zip(*(b.column(c).to_pylist() for c in ("file_no", "block_no", "payload")), strict=True):
+                own, known, n = read_head(payload)
+                columns = [pa.array(own, mask=~known), pa.array([file_no] * len(n), pa.int64()), pa.array([block_no] * len(n), pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "file_no", "block_no", "place", "n_tokens"])
+
+    return spark.read.schema(BLOCKS).parquet(path).mapInArrow(run, "doc_id long, file_no long, block_no long, place long, n_tokens long")
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents with the doc_ids of wanted (doc_id); repeated documents each give a row. Of a block only the words of these documents are decoded."""
+    found = documents_at(spark, path).join(wanted.select("doc_id").distinct(), "doc_id")
+    parts = found.groupBy("file_no", "block_no").agg(F.collect_list(F.struct("doc_id", "place", "n_tokens")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload, own in zip(b.column("payload").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                ids = [read_part(payload, p["place"], p["n_tokens"]).astype(np.int64) for p in own]
+                yield pa.RecordBatch.from_arrays([pa.array([p["doc_id"] for p in own], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return spark.read.schema(BLOCKS).parquet(path).join(parts, ["file_no", "block_no"]).select("payload", "parts").mapInArrow(run, "doc_id long, ids array<long>")
