@@ -102,6 +102,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(
 FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)
 """
 
+_OP8 = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT DISTINCT doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS w
+      FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d WHERE doc_id IS NOT NULL)),
+k AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS line, doc_id, line_no, w, len(w) AS n FROM l WHERE len(w) > 0),
+t AS (SELECT line, n, unnest(w) AS word FROM k),
+f AS (SELECT word, count(*) AS held FROM t GROUP BY word),
+p AS (SELECT line, n, word FROM (SELECT t.*, row_number() OVER (PARTITION BY line ORDER BY held, word) AS r FROM t JOIN f USING (word)) WHERE r <= n - ceil(n * 80 / 100.0) + 1),
+c AS (SELECT DISTINCT a.line AS a, b.line AS b FROM p a JOIN p b ON a.word = b.word AND a.line < b.line AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+s AS (SELECT DISTINCT y.doc_id, y.line_no FROM c JOIN k x ON x.line = a JOIN k y ON y.line = b
+      WHERE (x.doc_id, x.line_no) <> (y.doc_id, y.line_no) AND 180 * len(list_intersect(x.w, y.w)) >= 80 * (x.n + y.n)),
+r AS (SELECT doc_id, list(line_no::INTEGER ORDER BY line_no) AS removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(removed, []::INTEGER[]) AS removed
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
 _OP9 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w,
                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
@@ -125,4 +141,4 @@ FROM d LEFT JOIN (SELECT rid, avg(l_t) AS ct, avg(l_a) AS ca FROM g JOIN l ON g.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": _OP2, "op4_decontamination": _OP4, "op6_minhash_near_dup": _OP6, "op9_lm_scoring": _OP9}
+    return {"op2_topk_search": _OP2, "op4_decontamination": _OP4, "op6_minhash_near_dup": _OP6, "op8_line_dedup": _OP8, "op9_lm_scoring": _OP9}
