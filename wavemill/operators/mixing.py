@@ -55,6 +55,20 @@ def sine(frame_no: Column, hz: float, rate: float, amplitude: float, phase: floa
     return (F.lit(float(amplitude)) * F.sin(frame_no * F.lit(2 * math.pi * hz / rate) + phase)).cast("int")
 
 
+def fast_sine(frame_no: Column, hz: float, rate: float, amplitude: float, phase: float = 0.0) -> Column:
+    """A sine by a polynomial of fifth degree in the place within the period; its coefficients are fixed values. phase is in periods."""
+    t = frame_no * F.lit(hz / rate) + phase
+    p = t - F.floor(t) - 0.5
+    pp = p * p
+    return (F.lit(float(amplitude)) * (p - 6.283211 * pp * p + 9.132843 * pp * pp * p) * -6.221086).cast("int")
+
+
+def int_sine(frame_no: Column, hz: float, rate: float, amplitude: int) -> Column:
+    """A sine in 256 steps a period and 1/32768 of the amplitude, by a 32-bit phase."""
+    step = F.floor(_phase(frame_no, hz, rate) / 2**24)
+    return F.shiftright(F.round(F.lit(32767) * F.sin(step * F.lit(2 * math.pi / 256))).cast("long") * amplitude, 15).cast("int")
+
+
 def _phase(frame_no: Column, hz: float, rate: float) -> Column:
     """32-bit phase of an oscillator."""
     return F.pmod(frame_no * F.lit(int(hz / rate * 2**32)), F.lit(2**32))

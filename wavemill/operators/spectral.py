@@ -122,6 +122,24 @@ def band_gains(gains_db: list[float], rate: float, length: int, low_hz: float =
     return lambda bins: bins * (10 ** (np.asarray(gains_db) / 20))[band]
 
 
+def wake_words(top: DataFrame, templates: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(stream_id, block_no, name, percent) where the blocks up to block_no match a template's frames to at least threshold percent.
+
+    top: (stream_id, block_no, rank, hz), the n strongest frequencies of each block, as peaks() gives them; templates: (name, k, rank,
+    hz) of recorded frames k = 0, 1, ... A frame matches if at least n - 1 of its n ranks have the same frequency. Frames meet
+    blocks by (rank, hz), so only what agrees somewhere is compared, and a match at k counts for the block where its template ends.
+    """
+    size = templates.groupBy("name").agg((F.max("k") + 1).alias("size"))
+    agree = top.join(templates, ["rank", "hz"]).groupBy("stream_id", "block_no", "name", "k").agg(F.count("*").alias("same")).filter(F.col("same") >= max(1, n - 1))
+    ends = agree.join(size, "name").withColumn("end", F.col("block_no") + F.col("size") - 1 - F.col("k"))
+    held = ends.groupBy("stream_id", "end", "name", "size").agg(F.count("*").alias("frames"))
+    blocks = top.select("stream_id", F.col("block_no").alias("end")).distinct()
+    first = top.groupBy("stream_id").agg(F.min("block_no").alias("first"))
+    whole = held.join(blocks, ["stream_id", "end"]).join(first, "stream_id").filter(F.col("end") - F.col("size") + 1 >= F.col("first"))
+    percent = F.col("frames") * 100.0 / F.col("size")
+    return whole.filter(percent >= threshold).select("stream_id", F.col("end").alias("block_no"), "name", percent.alias("percent"))
+
+
 def overlap_add(blocks: DataFrame, stride: int) -> DataFrame:
     """(stream_id, frame_no, y): sums of what blocks give to each frame."""
     each = blocks.select("stream_id", "block_no", F.posexplode("samples").alias("k", "v"))

@@ -66,6 +66,13 @@ def register(add: Callable, flat: Callable, user: Callable, eu: str, ef: str, lo
     add("autocorrelation", lambda s, d: spectral.autocorrelation(signals.embedding_blocks(s, d), 2000).withColumn("hz", F.round("hz", 6)), """WITH e AS (SELECT vec_id AS block_no, embedding::DOUBLE[] AS x FROM embeddings),
  r AS (SELECT block_no, lag, list_dot_product(x[1:64 - lag], x[1 + lag:64]) AS s FROM e, range(2, 40) t(lag)), k AS (SELECT *, row_number() OVER (PARTITION BY block_no ORDER BY s DESC, lag) AS n FROM r)
  SELECT block_no, round(2000 / lag, 6) AS hz FROM k WHERE n = 1""")
+    tops = lambda s, d: spectral.peaks(spectral.magnitudes(signals.embedding_blocks(s, d), 64), 44100, 64, 3).withColumn("stream_id", F.lit(0))
+    heard = lambda s, d: tops(s, d).filter("block_no in (3, 4, 7)").select(F.when(F.col("block_no") == 7, "one").otherwise("two").alias("name"), F.when(F.col("block_no") == 4, 1).otherwise(0).alias("k"), "rank", "hz")
+    add("wake_words", lambda s, d: spectral.wake_words(tops(s, d), heard(s, d), 3, 50.0).select("block_no", "name", "percent"), f"""WITH {magnitudes}, r AS (SELECT *, row_number() OVER (PARTITION BY block_no ORDER BY round(m, 6) DESC, bin) AS rank FROM m),
+ p AS (SELECT block_no, list(bin ORDER BY rank) AS bins FROM r WHERE rank <= 3 GROUP BY 1), g AS (SELECT a.block_no, t.block_no AS heard, (a.bins[1] = t.bins[1])::INTEGER + (a.bins[2] = t.bins[2])::INTEGER + (a.bins[3] = t.bins[3])::INTEGER >= 2 AS same FROM p a, p t WHERE t.block_no IN (3, 4, 7)),
+ w AS (SELECT block_no, 'one' AS name, CASE WHEN same THEN 100.0::DOUBLE ELSE 0 END AS percent FROM g WHERE heard = 7
+ UNION ALL SELECT b.block_no, 'two', 50.0::DOUBLE * (a.same::INTEGER + b.same::INTEGER) FROM g a JOIN g b ON b.block_no = a.block_no + 1 WHERE a.heard = 3 AND b.heard = 4)
+ SELECT * FROM w WHERE percent >= 50""")
     flat("white_noise", lambda x, k: timeline.white_noise(k, 10000, 7), f"trunc(({_draw(7, 'frame_no')} * 2 - 1) * 10000)::INTEGER")
     flat("pink_noise", lambda x, k: timeline.pink_noise(k, 10000, 7), "trunc((" + " + ".join(f"({_draw(7, str(k), f'frame_no >> {k}')} * 2 - 1)" for k in range(5)) + ") / 5 * 10000)::INTEGER")
     first, second = _draw(7, "frame_no // 50"), _draw(7, "frame_no // 50 + 1")
@@ -77,6 +84,8 @@ def register(add: Callable, flat: Callable, user: Callable, eu: str, ef: str, lo
     flat("fixed_value", lambda x, k: F.lit(1000), "1000")
     flat("silence", lambda x, k: F.lit(0), "0")
     flat("sine_generated", lambda x, k: mixing.sine(k, 441, 44100, 10000, 0.1), "trunc(10000 * sin(frame_no * (2 * pi() * 441 / 44100) + 0.1))::INTEGER")
+    flat("fast_sine", lambda x, k: mixing.fast_sine(k, 441, 44100, 10000), "(SELECT trunc(10000 * (p - 6.283211::DOUBLE * p * p * p + 9.132843::DOUBLE * pow(p, 5)) * -6.221086::DOUBLE)::INTEGER FROM (SELECT frame_no * (441 / 44100.0::DOUBLE) - floor(frame_no * (441 / 44100.0::DOUBLE)) - 0.5 AS p))")
+    flat("int_sine", lambda x, k: mixing.int_sine(k, 440, 44100, 10000), f"((round(32767 * sin((frame_no * {440 * 2**32 // 44100} % 4294967296 // 16777216) * 2 * pi() / 256))::BIGINT * 10000) >> 15)::INTEGER")
     add("generated_stream", lambda s, d: mixing.frames(s, 500).select("frame_no", mixing.from_array(F.col("frame_no"), [3, 1, 2]).alias("x")), "SELECT range AS frame_no, [3, 1, 2][range % 3 + 1] AS x FROM range(0, 500)")
     last = ", l AS (SELECT *, max(frame_no) OVER (PARTITION BY stream_id) - frame_no AS rest FROM eu)"
     user("fade_out", lambda r: timeline.fade_out(r, 20), f"{last} SELECT stream_id, frame_no, trunc(x * least(1.0::DOUBLE, rest / 20.0::DOUBLE))::INTEGER AS x FROM l")
