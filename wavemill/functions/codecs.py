@@ -144,6 +144,40 @@ def mpeg_header(content: Column) -> list[Column]:
     return [F.when(ok, v).alias(n) for n, v in found.items()]
 
 
+def _mpeg_size(head: bytes) -> int:
+    """Bytes of the MPEG audio frame whose header these four bytes are; 0 if it is none."""
+    version, layer = head[1] >> 3 & 3, 4 - (head[1] >> 1 & 3)
+    index, rate = head[2] >> 4, head[2] >> 2 & 3
+    if head[0] != 0xFF or head[1] < 0xE0 or version == 1 or layer == 4 or index in (0, 15) or rate == 3:
+        return 0
+    kbits = MPEG_1_KBITS[layer] if version == 3 else MPEG_2_KBITS[min(layer, 2)]
+    hz = MPEG_1_RATES[rate] // {3: 1, 2: 2, 0: 4}[version]
+    return (144 if version == 3 else 72) * kbits[index - 1] * 1000 // hz + (head[2] >> 1 & 1)
+
+
+def _adts_size(head: bytes) -> int:
+    """Bytes of the AAC frame whose header these seven bytes are; 0 if it is none."""
+    size = (head[3] & 3) << 11 | head[4] << 3 | head[5] >> 5
+    return size if head[0] == 0xFF and head[1] & 0xF6 == 0xF0 and size >= 7 else 0
+
+
+def audio_frames(files: DataFrame, kind: str) -> DataFrame:
+    """(path, k, at, frame) of MPEG audio (`mpeg`) or AAC files (`adts`): frames one after another. What is no frame is skipped up to the next header; an incomplete last frame is left out."""
+    size_of, head = {"mpeg": (_mpeg_size, 4), "adts": (_adts_size, 7)}[kind]
+
+    def parts(content: bytes) -> Iterator[tuple]:
+        at = 0
+        while 0 <= at <= len(content) - head:
+            size = size_of(content[at : at + head])
+            if size and at + size <= len(content):
+                yield at, content[at : at + size]
+                at += size
+            else:
+                at = content.find(b"\xff", at + 1)
+
+    return walk(files, parts, pa.schema([("at", pa.int64()), ("frame", pa.binary())]), "at long, frame binary")
+
+
 def transport_packets(files: DataFrame) -> DataFrame:
     """(path, k, pid, starts, counter, payload) of MPEG transport streams: packets of 188 bytes that begin with 0x47; payload is what follows the header and the adaptation field."""
     n = F.floor(F.length("content") / 188).cast("int")

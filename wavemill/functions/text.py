@@ -30,3 +30,12 @@ def playlist_segments(lists: DataFrame) -> DataFrame:
     urls = lines.withColumn("seconds", tag).filter(~F.col("line").startswith("#") & (F.trim("line") != ""))
     once = urls.groupBy("list_id", F.col("line").alias("url")).agg(F.min("k").alias("k"), F.min_by("seconds", "k").alias("seconds"))
     return once.select("list_id", (F.row_number().over(order) - 1).alias("seq"), "seconds", "url")
+
+
+def playlist_variants(lists: DataFrame) -> DataFrame:
+    """(list_id, seq, bandwidth, url) of master m3u8 texts (list_id, text): each URL line takes the STREAM-INF line before it; URLs without one are left out."""
+    lines = lists.select("list_id", F.posexplode(F.split("text", "\r?\n")).alias("k", "line"))
+    order = Window.partitionBy("list_id").orderBy("k")
+    named = lines.filter(F.trim("line") != "").withColumn("tag", F.lag("line").over(order)).filter(F.col("tag").startswith("#EXT-X-STREAM-INF:") & ~F.col("line").startswith("#"))
+    bandwidth = F.regexp_extract("tag", "[:,]BANDWIDTH=([0-9]+)", 1).try_cast("long")
+    return named.select("list_id", (F.row_number().over(order) - 1).alias("seq"), bandwidth.alias("bandwidth"), F.col("line").alias("url"))

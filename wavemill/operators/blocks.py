@@ -67,3 +67,10 @@ def goertzel(rows: DataFrame, size: int, rate: int, frequencies: list[float], mo
     got = rows.groupBy("stream_id", block_of(size)).agg(*sums, F.count("*").alias("n")).filter(F.col("n") == size)
     each = F.explode(F.array(*[F.struct(F.lit(float(hz)).alias("hz"), F.sqrt(F.col(f"re{i}") ** 2 + F.col(f"im{i}") ** 2).alias("m")) for i, hz in enumerate(frequencies)])).alias("e")
     return got.select("stream_id", "block_no", each).select("stream_id", "block_no", F.col("e.hz").alias("hz"), F.round("e.m", 6).alias("magnitude"))
+
+
+def levels(rows: DataFrame, rate: int) -> DataFrame:
+    """Of each stream: frames, seconds, mean (the DC offset), root mean square and peak. Partial sums precede the shuffle."""
+    x = F.col("x").cast("double")
+    got = rows.groupBy("stream_id").agg(F.count("*").alias("frames"), F.avg(x).alias("mean"), F.sqrt(F.avg(x * x)).alias("rms"), F.max(F.abs("x")).alias("peak"))
+    return got.select("stream_id", "frames", F.round(F.col("frames") / rate, 6).alias("seconds"), F.round("mean", 4).alias("mean"), F.round("rms", 4).alias("rms"), "peak")

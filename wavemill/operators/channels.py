@@ -72,3 +72,9 @@ def fill_empty(frames: DataFrame) -> DataFrame:
     left, right = F.get("samples", F.lit(0)), F.get("samples", F.lit(1))
     filled = F.when((F.col("top_0") == 0) & (F.col("top_1") > 0), F.array(right, right)).when((F.col("top_1") == 0) & (F.col("top_0") > 0), F.array(left, left)).otherwise(F.col("samples"))
     return frames.join(loud, "stream_id").select("stream_id", "frame_no", filled.alias("samples"))
+
+
+def volumes(s: Column, factors: list[float], most: float = 32767) -> Column:
+    """A volume for each channel, the last one for further channels; truncated and clipped."""
+    factor = F.array(*[F.lit(float(f)) for f in factors])
+    return F.transform(s, lambda x, k: F.least(F.greatest(x * F.get(factor, F.least(k, F.lit(len(factors) - 1))), F.lit(-most)), F.lit(most)).cast("int"))

@@ -103,6 +103,12 @@ def resample_frames(frames: DataFrame, step: float, kind: str = "linear") -> Dat
     return each.select("stream_id", F.col("k").alias("frame_no"), y.alias("samples"))
 
 
+def to_supported_rate(rows: DataFrame, rate: int, rates: tuple[int, ...]) -> DataFrame:
+    """stream_id, frame_no and y at the supported rate nearest to rate; a supported rate leaves the samples alone."""
+    best = min(rates, key=lambda r: abs(r - rate))
+    return rows.select("stream_id", "frame_no", F.col("x").cast("double").alias("y")) if best == rate else resample(rows, rate / best)
+
+
 def convert_format(frames: DataFrame, rate: tuple[int, int], channels: tuple[int, int], bits: tuple[int, int]) -> DataFrame:
     """Frames of another rate, number of channels and bit depth, each given as (from, to): resampled, then truncated, then mixed down or repeated, then scaled."""
     out = frames if rate[0] == rate[1] else resample_frames(frames, rate[0] / rate[1])

@@ -204,3 +204,8 @@ def lfo(kind: str, frame_no: Column, hz: int, rate: int) -> Column:
         return (lfo("sine", frame_no, hz, rate) + 1) * 0.5
     t = i * F.lit(2 * math.pi / rate)
     return sum((F.lit(a) * F.sin(t * n) for n, a in SHAPES[kind]), F.lit(0.0))
+
+
+def affine_dequantise(q: Column, scale_: float, zero: int) -> Column:
+    """What affine_quantise() gave, but for its rounding."""
+    return (q - zero) * F.lit(float(scale_))

@@ -96,3 +96,9 @@ def register(add: Callable, flat: Callable, ef: str, lo: str) -> None:
     kinds = {"52494646000000005741564500000000000000000100": "audio/wav", "52494646000000005741564500000000000000000200": "audio/adpcm", "664C6143": "audio/flac", "44534420": "audio/dsf", "494433": "audio/mpeg", "FFFB": "audio/mpeg", "FFF1": "audio/aac", "4F676753": "audio/ogg", "0000": None, "": None}
     held = lambda: F.unhex(F.get(F.array(*map(F.lit, kinds)), F.pmod("page_id", F.lit(len(kinds))).cast("int")))
     add("type_by_bytes", lambda s, d: pages(s, d).select("page_id", metadata.type_by_bytes(held()).alias("y")), f"SELECT page_id, {[v or '' for v in kinds.values()]}[page_id % {len(kinds)} + 1] AS y FROM pages".replace("''", "NULL"))
+    masters = lambda s, d: pages(s, d).select(F.col("page_id").alias("list_id"), F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:PROGRAM-ID=1,BANDWIDTH="), F.col("page_id") * 1000, F.lit(",AVERAGE-BANDWIDTH=5\n"), "url", F.lit("\n\n#EXT-X-STREAM-INF:CODECS=x\r\nlow.m3u8\nstray.m3u8\n")).alias("text"))
+    add("playlist_variants", lambda s, d: text.playlist_variants(masters(s, d)), "SELECT page_id AS list_id, k::INTEGER AS seq, CASE WHEN k = 0 THEN page_id * 1000 END AS bandwidth, [url, 'low.m3u8'][k + 1] AS url FROM pages, range(0, 2) t(k)")
+    # frames of 36 and 37 bytes (version 2, layer 3, 8 kbit/s, 16,000 Hz, without and with padding) between junk, and one that is cut off
+    filled = lambda head, n: F.concat(F.unhex(F.lit(head)), F.rpad(url(), n - len(head) // 2, b"\x00"))
+    add("mpeg_frames", lambda s, d: codecs.audio_frames(files(s, d, _bytes("FF00", filled("FFF318C0", 36), "00FFFF", filled("FFF31AC0", 37), "FFF318C0")), "mpeg").select("path", "k", "at", F.length("frame").alias("n"), F.decode(F.substring("frame", 5, 8), "utf-8").alias("head")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, [2, 41][k + 1]::BIGINT AS \"at\", [36, 37][k + 1]::INTEGER AS n, url[1:8] AS head FROM pages, range(0, 2) t(k)")
+    add("adts_frames", lambda s, d: codecs.audio_frames(files(s, d, _bytes(filled("FFF15080027FFC", 19), "00", filled("FFF1508003BFFC", 29), "FFF150")), "adts").select("path", "k", "at", F.length("frame").alias("n"), F.decode(F.substring("frame", 8, 8), "utf-8").alias("head")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, [0, 20][k + 1]::BIGINT AS \"at\", [19, 29][k + 1]::INTEGER AS n, url[1:8] AS head FROM pages, range(0, 2) t(k)")

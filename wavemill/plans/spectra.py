@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import functions as F
 
-from wavemill.operators import channels, history, mixing, recursive, scalar, spectral, timeline
+from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
 from wavemill.plans.recursions import _df2, shape_sql, walk_sql
 from wavemill.sources import signals
 
@@ -120,3 +120,10 @@ def register(add: Callable, flat: Callable, user: Callable, eu: str, ef: str, lo
     bands |= {"top": ("0.0::DOUBLE", "r.x3 - n_q4"), "y": ("0.0::DOUBLE", f"{gain(1.2, 0.5)} * n_p4 + (r.x3 - (n_top + n_p4)) + {gain(0.8, 1.5)} * n_top"), "x3": ("0.0::DOUBLE", "r.x2"), "x2": ("0.0::DOUBLE", "r.x1"), "x1": ("0.0::DOUBLE", "f.x::DOUBLE")}
     makers = [recursive.equalizer3(44100, low=1.2, high=0.8), recursive.equalizer3(44100, low=0.5, high=1.5)]
     add("equalizer3_per_channel", lambda s, d: rounded(recursive.fold_channels(signals.order_frames(s, d), makers)), lists(walk_sql(long, bands, "round(y, 4)")))
+    add("volume_per_channel", lambda s, d: signals.order_frames(s, d).select("stream_id", "frame_no", channels.volumes(F.col("samples"), [0.5, 0.01, 2.0]).alias("samples")), f"WITH {lo} SELECT stream_id, frame_no, [trunc(c0 * 0.5)::INTEGER, trunc(least(c1 * 0.01::DOUBLE, 32767))::INTEGER, trunc(c2 * 2.0)::INTEGER, trunc(c3 * 2.0)::INTEGER] AS samples FROM lo")
+    flat("dequantise_affine", lambda x, k: scalar.affine_dequantise(scalar.affine_quantise(x, 256.0, -128), 256.0, -128), "(least(greatest(round(x / 256.0::DOUBLE)::INTEGER - 128, -128), 127) + 128) * 256.0::DOUBLE")
+    flat("midi_to_hz", lambda x, k: F.round(scalar.midi_to_hz(F.pmod(k, F.lit(128))), 6), "round(440 * pow(2.0::DOUBLE, (frame_no % 128 - 69) / 12), 6)")
+    user("levels", lambda r: blocks.levels(r, 44100), " SELECT stream_id, count(*) AS frames, round(count(*) / 44100, 6) AS seconds, round(avg(x), 4) AS mean, round(sqrt(avg(x::DOUBLE * x)), 4) AS rms, max(abs(x)) AS peak FROM eu GROUP BY 1")
+    near = ", n AS (SELECT stream_id, frame_no, x AS x1, lead(x) OVER (PARTITION BY stream_id ORDER BY frame_no) AS x2 FROM eu), g AS (SELECT n.*, k, k * (20000 / 22050::DOUBLE) - frame_no AS t FROM n JOIN range(0, 4000) r(k) ON floor(k * (20000 / 22050::DOUBLE)) = frame_no WHERE x2 IS NOT NULL)"
+    user("supported_rate", lambda r: history.to_supported_rate(r, 20000, mixing.RATES).withColumn("y", F.round("y", 4)), f"{near} SELECT stream_id, k AS frame_no, round(x1 + t * (x2 - x1), 4) AS y FROM g")
+    user("supported_rate_kept", lambda r: history.to_supported_rate(r, 44100, mixing.RATES), " SELECT stream_id, frame_no, x::DOUBLE AS y FROM eu")
