@@ -372,6 +372,17 @@ def test_rows_that_share_a_doc_id(spark):
     assert sorted(r.text or "" for r in decontaminate.without_contaminated(alone, item).collect()) == ["", "clean words"]
 
 
+def test_small_and_large_joins_agree(spark, monkeypatch):
+    from wavemill.llm import common
+
+    left = spark.createDataFrame([(k % 7 if k % 5 else None, f"t{k}") for k in range(200)], "key long, text string")
+    right = spark.createDataFrame([(k, k * k) for k in range(5)], "key long, square long")
+    small = common.join_small(left, right, "key")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    large = common.join_small(left, right, "key")
+    assert large.columns == small.columns and sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
 def test_scratch_needs_a_shared_folder():
     from types import SimpleNamespace
 

@@ -86,7 +86,8 @@ def join_small(left: DataFrame, right: DataFrame, key: str, salts: int = 64) ->
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, "left")
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.floor(F.rand(7) * salts).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
+    # a hash of the row: a task that runs again deals its rows the same
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
 
 
 _HELD: dict = {}
