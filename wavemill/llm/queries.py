@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, language, line_dedup, lm_score, mix, near_dup, token_count, token_file, topk, toxicity
-from wavemill.llm.common import scratch_path, table
+from wavemill.llm import decontaminate, fim, language, line_dedup, lm_score, merkle, mix, near_dup, token_count, token_file, topk, toxicity
+from wavemill.llm.common import crc_mod, scratch_path, table
 
 END_ID = 2
 
@@ -58,8 +58,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"), plain=90, spm=20, seed=1)
+    restored = fim.unfilled(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering takes the line feeds out of the texts whose id's crc32 is even."""
+    tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.verify(table(spark, sf_dir, "documents"), {"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk_search, op3_language_id, op4_decontamination, op5_toxicity, op6_minhash_near_dup, op7_token_files, op8_line_dedup, op9_lm_scoring, op10_source_mix)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk_search, op3_language_id, op4_decontamination, op5_toxicity, op6_minhash_near_dup, op7_token_files, op8_line_dedup, op9_lm_scoring, op10_source_mix, op11_fill_in_middle, op13_merkle_manifest)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -139,6 +152,54 @@ SELECT d.doc_id, len(w)::BIGINT AS n_tokens, round(ct, 6) AS ce_target, round(ca
 FROM d LEFT JOIN (SELECT rid, avg(l_t) AS ct, avg(l_a) AS ca FROM g JOIN l ON g.prev = l.prev AND g.tok = l.tok GROUP BY rid) x USING (rid)
 """
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+k AS (SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT doc_id, text, n, form, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(w[greatest(x, y) + 1:], '') AS s FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    each = [f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(each)})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Common tables of a tree over `leaves` (grp, idx, n, h): name_up (lvl, grp, idx, n, h) of all nodes and name_side (lvl, grp, idx, l, r), what the parent hashes before and after a node."""
+    return f"""{name}_up AS (SELECT 0 AS lvl, grp, idx, n, h FROM {leaves} UNION ALL
+ SELECT lvl + 1, grp, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM {name}_up WHERE n > 1 GROUP BY lvl, grp, idx // 3, n),
+{name}_side AS (SELECT lvl, grp, idx, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, grp, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+ coalesce(string_agg(h, '') OVER (PARTITION BY lvl, grp, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_up WHERE n > 1)"""
+
+
+#: crc32 of the id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(0, 8), lambda k: ((ord(c) >> k::INTEGER) % 2)::BIGINT)))),
+ lambda c, b: xor(c >> 1, CASE WHEN c % 2 <> b THEN 3988292384 ELSE 0 END)))"""
+
+_OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql('text')} AS h, {_leaf_sql("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS h2 FROM
+ (SELECT *, {_CRC} AS crc FROM documents)),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS grp FROM (SELECT DISTINCT source FROM d)),
+leaves AS (SELECT doc_id, h, h2, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+{_tree_sql('a', 'leaves')},
+tops AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n, h FROM a_up WHERE n = 1),
+{_tree_sql('b', 'tops')},
+walk AS (SELECT idx AS doc, grp, 0 AS lvl, idx, h2 AS acc, '' AS proof FROM leaves UNION ALL
+ SELECT doc, w.grp, w.lvl + 1, w.idx // 3, sha256(l || acc || r), proof || l || r FROM walk w JOIN a_side s ON s.lvl = w.lvl AND s.grp = w.grp AND s.idx = w.idx),
+arrived AS (SELECT grp, doc, acc, proof FROM walk QUALIFY lvl = max(lvl) OVER (PARTITION BY grp, doc)),
+climb AS (SELECT doc, grp, 0 AS lvl, grp - 1 AS idx, acc, proof FROM arrived UNION ALL
+ SELECT doc, w.grp, w.lvl + 1, w.idx // 3, sha256(l || acc || r), proof || l || r FROM climb w JOIN b_side s ON s.lvl = w.lvl AND s.idx = w.idx),
+out AS (SELECT grp, doc, acc, proof FROM climb QUALIFY lvl = max(lvl) OVER (PARTITION BY grp, doc))
+SELECT doc_id, x.h AS leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = r.h AS verified
+FROM leaves x JOIN out ON out.grp = x.grp AND out.doc = x.idx JOIN tops t ON t.idx = x.grp - 1 JOIN b_up r ON r.n = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk_search": _OP2, "op4_decontamination": _OP4, "op6_minhash_near_dup": _OP6, "op8_line_dedup": _OP8, "op9_lm_scoring": _OP9}
+    return {"op2_topk_search": _OP2, "op4_decontamination": _OP4, "op6_minhash_near_dup": _OP6, "op8_line_dedup": _OP8, "op9_lm_scoring": _OP9, "op11_fill_in_middle": _OP11, "op13_merkle_manifest": _OP13}
