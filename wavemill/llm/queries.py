@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import decontaminate, fim, language, line_dedup, lm_score, merkle, mix, near_dup, token_count, token_file, topk, toxicity
+from wavemill.llm import decontaminate, fim, language, line_dedup, lm_score, merkle, mix, near_dup, pii, token_count, token_file, topk, toxicity
 from wavemill.llm.common import crc_mod, scratch_path, table
 
 END_ID = 2
@@ -64,6 +64,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are those of the base spans; n_added counts the others."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering takes the line feeds out of the texts whose id's crc32 is even."""
     tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -72,7 +82,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk_search, op3_language_id, op4_decontamination, op5_toxicity, op6_minhash_near_dup, op7_token_files, op8_line_dedup, op9_lm_scoring, op10_source_mix, op11_fill_in_middle, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk_search, op3_language_id, op4_decontamination, op5_toxicity, op6_minhash_near_dup, op7_token_files, op8_line_dedup, op9_lm_scoring, op10_source_mix, op11_fill_in_middle, op12_personal_data, op13_merkle_manifest)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
