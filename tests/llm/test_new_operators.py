@@ -211,3 +211,25 @@ def test_learning_from_nothing(spark):
     model = pii.learn(_docs(spark, [(1, None, None, None, None)]), most=400)
     base, bad = pii.base_spans("no data")
     assert model.spans("no data", base, bad) == []
+
+
+def test_personal_data_query(spark, tmp_path):
+    """The query's digests of base spans against plain patterns, and nothing but base spans and what was added in its list."""
+    from wavemill.llm import queries
+
+    values = ["a.b@c.de", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "jane at corp dot org", "word", "2024-01-02"]
+    r = random.Random(8)
+    clean = "the of and tion ere las dos uni web mail anna team sun river".split()
+    rows = [(k, " ".join(r.choices(clean, k=60) + (r.choices(values, k=3) + r.choices(clean, k=5) if k % 4 == 0 else [])), "s", "en", 1) for k in range(400)] + [(900, None, None, None, None), (901, "", "s", "en", 0)]
+    _docs(spark, rows).drop("spans").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op12_personal_data(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for doc, text, *_ in rows:
+        base = _plain_spans(text or "")
+        listed = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base]
+        assert got[doc]["base_sha256"] == _sha(",".join(listed))
+        assert [got[doc][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == n for s in base) for n in range(4)]
+        spans = got[doc]["spans"].split(",") if got[doc]["spans"] else []
+        assert set(listed) <= set(spans)
+        assert len(spans) == len(base) + got[doc]["n_added"]
+    assert sum(r["n_added"] for r in got.values()) > 20
