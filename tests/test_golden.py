@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.functions import codecs
+from wavemill.functions import codecs, wav
 from wavemill.operators import blocks, history, recursive, scalar, timeline
 
 
@@ -120,4 +120,4 @@ def test_broken_files_give_what_is_whole(spark):
     assert [(r.depth, r.type, r.size) for r in codecs.boxes(files(box + wide + b"\0\0\0\x04bad!", b"\0")).collect()] == [(0, "free", 0), (0, "moov", 8), (1, "free", 0)]
     assert codecs.transport_packets(files(b"G" * 187, None)).count() == 0
     assert codecs.ima_samples(files(b"\x01", b"\x07\x00\x00\x00")).collect()[0].x == 7
-    assert codecs.wav_frames(files(b"RIFF", None)).count() == 0
+    assert wav.wav_frames(files(b"RIFF", None)).count() == 0

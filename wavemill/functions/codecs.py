@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from binascii import crc_hqx
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.containers import walk
 from wavemill.functions.formats import little_endian
+from wavemill.functions.metadata import crc16
 
 #: Scale between 8-bit and 16-bit samples, and the middle of unsigned 8-bit ones (fixed values).
 L8_SCALE, L8_MIDDLE = 258, 129
@@ -93,17 +95,6 @@ def wav_bytes(samples: Column, rate: int, channels: int, bits: int = 16) -> Colu
     return F.concat(*head, F.encode(F.lit("data"), "utf-8"), number(data, 4), pcm_bytes(samples, size))
 
 
-def wav_frames(files: DataFrame, bits: int = 16) -> DataFrame:
-    """(path, frame_no, samples) of WAV files with `bits` bits a sample whose chunks are `fmt ` and `data`; others are left out."""
-    c, size = F.col("content"), bits // 8
-    data = 28 + little_endian(c, 16, 4)
-    ok = (F.substring(c, 1, 4).cast("string") == "RIFF") & (F.substring(c, 9, 8).cast("string") == "WAVEfmt ") & (little_endian(c, 34, 2) == bits)
-    block = little_endian(c, 22, 2).cast("int") * size
-    n = F.floor((F.length(c) - data) / block).cast("int")
-    held = files.filter(ok & (n > 0)).select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame_no"))
-    return held.select("path", "frame_no", pcm_samples(F.substr(c, (data + F.col("frame_no") * block).cast("int") + 1, block), size).alias("samples"))
-
-
 def csv_samples(line: Column, delimiter: str = ",") -> Column:
     """The integers of a CSV line; what is none becomes null."""
     return F.transform(F.split(line, delimiter), lambda v: F.trim(v).try_cast("int"))
@@ -259,8 +250,24 @@ def dsf_header(content: Column) -> list[Column]:
 
 
 def hdlc_content(frame: Column) -> Column:
-    """The content of a frame given as hex, without flags, escapes and CRC; null where flags are missing. The CRC is left to crc16()."""
+    """The content of a frame given as hex, without flags, escapes and CRC; null where flags are missing or the CRC is another one."""
     body = F.regexp_extract(frame, "^7E((?:..)*)7E$", 1)
     octets = F.regexp_replace(body, "(..)", "$1 ")
     plain = F.replace(F.replace(F.replace(octets, F.lit("7D 5E "), F.lit("7E ")), F.lit("7D 5D "), F.lit("7D ")), F.lit(" "), F.lit(""))
-    return F.when(F.length(plain) >= 4, F.unhex(F.substr(plain, F.lit(1), F.length(plain) - 4)))
+    content = F.unhex(F.substr(plain, F.lit(1), F.length(plain) - 4))
+    crc = F.lpad(F.hex(crc16(content)), 4, "0")
+    return F.when((F.length(plain) >= 4) & (F.substr(plain, F.length(plain) - 3) == crc), content)
+
+
+def hdlc_frames(files: DataFrame) -> DataFrame:
+    """(path, k, content) of the frames in byte streams (path, content): what lies between flags (0x7E), without escapes, where its last two bytes are its CRC. Other bytes and broken frames are left out; k counts those that are whole."""
+
+    def parts(content: bytes) -> Iterator[tuple]:
+        start = content.find(b"\x7e")
+        while start >= 0 and (end := content.find(b"\x7e", start + 1)) >= 0:
+            plain = content[start + 1 : end].replace(b"\x7d\x5e", b"\x7e").replace(b"\x7d\x5d", b"\x7d")
+            if len(plain) > 2 and crc_hqx(plain[:-2], 0xFFFF) == int.from_bytes(plain[-2:], "big"):
+                yield (plain[:-2],)
+            start = end
+
+    return walk(files, parts, pa.schema([("content", pa.binary())]), "content binary")

@@ -20,17 +20,34 @@ ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 120
 ID3_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
+#: Parts that one Arrow batch of a walk holds, by number and by bytes.
+WALK_PARTS, WALK_BYTES = 4096, 16 << 20
+
+
 def walk(files: DataFrame, parts: Callable[[bytes], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """(path, k, *schema): a row for each part, numbered in order. Rows stay in their partitions; nothing is shuffled."""
+    """(path, k, *schema): a row for each part, numbered in order. Rows stay in their partitions; nothing is shuffled, and parts of a file leave in batches, so that never all are held."""
+
+    def batches_of(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        first, held, size = 0, [], 0
+        for part in parts(content):
+            held.append(part)
+            size += sum(len(v) for v in part if isinstance(v, bytes))
+            if len(held) >= WALK_PARTS or size >= WALK_BYTES:
+                yield batch(path, first, held)
+                first, held, size = first + len(held), [], 0
+        if held:
+            yield batch(path, first, held)
+
+    def batch(path: str, first: int, found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([path] * len(found), pa.string()), pa.array(range(first, first + len(found)), pa.int32())]
+        columns += [pa.array(list(v), f.type) for v, f in zip(zip(*found, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["path", "k", *schema.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                found = list(parts(content.as_py())) if content.is_valid else []
-                if found:
-                    columns = [pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int32())]
-                    columns += [pa.array(list(v), f.type) for v, f in zip(zip(*found, strict=True), schema, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["path", "k", *schema.names])
+                if content.is_valid:
+                    yield from batches_of(path, content.as_py())
 
     return files.select("path", "content").mapInArrow(run, f"path string, k int, {ddl}")
 

@@ -15,10 +15,12 @@ def glob_match(x: Column, patterns: str) -> Column:
 
 
 def url_parts(url: Column) -> list[Column]:
+    """protocol, host (both in lower case) and path; empty where the URL doesn't have it."""
+    part = lambda pattern: F.regexp_extract(url, pattern, 1)
     return [
-        F.regexp_extract(url, "^([a-z]+)://", 1).alias("protocol"),
-        F.regexp_extract(url, "^[a-z]+://([^/:?#]*)", 1).alias("host"),
-        F.regexp_extract(url, "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"),
+        F.lower(part("^([A-Za-z][A-Za-z0-9+.-]*)://")).alias("protocol"),
+        F.lower(part("^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")).alias("host"),
+        part("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)").alias("path"),
     ]
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,8 +48,11 @@ def closest_rate(rate: Column, rates: tuple[int, ...] = RATES) -> Column:
     return F.array_min(F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r")) for k, r in enumerate(rates)]), lambda p: F.struct(F.abs(p["r"] - rate).alias("d"), p["k"].alias("k"), p["r"].alias("r"))))["r"]
 
 
-def frames(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "frame_no")
+def generated(lengths: DataFrame, make: Callable[[Column], Column], part: int = 1 << 16) -> DataFrame:
+    """(stream_id, frame_no, x): of lengths (stream_id, n) n frames each, x = make(frame_no). Long streams are made in parts, dealt over all tasks."""
+    parts = lengths.filter("n > 0").select("stream_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(part).cast("long"))).alias("first"))
+    frames = parts.select("stream_id", F.explode(F.sequence("first", F.least(F.col("first") + part, F.col("n")) - 1)).alias("frame_no"))
+    return frames.select("stream_id", "frame_no", make(F.col("frame_no")).alias("x"))
 
 
 def sine(frame_no: Column, hz: float, rate: float, amplitude: float, phase: float = 0.0) -> Column:

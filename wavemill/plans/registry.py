@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
-from wavemill.plans import codecs, recursions, spectra
+from wavemill.plans import codecs, media, recursions, spectra
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -127,11 +127,11 @@ _user("pid", lambda r: history.pid(r, 10000, 0.1, 50000, -50000, 0.5, 0.1, 0.01)
 _INTER = {"parabolic": "0.5::DOUBLE * x1 + 0.25::DOUBLE * (x0 + x2) + t * 0.5::DOUBLE * (x2 - x0) + t * t * 0.25::DOUBLE * (x3 - x1 - x2 + x0)", "linear": "x1 + t * (x2 - x1)", "hermite": "x1 + t * (x2 - x0) / 2 + t * t * (x0 - 2.5 * x1 + 2 * x2 - 0.5 * x3) + t * t * t * (1.5 * (x1 - x2) + 0.5 * (x3 - x0))", "bspline": "((x0 + 4 * x1 + x2) + 3 * t * (x2 - x0) + 3 * t * t * (x0 - 2 * x1 + x2) + t * t * t * (x3 - x0 + 3 * (x1 - x2))) / 6", "lagrange": "x0 * (-t * (t - 1) * (t - 2) / 6) + x1 * ((t + 1) * (t - 1) * (t - 2) / 2) + x2 * (-t * (t + 1) * (t - 2) / 2) + x3 * (t * (t + 1) * (t - 1) / 6)"}
 for _name, _sql in _INTER.items():
     _user(f"resample_{_name}", lambda r, n=_name: history.resample(r, 0.75, n).withColumn("y", F.round("y", 4)), f", n AS (SELECT stream_id, frame_no, coalesce(lag(x) {_OVER}), x) AS x0, x AS x1, lead(x) {_OVER}) AS x2, coalesce(lead(x, 2) {_OVER}), lead(x) {_OVER})) AS x3 FROM eu), g AS (SELECT n.*, k, k * 0.75::DOUBLE - frame_no AS t FROM n JOIN range(0, 4000) r(k) ON floor(k * 0.75::DOUBLE) = frame_no WHERE x2 IS NOT NULL) SELECT stream_id, k AS frame_no, round(({_sql})::DOUBLE, 4) AS y FROM g")
-_half = lambda r: r.withColumn("x", -F.col("x")).filter("frame_no < 20")
-_user("merge", lambda r: mixing.merge([(r, 1.0), (_half(r), 0.5)]), " SELECT stream_id, frame_no, [x, trunc(-x * 0.5::DOUBLE)::INTEGER] AS samples FROM eu WHERE frame_no < 20")
-_user("mix", lambda r: mixing.mix([(r, 100), (_half(r), 50)]), f" SELECT stream_id, frame_no, (trunc(x * ({100 / 150!r}::DOUBLE))::BIGINT + CASE WHEN frame_no < 20 THEN trunc(-x * ({50 / 150!r}::DOUBLE))::BIGINT ELSE 0 END) AS x FROM eu")
-_user("generator_average", lambda r: mixing.average([r, _half(r)]), " SELECT stream_id, frame_no, CASE WHEN frame_no < 20 THEN 0 ELSE x END AS x FROM eu")
-_user("concatenate", lambda r: mixing.concatenate([_half(r), r]), " SELECT stream_id, frame_no, -x AS x FROM eu WHERE frame_no < 20 UNION ALL SELECT stream_id, frame_no + n, x FROM eu JOIN (SELECT stream_id, count(*) AS n FROM eu WHERE frame_no < 20 GROUP BY 1) USING (stream_id)")
+_other = lambda r: r.withColumn("x", 3000 - 2 * F.col("x"))
+_user("merge", lambda r: mixing.merge([(r, 1.0), (_other(r), 0.5)]), " SELECT stream_id, frame_no, [x, trunc((3000 - 2 * x) * 0.5::DOUBLE)::INTEGER] AS samples FROM eu")
+_user("mix", lambda r: mixing.mix([(r, 100), (_other(r), 50)]), f" SELECT stream_id, frame_no, trunc(x * ({100 / 150!r}::DOUBLE))::BIGINT + trunc((3000 - 2 * x) * ({50 / 150!r}::DOUBLE))::BIGINT AS x FROM eu")
+_user("generator_average", lambda r: mixing.average([r, _other(r)]), " SELECT stream_id, frame_no, trunc((3000 - x) / 2.0::DOUBLE)::INTEGER AS x FROM eu")
+_user("concatenate", lambda r: mixing.concatenate([_other(r), r]), " SELECT stream_id, frame_no, 3000 - 2 * x AS x FROM eu UNION ALL SELECT stream_id, frame_no + count(*) OVER (PARTITION BY stream_id), x FROM eu")
 
 _less = lambda r: blocks.decimate(r.withColumn("x", -F.col("x")), 3)
 _LESS = ", h AS (SELECT stream_id, frame_no // 3 AS frame_no, -x AS x FROM eu WHERE (frame_no + 1) % 3 = 0)"
@@ -143,6 +143,7 @@ _user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS
 recursions.register(add, EU, signals.events_by_user)
 spectra.register(add, _flat, _user, EU, EF, LO)
 codecs.register(add, _flat, EF, LO)
+media.register(add, LO)
 
 
 def _recursive(name: str, make, digits: int = 4) -> None:

@@ -81,12 +81,15 @@ def register(add: Callable, flat: Callable, user: Callable, eu: str, ef: str, lo
         flat(f"lfo_{name}", lambda x, k, n=name: F.round(scalar.lfo(n, k, 7, 1000), 6), f"round(({sql.replace('T)', '((frame_no * 7) % 1000 * 2 * pi() / 1000))')})::DOUBLE, 6)")
     flat("scaled_parameter", lambda x, k: F.round(scalar.scaled_parameter(x / 100, 0.5, 2.0), 6), "round(x / 100 + 0.5 * (2.0 - 0.5), 6)::DOUBLE")
     flat("note_name", lambda x, k: scalar.note_name(x.cast("double")), """(SELECT ['C', 'CS', 'D', 'DS', 'E', 'F', 'FS', 'G', 'GS', 'A', 'AS', 'B'][n % 12 + 1] || (n // 12)::VARCHAR FROM range(0, 108) t(n) WHERE ef.x > 0 ORDER BY abs(440 * pow(2.0::DOUBLE, (n - 57) / 12) - ef.x), n LIMIT 1)""")
-    flat("fixed_value", lambda x, k: F.lit(1000), "1000")
-    flat("silence", lambda x, k: F.lit(0), "0")
+    # generators run as long as each user's stream
+    long = ", n AS (SELECT stream_id, count(*) AS n FROM eu GROUP BY 1)"
+    lengths = lambda r: r.groupBy("stream_id").agg(F.count("*").alias("n"))
+    user("fixed_value", lambda r: mixing.generated(lengths(r), lambda k: F.lit(1000)), f"{long} SELECT stream_id, unnest(range(0, n)) AS frame_no, 1000 AS x FROM n")
+    user("silence", lambda r: mixing.generated(lengths(r), lambda k: F.lit(0)), f"{long} SELECT stream_id, unnest(range(0, n)) AS frame_no, 0 AS x FROM n")
+    user("generated_stream", lambda r: mixing.generated(lengths(r), lambda k: mixing.from_array(k, [3, 1, 2])), f"{long} SELECT stream_id, frame_no, [3, 1, 2][frame_no % 3 + 1] AS x FROM (SELECT stream_id, unnest(range(0, n)) AS frame_no FROM n)")
     flat("sine_generated", lambda x, k: mixing.sine(k, 441, 44100, 10000, 0.1), "trunc(10000 * sin(frame_no * (2 * pi() * 441 / 44100) + 0.1))::INTEGER")
     flat("fast_sine", lambda x, k: mixing.fast_sine(k, 441, 44100, 10000), "(SELECT trunc(10000 * (p - 6.283211::DOUBLE * p * p * p + 9.132843::DOUBLE * pow(p, 5)) * -6.221086::DOUBLE)::INTEGER FROM (SELECT frame_no * (441 / 44100.0::DOUBLE) - floor(frame_no * (441 / 44100.0::DOUBLE)) - 0.5 AS p))")
     flat("int_sine", lambda x, k: mixing.int_sine(k, 440, 44100, 10000), f"((round(32767 * sin((frame_no * {440 * 2**32 // 44100} % 4294967296 // 16777216) * 2 * pi() / 256))::BIGINT * 10000) >> 15)::INTEGER")
-    add("generated_stream", lambda s, d: mixing.frames(s, 500).select("frame_no", mixing.from_array(F.col("frame_no"), [3, 1, 2]).alias("x")), "SELECT range AS frame_no, [3, 1, 2][range % 3 + 1] AS x FROM range(0, 500)")
     last = ", l AS (SELECT *, max(frame_no) OVER (PARTITION BY stream_id) - frame_no AS rest FROM eu)"
     user("fade_out", lambda r: timeline.fade_out(r, 20), f"{last} SELECT stream_id, frame_no, trunc(x * least(1.0::DOUBLE, rest / 20.0::DOUBLE))::INTEGER AS x FROM l")
     user("smooth_end", lambda r: timeline.smooth_end(r, 0.05), f"{last} SELECT stream_id, frame_no, trunc(CASE WHEN rest * 0.05::DOUBLE < 0.8::DOUBLE THEN x * (rest * 0.05::DOUBLE) ELSE x END)::INTEGER AS x FROM l")
