@@ -319,18 +319,25 @@ class Model:
 
 
 def passages(docs: DataFrame, most: int = PASSAGES, text_col: str = "text") -> DataFrame:
-    """(passage, seed) of at most `most` rows, those of the smallest hashes, with passages of PASSAGE_CHARS characters from a hashed place."""
+    """(passage, seed) of at most `most` texts, with passages of PASSAGE_CHARS characters from a hashed place. Copies count once.
+
+    Texts whose hash falls into a share of all hashes, about twice what is wanted of as many texts as there are rows, are put
+    in the order of their hashes; what meets in one task is bounded whatever the input.
+    """
     text = F.col(text_col).cast("string")
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(text)
+    share = min(1.0, 2 * most / max(1, docs.count()))
     place = F.pmod(key, F.greatest(F.length(text) - PASSAGE_CHARS, F.lit(1)).cast("long")).cast("int")
-    return docs.filter(text.isNotNull()).select(F.substr(text, place + 1, F.lit(PASSAGE_CHARS)).alias("passage"), key.alias("seed")).orderBy("seed", "passage").limit(most)
+    drawn = docs.filter(text.isNotNull() & (F.pmod(F.shiftright(key, 20), F.lit(1 << 31)) < int(share * (1 << 31))))
+    once = drawn.select(F.substr(text, place + 1, F.lit(PASSAGE_CHARS)).alias("passage"), key.alias("seed")).groupBy("seed").agg(F.min("passage").alias("passage"))
+    return once.select("passage", "seed").orderBy("seed").limit(most)
 
 
 def learn(docs: DataFrame, most: int = PASSAGES, precision: float = PRECISION, text_col: str = "text") -> Model:
     """Trees from passages whose seed isn't divisible by 4, calibration and thresholds from the others. A corpus of few rows gives few passages: each is written on repeatedly."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = passages(docs.select(text_col), most, text_col)
+    rows = passages(docs, most, text_col)
     n = max(1, rows.count())
     again = -(-most // n)
     rows = rows.unionByName(spark.createDataFrame([("", 0)], "passage string, seed long")).select("passage", F.explode(F.transform(F.sequence(F.lit(0), F.lit(again - 1)), lambda k: F.xxhash64("seed", k))).alias("seed"))
