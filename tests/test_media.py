@@ -312,3 +312,26 @@ def test_commands_batch_and_stream_agree(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted((x.stream_id, x.ts, x.label, x.score) for x in spark.table("fired").collect())
     assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_filters_in_blocks(spark, monkeypatch, block):
+    """Whatever the size of blocks, results are those of whole streams."""
+    from wavemill.operators import history, timeline
+
+    r = random.Random(block)
+    x = {s: [r.choice([0, 0, 0, 32767, r.randrange(-9000, 9000)]) for _ in range(n)] for s, n in ((1, 61), (2, 1), (3, 16))}
+    rows = spark.createDataFrame([(s, k, v) for s, own in x.items() for k, v in enumerate(own)], "stream_id long, frame_no long, x int").repartition(3)
+    monkeypatch.setattr(history, "BLOCK", block)
+    by = lambda df, c="y": {s: [row[c] for row in df.filter(F.col("stream_id") == s).orderBy("frame_no").collect()] for s in x}
+    last = lambda own, k, n: [own[j] if j >= 0 else 0 for j in range(k - n + 1, k + 1)]
+    assert by(history.fir(rows, [0.5, 0.0, 2.0])) == {s: [0.5 * v[k] + 2.0 * last(v, k, 3)[0] for k in range(len(v))] for s, v in x.items()}
+    assert by(history.median(rows, 5)) == {s: [sorted(last(v, k, 5))[2] for k in range(len(v))] for s, v in x.items()}
+    assert by(timeline.active(rows, 3, 50), "active") == {s: [max(map(abs, last(v, k, 3))) * 2 > 32767 for k in range(len(v))] for s, v in x.items()}
+    linear = by(history.resample(rows, 0.6))
+    assert linear[1] == pytest.approx([float(np.interp(k * 0.6, range(61), x[1])) for k in range(len(linear[1]))])
+    assert len(linear[1]) == 100
+    got = {q.stream_id: (q.frames, q.clicks, q.dropouts, q.clippings) for q in history.quality(rows, dropout=3, clipping=2).collect()}
+    for s, v in x.items():
+        runs = lambda hit, n, v=v: sum(len(g) >= n for g in "".join("x" if hit(abs(u)) else " " for u in v).split())
+        assert got[s] == (len(v), sum(abs(a - b) > 0.5 * 32767 for a, b in zip(v, v[1:], strict=False)), runs(lambda u: u <= 327.67, 3), runs(lambda u: u >= 0.99 * 32767, 2))

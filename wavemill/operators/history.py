@@ -1,4 +1,4 @@
-"""Filters of finite history: window frames over a stream's frames. Consecutive ones share a window, so Spark sorts once."""
+"""Filters of finite history: window frames over blocks of a stream's frames, with the frames they look back on copied to the blocks' edges."""
 
 from __future__ import annotations
 
@@ -13,25 +13,47 @@ from wavemill.operators.channels import convert_channels
 from wavemill.operators.scalar import convert_bits
 
 
+#: Frames of a block: a stream of more is cut, so that no task holds or sorts a stream as a whole.
+BLOCK = 1 << 16
+
+
 def stream() -> WindowSpec:
     """A stream's frames in order."""
     return Window.partitionBy("stream_id").orderBy("frame_no")
 
 
+def piece() -> WindowSpec:
+    """The frames of a block of in_blocks() in order, with those copied to its edges."""
+    return Window.partitionBy("stream_id", "__block").orderBy("frame_no")
+
+
+def in_blocks(rows: DataFrame, back: int, ahead: int = 0, block: int | None = None) -> DataFrame:
+    """rows by blocks of frame_no (`__block`); the `back` frames before a block and the `ahead` frames after it are copied to it (`__own` is false for these). own() takes them away again. What looks no further than that gives the same in piece() as in stream(), over as many tasks as there are blocks."""
+    block = block or BLOCK
+    at = lambda k: F.floor((F.col("frame_no") + k) / block)
+    first, last = F.greatest(at(-ahead), F.lit(0)), at(back)
+    placed = rows.withColumn("__block", F.explode(F.when(first == last, F.array(first)).otherwise(F.sequence(first, last))))
+    return placed.withColumn("__own", F.col("__block") == at(0))
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.filter("__own").drop("__block", "__own")
+
+
 def moving_average(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("y", F.avg("x").over(stream().rowsBetween(-(n - 1), 0)))
+    return own(in_blocks(rows, n - 1).withColumn("y", F.avg("x").over(piece().rowsBetween(-(n - 1), 0))))
 
 
 def fir(rows: DataFrame, taps: list[float]) -> DataFrame:
     """y[i] = sum of taps[k] * x[i - k]; frames before the first are 0."""
-    terms = [F.coalesce(F.lag("x", k).over(stream()) if k else F.col("x"), F.lit(0)) * F.lit(float(b)) for k, b in enumerate(taps)]
-    return rows.withColumn("y", reduce(lambda a, b: a + b, terms))
+    terms = [F.coalesce(F.lag("x", k).over(piece()) if k else F.col("x"), F.lit(0)) * F.lit(float(b)) for k, b in enumerate(taps)]
+    return own(in_blocks(rows, len(taps) - 1).withColumn("y", reduce(lambda a, b: a + b, terms)))
 
 
 def median(rows: DataFrame, n: int = 7) -> DataFrame:
     """Of the last n frames, those before the first being 0."""
-    held = F.array(*[F.coalesce(F.lag("x", k).over(stream()) if k else F.col("x"), F.lit(0)) for k in range(n)])
-    return rows.withColumn("y", F.get(F.array_sort(held), F.lit(n // 2)))
+    held = F.array(*[F.coalesce(F.lag("x", k).over(piece()) if k else F.col("x"), F.lit(0)) for k in range(n)])
+    return own(in_blocks(rows, n - 1).withColumn("y", F.get(F.array_sort(held), F.lit(n // 2))))
 
 
 def remove_silence(rows: DataFrame, n: int = 8, limit: int = 2) -> DataFrame:
@@ -47,20 +69,23 @@ def zero_crossings(rows: DataFrame, rate: int) -> DataFrame:
     return up.withColumn("frames", F.col("frame_no") - F.lag("frame_no").over(stream())).filter("frames is not null").select("stream_id", "frame_no", (rate / F.col("frames")).alias("hz"))
 
 
-def _runs(rows: DataFrame, hit: Column, least: int) -> DataFrame:
-    """How many runs of at least `least` frames a stream has in which hit holds."""
-    island = F.col("frame_no") - F.row_number().over(stream())
-    got = rows.filter(hit).withColumn("island", island).groupBy("stream_id", "island").count().filter(F.col("count") >= least)
-    return got.groupBy("stream_id").agg(F.count("*").alias("runs"))
+def quality(rows: DataFrame, most: int = 32767, click: float = 0.5, quiet: float = 0.01, loud: float = 0.99, dropout: int = 10, clipping: int = 3) -> DataFrame:
+    """Per stream: frames, clicks (jumps of more than click * most), dropouts and clippings (runs of quiet or loud frames).
 
+    A run counts at the frame that makes it long enough: its last frames are all hits and the one before them, if any, is none. So
+    nothing looks further back than a run's length, and one window and one aggregation do.
+    """
+    jump = F.abs(F.col("x") - F.lag("x").over(piece())) > click * most
 
-def quality(rows: DataFrame, most: int = 32767, click: float = 0.5, quiet: float = 0.01, loud: float = 0.99, dropout: int = 10, clipping: int = 3) -> DataFrame:
-    """Per stream: frames, clicks (jumps of more than click * most), dropouts and clippings (runs of quiet or loud frames)."""
-    jump = F.abs(F.col("x") - F.lag("x").over(stream())) > click * most
-    base = rows.withColumn("jump", jump).groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if("jump").alias("clicks"))
-    a = _runs(rows, F.abs("x") <= quiet * most, dropout).withColumnRenamed("runs", "dropouts")
-    b = _runs(rows, F.abs("x") >= loud * most, clipping).withColumnRenamed("runs", "clippings")
-    return base.join(a, "stream_id", "left").join(b, "stream_id", "left").na.fill(0, ["dropouts", "clippings"])
+    def reached(hit: Column, n: int) -> Column:
+        flag = F.when(hit, 1).otherwise(0)
+        return (F.sum(flag).over(piece().rowsBetween(1 - n, 0)) == n) & (F.coalesce(F.lag(flag, n).over(piece()), F.lit(0)) == 0)
+
+    seen = in_blocks(rows.select("stream_id", "frame_no", "x"), max(dropout, clipping, 1))
+    size = F.abs("x")
+    flags = own(seen.select("stream_id", "__block", "__own", jump.alias("jump"), reached(size <= quiet * most, dropout).alias("quiet"), reached(size >= loud * most, clipping).alias("loud")))
+    counts = [F.count_if(c).alias(n) for c, n in (("jump", "clicks"), ("quiet", "dropouts"), ("loud", "clippings"))]
+    return flags.groupBy("stream_id").agg(F.count("*").alias("frames"), *counts)
 
 
 def pid(rows: DataFrame, target: float, dt: float, most: float, least: float, kp: float, ki: float, kd: float) -> DataFrame:
@@ -83,9 +108,9 @@ INTERPOLATORS = {
 
 
 def resample(rows: DataFrame, step: float, kind: str = "linear") -> DataFrame:
-    """Frame k of the output is the input at k * step, which must have a frame on both sides. Each input frame gives out the frames from itself to the next, so nothing but the stream's window is shuffled."""
-    before, after, later = F.lag("x").over(stream()), F.lead("x").over(stream()), F.lead("x", 2).over(stream())
-    near = rows.select("stream_id", "frame_no", F.coalesce(before, "x").alias("x0"), F.col("x").alias("x1"), after.alias("x2"), F.coalesce(later, after).alias("x3")).filter("x2 is not null")
+    """Frame k of the output is the input at k * step, which must have a frame on both sides. Each input frame gives out the frames from itself to the next, so nothing but the blocks' window is shuffled."""
+    before, after, later = F.lag("x").over(piece()), F.lead("x").over(piece()), F.lead("x", 2).over(piece())
+    near = own(in_blocks(rows, 1, 2).select("stream_id", "frame_no", F.coalesce(before, "x").alias("x0"), F.col("x").alias("x1"), after.alias("x2"), F.coalesce(later, after).alias("x3"), "__block", "__own")).filter("x2 is not null")
     first, end = F.ceil(F.col("frame_no") / F.lit(step)).cast("long"), F.ceil((F.col("frame_no") + 1) / F.lit(step)).cast("long") - 1
     each = near.withColumn("k", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
     y = INTERPOLATORS[kind](F.col("x0"), F.col("x1"), F.col("x2"), F.col("x3"), F.col("k") * F.lit(step) - F.col("frame_no"))
@@ -94,8 +119,8 @@ def resample(rows: DataFrame, step: float, kind: str = "linear") -> DataFrame:
 
 def resample_frames(frames: DataFrame, step: float, kind: str = "linear") -> DataFrame:
     """resample() of every channel of the frame form; the samples come out as doubles."""
-    before, after, later = F.lag("samples").over(stream()), F.lead("samples").over(stream()), F.lead("samples", 2).over(stream())
-    near = frames.select("stream_id", "frame_no", F.coalesce(before, "samples").alias("s0"), F.col("samples").alias("s1"), after.alias("s2"), F.coalesce(later, after).alias("s3")).filter("s2 is not null")
+    before, after, later = F.lag("samples").over(piece()), F.lead("samples").over(piece()), F.lead("samples", 2).over(piece())
+    near = own(in_blocks(frames, 1, 2).select("stream_id", "frame_no", F.coalesce(before, "samples").alias("s0"), F.col("samples").alias("s1"), after.alias("s2"), F.coalesce(later, after).alias("s3"), "__block", "__own")).filter("s2 is not null")
     first, end = F.ceil(F.col("frame_no") / F.lit(step)).cast("long"), F.ceil((F.col("frame_no") + 1) / F.lit(step)).cast("long") - 1
     each = near.withColumn("k", F.explode(F.when(end >= first, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
     each = each.withColumn("t", F.col("k") * F.lit(step) - F.col("frame_no"))

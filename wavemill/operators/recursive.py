@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +38,23 @@ def fold(rows: DataFrame, make: Maker, keys: Sequence[str] = ("stream_id",)) ->
 
 
 def fold_channels(frames: DataFrame, makers: Sequence[Maker]) -> DataFrame:
-    """stream_id, frame_no and samples array<double>: channel k of the frames (stream_id, frame_no, samples) through a filter of makers[k], of the last one for further channels."""
-    parts = []
-    each = frames.select("stream_id", "frame_no", F.posexplode("samples").alias("ch", "x"))
-    for k, make in enumerate(makers):
-        own = each.filter(F.col("ch") == k) if k < len(makers) - 1 else each.filter(F.col("ch") >= k)
-        parts.append(fold(own, make, ("stream_id", "ch")))
-    done = reduce(DataFrame.unionByName, parts).groupBy("stream_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("ch", "y"))).alias("s"))
-    return done.select("stream_id", "frame_no", F.transform("s", lambda p: p["y"]).alias("samples"))
+    """stream_id, frame_no and samples array<double>: channel k of the frames (stream_id, frame_no, samples) through a filter of makers[k], of the last one for further channels. One walk for all channels: frames stay whole and meet once."""
+    ordered = frames.select("stream_id", "frame_no", "samples").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, steps = None, []
+        for b in batches:
+            out = []
+            for stream, samples in zip(b.column("stream_id").to_pylist(), b.column("samples").to_pylist(), strict=True):
+                if stream != at:
+                    at, steps = stream, []
+                while len(steps) < len(samples):
+                    steps.append(makers[min(len(steps), len(makers) - 1)]())
+                out.append([float(step(x)) for step, x in zip(steps, samples, strict=False)])
+            yield pa.RecordBatch.from_arrays([b.column("stream_id"), b.column("frame_no"), pa.array(out, pa.list_(pa.float64()))], ["stream_id", "frame_no", "samples"])
+
+    kind = dict(frames.dtypes)
+    return ordered.mapInArrow(run, f"stream_id {kind['stream_id']}, frame_no {kind['frame_no']}, samples array<double>")
 
 
 def biquad(kind: str, hz: float, rate: float, q: float = 0.7071, gain_db: float = 0.0, slope: float = 1.0) -> tuple[list[float], list[float]]:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.operators.history import stream
+from wavemill.operators.history import in_blocks, own, piece, stream
 from wavemill.operators.scalar import clip, truncate
 
 
@@ -40,8 +40,8 @@ def center_by_first(rows: DataFrame, n: int) -> DataFrame:
 
 def active(rows: DataFrame, n: int, percent: float = 20, most: int = 32767) -> DataFrame:
     """Whether one of a frame's last n samples is over that part of the range."""
-    peak = F.max(F.abs("x")).over(stream().rowsBetween(-(n - 1), 0))
-    return rows.withColumn("active", peak * 100 > F.lit(percent * most))
+    peak = F.max(F.abs("x")).over(piece().rowsBetween(-(n - 1), 0))
+    return own(in_blocks(rows, n - 1).withColumn("active", peak * 100 > F.lit(percent * most)))
 
 
 def event_time(frame_no: Column, rate: int, start_us: int = 0) -> Column:
@@ -64,10 +64,16 @@ def sequence_gaps(records: DataFrame) -> DataFrame:
 
 def flanger(rows: DataFrame, gain: float, depth: int, hz: float, rate: float) -> DataFrame:
     """x plus gain times the sample d frames before, d swinging between 0 and depth as a sine of hz; frames before the first are 0."""
-    past = F.collect_list("x").over(stream().rowsBetween(-depth, 0))
     swing = F.floor(F.round((1 + F.sin(F.col("frame_no") * F.lit(2 * math.pi * hz / rate))) * F.lit(depth / 2), 6)).cast("int")
-    echo = F.coalesce(F.get(past, F.size(past) - 1 - swing), F.lit(0))
-    return rows.withColumn("y", truncate(clip(F.col("x") + F.lit(float(gain)) * echo, 32767.0)))
+    met = with_earlier(rows, F.col("frame_no") - swing, "__echo")
+    return met.withColumn("y", truncate(clip(F.col("x") + F.lit(float(gain)) * F.col("__echo"), 32767.0))).drop("__echo")
+
+
+def with_earlier(rows: DataFrame, place: Column, name: str) -> DataFrame:
+    """rows with the sample x of their stream's frame `place`, 0 where there is none. A join on (stream, frame), which spreads a long stream over all tasks and holds nothing for a row."""
+    earlier = rows.select("stream_id", F.col("frame_no").alias("__place"), F.col("x").alias(name))
+    met = rows.withColumn("__place", place.cast("long")).join(earlier, ["stream_id", "__place"], "left")
+    return met.select(*rows.columns, F.coalesce(name, F.lit(0)).alias(name))
 
 
 def envelope(k: Column, on: Column, attack: int, decay: int, sustain: float, release: int) -> Column:
@@ -141,8 +147,7 @@ def loop(rows: DataFrame, times: int) -> DataFrame:
 
 def chorus(rows: DataFrame, lfo: Column, base: float, swing: float) -> DataFrame:
     """The signal base + swing * lfo frames before (lfo in 0..1), between two frames by a straight line; frames before the first are 0. Nothing of the undelayed signal is added."""
-    past = F.collect_list("x").over(stream().rowsBetween(-math.ceil(base + swing) - 1, 0))
     late = F.round(F.lit(float(base)) + F.lit(float(swing)) * lfo, 6)
-    whole = F.floor(late).cast("int")
-    near, far = (F.coalesce(F.get(past, F.size(past) - 1 - whole - k), F.lit(0)) for k in (0, 1))
-    return rows.withColumn("y", near + (far - near) * (late - whole))
+    whole = F.floor(late)
+    met = with_earlier(with_earlier(rows.withColumn("__late", late), F.col("frame_no") - whole, "__near"), F.col("frame_no") - F.floor("__late") - 1, "__far")
+    return met.withColumn("y", F.col("__near") + (F.col("__far") - F.col("__near")) * (F.col("__late") - F.floor("__late"))).drop("__near", "__far", "__late")
