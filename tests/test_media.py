@@ -335,3 +335,36 @@ def test_filters_in_blocks(spark, monkeypatch, block):
     for s, v in x.items():
         runs = lambda hit, n, v=v: sum(len(g) >= n for g in "".join("x" if hit(abs(u)) else " " for u in v).split())
         assert got[s] == (len(v), sum(abs(a - b) > 0.5 * 32767 for a, b in zip(v, v[1:], strict=False)), runs(lambda u: u <= 327.67, 3), runs(lambda u: u >= 0.99 * 32767, 2))
+
+
+def test_segments_sync_and_avi_of_broken_files(spark):
+    from wavemill.functions import segments
+
+    noise = bytes(random.Random(3).randrange(256) for _ in range(400))
+    own = files(spark, b"", None, b"\r\n", b"\r\n\x02\0\xff\xff\0\0", noise, b"\x7b\x02\0\0\xff\xff", b"RIFF\x04\0\0\0AVI ", b"\x7b\x09")
+    assert segments.segments(own).count() == 0
+    assert segments.sync_records(own).count() == 0
+    assert segments.avi_streams(own).count() == 0
+    assert segments.avi_samples(own).count() == 0
+    assert segments.decode_any(files(spark, b"", None, b"text", b"RIFF\x04\0\0\0WAVE")).count() == 0
+
+
+def test_segment_round_trip_and_resync(spark):
+    from wavemill.functions import segments
+
+    rows = spark.createDataFrame([(1, bytearray(b"pcm\r\ndata"))], "id int, p binary")
+    whole = rows.select(F.lit("a").alias("path"), F.concat(F.lit(b"\r\n\r\n"), segments.segment("header", segments.audio_info(44100, 2, 16)), segments.segment("audio", F.col("p")), F.lit(b"\r"), segments.segment("meta", F.lit(b"m")), segments.segment("video", F.lit(b"v"))).alias("content"))
+    got = segments.segments(whole).orderBy("k").collect()
+    assert [(g.kind, bytes(g.payload), g.rate) for g in got[1:]] == [("audio", b"pcm\r\ndata", 44100), ("meta", b"m", 44100), ("video", b"v", 44100)]
+
+
+def test_osc_floats_and_extended_tags(spark):
+    from wavemill.functions import containers, metadata
+
+    row = spark.range(1).select(containers.osc_message(F.lit("/f"), "fds", [F.lit(1.1), F.lit(-2.5e300), F.lit("x")]).alias("m"))
+    assert bytes(row.collect()[0].m) == b"/f\0\0,fds\0\0\0\0" + struct.pack(">fd", 1.1, -2.5e300) + b"x\0\0\0"
+    got = row.select(*containers.osc_values(F.col("m"), "fds")).collect()[0]
+    assert (got.v0, got.v1, got.v2) == (pytest.approx(1.1, rel=1e-6), -2.5e300, "x")
+    assert row.select(*containers.osc_values(F.col("m"), "dfs")).collect()[0].v0 is None
+    none = spark.createDataFrame([(bytearray(b"TAG"),), (None,)], "c binary").select(*metadata.id3v1_extended(F.col("c"))).collect()
+    assert all(v is None for r in none for v in r)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,12 +162,36 @@ def _big_endian(value: Column, size: int) -> Column:
     return F.unhex(F.substring(F.lpad(F.hex(value.cast("long")), 16, "0"), 17 - 2 * size, 2 * size))
 
 
+#: Floats of OSC messages by their kind, as numpy names them (fixed values).
+FLOATS = {"f": ">f4", "d": ">f8"}
+
+
+def _float_bytes(form: str) -> Callable[[Column], Column]:
+    @F.arrow_udf("binary")
+    def packed(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.array(v, form).tobytes() for v in values.to_pylist()], pa.binary())
+
+    return packed
+
+
+def _float_value(form: str) -> Callable[[Column], Column]:
+    size = int(form[-1])
+
+    @F.arrow_udf("double")
+    def value(content: pa.Array) -> pa.Array:
+        return pa.array([float(np.frombuffer(v, form)[0]) if v is not None and len(v) == size else None for v in content.to_pylist()], pa.float64())
+
+    return value
+
+
 def osc_message(address: Column, kinds: str, values: list[Column]) -> Column:
-    """A message with an address and values of kinds i (32 bits), h and t (64 bits), s (text) and b (bytes), big-endian, in units of four bytes."""
+    """A message with an address and values of kinds i (32 bits), h and t (64 bits), f and d (floats of 32 and 64 bits), s (text) and b (bytes), big-endian, in units of four bytes."""
     parts = [_osc_text(address), _osc_text(F.lit("," + kinds))]
     for kind, value in zip(kinds, values, strict=True):
         if kind == "b":
             parts.append(F.concat(_big_endian(F.length(value), 4), _padded(value)))
+        elif kind in FLOATS:
+            parts.append(_float_bytes(FLOATS[kind])(value.cast("double")))
         else:
             parts.append(_osc_text(value) if kind == "s" else _big_endian(value, 4 if kind == "i" else 8))
     return F.concat(*parts)
@@ -195,6 +220,9 @@ def osc_values(content: Column, kinds: str) -> list[Column]:
         elif kind == "b":
             n = number(at, 4).cast("int")
             value, size = F.substr(content, at + 5, n), 4 + n + F.pmod(-n, F.lit(4))
+        elif kind in FLOATS:
+            size = int(FLOATS[kind][-1])
+            value = _float_value(FLOATS[kind])(F.substr(content, at + 1, F.lit(size)))
         else:
             size = 4 if kind == "i" else 8
             value = number(at, size)

@@ -48,6 +48,19 @@ def id3v1(content: Column) -> list[Column]:
     return [F.when(ok, F.rtrim(F.regexp_replace(F.decode(F.substring(tag, at, n), "ISO-8859-1"), "\\x00.*$", ""))).alias(name) for name, at, n in parts]
 
 
+def id3v1_extended(content: Column) -> list[Column]:
+    """title, artist, album (up to 90 characters each), speed, genre, start and end of the extended tag (`TAG+`, 227 bytes) before the one in the last 128 bytes; null without both. The long fields go on where those of the short tag are full."""
+    tag = F.substring(content, -355, 227)
+    ok = (F.length(content) >= 355) & (F.substring(tag, 1, 4) == F.lit(b"TAG+")) & (F.substring(F.substring(content, -128, 128), 1, 3) == F.lit(b"TAG"))
+    plain = lambda at, n, own=tag: F.regexp_replace(F.decode(F.substring(own, at, n), "ISO-8859-1"), "\\x00.*$", "")
+    short = F.substring(content, -128, 128)
+    both = [F.rtrim(F.concat(plain(4 + 30 * k, 30, short), plain(5 + 60 * k, 60))).alias(n) for k, n in enumerate(("title", "artist", "album"))]
+    speed = F.conv(F.hex(F.substring(tag, 185, 1)), 16, 10).cast("int").alias("speed")
+    rest = [F.rtrim(plain(at, n)).alias(name) for name, at, n in (("genre", 186, 30), ("start", 216, 6), ("end", 222, 6))]
+    names = ("title", "artist", "album", "speed", "genre", "start", "end")
+    return [F.when(ok, c).alias(n) for n, c in zip(names, (*both, speed, *rest), strict=True)]
+
+
 def stream_title(metadata: Column) -> Column:
     return F.nullif(F.regexp_extract(metadata, "StreamTitle='(.*?)';", 1), F.lit(""))
 

@@ -42,6 +42,11 @@ def _ints(values: Column, size: int = 4) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda v: codecs.pcm_hex(v, size, True)), ""))
 
 
+def made(files: DataFrame) -> DataFrame:
+    """Files whose content an expression builds, built once: without this the expression would stand wherever a byte of the content is looked at."""
+    return files.select("path", "content").mapInArrow(lambda batches: batches, "path string, content binary")
+
+
 def register(add: Callable, lo: str) -> None:
     pages = lambda s, d: signals.table(s, d, "pages")
     files = lambda s, d, c: pages(s, d).select(F.col("page_id").cast("string").alias("path"), c.alias("content"))
@@ -98,9 +103,13 @@ def register(add: Callable, lo: str) -> None:
         stsd = _box("stsd", _hex("00000000", "00000001"), _box("mp4a", _zeros(28), esds))
         tables = [stsd, _box("stts", _hex("00000000", "00000002", "00000003", "00000400"), _int(n - 3, 4, True), _hex("00000200")), _box("stsc", _hex("00000000", "00000002", "00000001", "00000002", "00000001", "00000003", "00000001", "00000001")), _box("stsz", _hex("00000000", "00000000"), _int(n, 4, True), _ints(sizes))]
         stco = F.when(pid % 2 == 0, _box("stco", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets))).otherwise(_box("co64", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets, 8)))
-        trak = _box("trak", _box("mdia", _box("minf", _box("stbl", *tables, stco))))
+        # in steps, each a column: a box holds its content twice
+        own = pages(s, d).select("page_id", media.alias("media"), F.concat(*tables, stco).alias("in"))
+        for name in ("stbl", "minf", "mdia", "trak"):
+            own = own.withColumn("in", _box(name, F.col("in")))
         other = _box("trak", _box("mdia", _box("hdlr", _zeros(4))))
-        return files(s, d, F.concat(_box("ftyp", _ascii("M4A ")), _box("mdat", media), _box("moov", other, trak)))
+        whole = F.concat(_box("ftyp", _ascii("M4A ")), _box("mdat", F.col("media")), _box("moov", other, F.col("in")))
+        return made(own.select(pid.cast("string").alias("path"), whole.alias("content")))
 
     _M4A = """p AS (SELECT page_id, 5 + page_id % 4 AS n, rpad('mediabytes' || url, 64, '.') AS media FROM pages),
  z AS (SELECT page_id, n, media, k, (k * 7 + page_id) % 5 + 1 AS size, CASE WHEN k < 4 THEN k // 2 ELSE k - 2 END AS chunk FROM p, unnest(range(0, n)) t(k)),
@@ -127,7 +136,7 @@ def register(add: Callable, lo: str) -> None:
         lost = F.when(pid % 3 == 0, _zeros(0)).otherwise(packet(257, 0, 8, F.concat(_ascii("more"), url())))
         three = F.concat(_hex("000001C0", "0000", "800000"), _ascii("end"))
         parts = [packet(0, 1, 0, pat), packet(map_pid, 1, 0, pmt), packet(audio, 0, 4, _ascii("stray")), packet(audio, 1, 5, one), packet(audio, 1, 5, one), packet(257, 1, 7, head), lost, packet(257, 0, 9, _ascii("tail")), packet(audio, 1, 6, three), packet(999, 1, 0, three)]
-        return files(s, d, F.concat(*parts))
+        return made(files(s, d, F.concat(*parts)))
 
     _PID = "page_id % 50 + 300"
     add("ts_streams", lambda s, d: transport.elementary_streams(codecs.transport_packets(ts_files(s, d))), f"SELECT page_id::VARCHAR AS path, 1::INTEGER AS program, unnest([{_PID}, 257])::INTEGER AS pid, unnest([15, 27])::INTEGER AS stream_type, unnest(['audio/aac', 'video/h264']) AS type FROM pages")

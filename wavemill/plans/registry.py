@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import containers, formats, metadata, text
 from wavemill.operators import blocks, channels, history, mixing, recursive, scalar, spectral, timeline
-from wavemill.plans import codecs, followers, media, recursions, spectra
+from wavemill.plans import codecs, followers, media, parcels, recursions, spectra
 from wavemill.sources import signals
 
 QUERIES: dict = {}
@@ -145,6 +145,7 @@ spectra.register(add, _flat, _user, EU, EF, LO)
 codecs.register(add, _flat, EF, LO)
 media.register(add, LO)
 followers.register(add, _user, EU)
+parcels.register(add)
 
 
 def _recursive(name: str, make, digits: int = 4) -> None:
