@@ -275,8 +275,10 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [line, line], [None, 1])).filter("n_removed > 0").count() == 0
 
 
-def test_line_dedup_on_random_lines(spark):
-    """Lines of a small vocabulary with edits, against a comparison of every pair of lines."""
+@pytest.mark.parametrize("hot", [1000, 3, 1])
+def test_line_dedup_on_random_lines(spark, monkeypatch, hot):
+    """Lines of a small vocabulary with edits, against a comparison of every pair of lines; also where frequent tokens are posted in threes."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = np.random.default_rng(8)
     texts, pool = [], [[f"t{k}" for k in rng.integers(0, 300, rng.integers(1, 40))] for _ in range(40)]
     for _ in range(120):
@@ -297,6 +299,22 @@ def test_line_dedup_on_random_lines(spark):
     assert {r.doc_id: r.n_lines for r in found} == {d: t.count("\n") + 1 for d, t in enumerate(texts)}
 
 
+def test_line_dedup_of_frequent_words(spark, monkeypatch):
+    """Thousands of lines of frequent words only: what meets is a small part of all pairs that share a posted token."""
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"w{v}" for v in rng.choice(40, 12)) for _ in range(4000)]
+    met = {}
+    sizes = lambda name, df: met.setdefault(name, df.count()) and df
+    by_three = line_dedup._meet_by_three
+    monkeypatch.setattr(line_dedup, "_meet_by_three", lambda *a: sizes("three", by_three(*a)))
+    monkeypatch.setattr(line_dedup, "HOT", 200)
+    found = line_dedup.dedup_lines(table(spark, ["\n".join(lines[k : k + 50]) for k in range(0, 4000, 50)])).collect()
+    sets = [frozenset(x.split()) for x in lines]
+    gone = {k for k in range(4000) if any(100 * len(sets[k] & o) >= 80 * len(sets[k] | o) for o in sets[:k] if abs(len(o) - len(sets[k])) < 4)}
+    assert {50 * r.doc_id + k for r in found for k in r.removed} == gone
+    assert 0 < met["three"] < 4000 * 4000 / 60
+
+
 def test_lm_scores(spark):
     docs = ["good text here"] * 20 + ["bad words there"] * 20 + [None, " "]
     rows = lm_score.cross_entropy_difference(table(spark, docs), spark.range(20).withColumnRenamed("id", "doc_id")).orderBy("doc_id").collect()
