@@ -34,8 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Scratch folders by application, until clean().
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/wavemill-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/wavemill-{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the scratch folders that operators wrote for this application, and tells how many. DataFrames that still read them fail from then on, so it is for the end of a job."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+    return len(paths)
 
 
 #: With this setting Spark removes a query's shuffle files when the query ends.

@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index that is split by documents.
 
 `build_index` stores segments: each holds the whole postings of some documents, that is, for every term the ascending
-positions of its occurrences. `match_phrases` and `match_near` load, from each segment, only the postings of terms that
-the test items use, start from the item's rarest term in the segment, and intersect the offset-adjusted lists of the
-others. A segment needs nothing from other segments, so neither building nor searching shuffles text.
+positions of its occurrences. `match_phrases` and `match_near` take test items as a table of windows: a window goes, by a
+join, to the segments that hold its rarest term of all documents, and there, from the postings of the terms that are asked
+for, the offset-adjusted lists are intersected from the rarest on. The index is scanned once for terms and read once more where
+windows go; nothing of it or of the windows passes through the driver, and building it shuffles no text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from wavemill.llm.common import mark, materialise, small_batches, texts, utf8
 WINDOW = 10
 #: Bytes of text in a segment, but for the document that ends it.
 SEGMENT_BYTES = 2 << 20
-#: Windows that are searched at once; further ones take further passes over the index.
-WINDOWS_A_PASS = 200_000
+#: About so many windows at most meet a segment at once; of more, a segment takes part after part.
+WINDOWS_A_PART = 200_000
 #: 0-9, a-z, A-Z (in lower case) and every byte of a non-ASCII character make words; all else parts them.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEGMENTS = "segment long, doc_ids array<long>, marks array<long>, n_words array<long>, terms binary, counts binary, positions binary"
@@ -120,47 +122,63 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return texts(items, id_col, text_col).mapInArrow(run, "item_id long, terms array<binary>").distinct()
 
 
+def _terms(index: DataFrame) -> DataFrame:
+    """(segment, h, n): hashes of the terms of every segment, and how often it holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, terms, counts in zip(*(b.column(c).to_pylist() for c in ("segment", "terms", "counts")), strict=True):
+                names = terms.split(b" ") if terms else []
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), segment)), pa.array(h), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["segment", "h", "n"])
+
+    return index.select("segment", "terms", "counts").mapInArrow(run, "segment long, h long, n long")
+
+
+def _routed(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(segment, part, asked): the windows (item_id, terms) for each segment that holds their rarest term; windows with a term that no document holds are dropped. Hashes of terms only route: the search compares the terms."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(terms: pa.Array) -> pa.Array:
+        lists = [np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64) for own in terms.to_pylist()]
+        return pa.array(lists, pa.list_(pa.int64()))
+
+    asked = materialise(asked.withColumn("hashes", hashed("terms")), "windows")
+    parts = max(1, -(-asked.count() // WINDOWS_A_PART))
+    vocabulary = asked.select(F.explode("hashes").alias("h")).distinct()
+    held = materialise(_terms(index).join(vocabulary, "h"), "held")
+    times = held.groupBy("h").agg(F.sum("n").alias("n"))
+    key = asked.select("item_id", "terms", F.xxhash64("item_id", "terms").alias("w"), F.size(F.array_distinct("hashes")).alias("distinct"), F.explode(F.array_distinct("hashes")).alias("h"))
+    rarest = key.join(times, "h").groupBy("w", "item_id", "terms", "distinct").agg(F.count("*").alias("known"), F.min(F.struct("n", "h")).alias("rarest"))
+    anchored = rarest.filter("known = distinct").select("item_id", "terms", F.pmod("w", F.lit(parts)).alias("part"), F.col("rarest.h").alias("h"))
+    met = held.select("segment", "h").join(anchored, "h")
+    return met.groupBy("segment", "part").agg(F.collect_list(F.struct("item_id", "terms")).alias("asked"))
+
+
 def _search(index: DataFrame, asked: DataFrame, slop: int | None) -> DataFrame:
     """MATCHES of the windows asked for: per document and item the bitmap of words that an occurrence covers (phrases), or that are the anchor of one (slop given)."""
-    spark = index.sparkSession
-    asked = materialise(asked, "windows")
-    passes = max(1, -(-asked.count() // WINDOWS_A_PASS))
-    found = []
-    for k in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("item_id", "terms"), F.lit(passes)) == k).collect()  # at most about WINDOWS_A_PASS
-        wanted: dict[bytes, int] = {}
-        rows = [(r.item_id, [wanted.setdefault(bytes(t), len(wanted)) for t in r.terms]) for r in part]
-        sent = spark.sparkContext.broadcast((wanted, rows))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            wanted, rows = sent.value
-            longest = max((len(t) for _, t in rows), default=1)
-            matrix = np.full((len(rows), longest), len(wanted), np.int64)
-            for i, (_, t) in enumerate(rows):
-                matrix[i, : len(t)] = t
-            for b in batches:
-                for s in b.to_pylist():
-                    postings = _Postings(s["terms"], s["counts"], s["positions"], wanted)
-                    present = np.zeros(len(wanted) + 1, bool)
-                    present[list(postings.lists)] = True
-                    present[len(wanted)] = True
-                    n = np.asarray(s["n_words"], np.int64)
-                    begin = np.cumsum(n + 1) - n - 1
-                    hits: dict[tuple[int, int], set] = defaultdict(set)
-                    for i in np.flatnonzero(present[matrix].all(axis=1)) if len(rows) else ():
-                        item, terms = rows[i]
-                        starts = postings.phrase(terms) if slop is None else postings.near(terms, slop, begin)
-                        for doc, at in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
-                            hits[doc, item].update(range(at - int(begin[doc]), at - int(begin[doc]) + (len(terms) if slop is None else 1)))
-                    out = [(s["segment"], d, item, len(h), np.asarray(sorted(h), "<u4").tobytes()) for (d, item), h in hits.items()]
-                    columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "item_id", "n_hit", "hits"])
-
-        found.append(index.select("segment", "n_words", "terms", "counts", "positions").mapInArrow(run, MATCHES))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.to_pylist():
+                wanted: dict[bytes, int] = {}
+                rows = [(w["item_id"], [wanted.setdefault(t, len(wanted)) for t in w["terms"]]) for w in s["asked"]]
+                postings = _Postings(s["terms"], s["counts"], s["positions"], wanted)
+                n = np.asarray(s["n_words"], np.int64)
+                begin = np.cumsum(n + 1) - n - 1
+                hits: dict[tuple[int, int], set] = defaultdict(set)
+                for item, terms in rows:
+                    if not all(t in postings.lists for t in terms):
+                        continue
+                    starts = postings.phrase(terms) if slop is None else postings.near(terms, slop, begin)
+                    for doc, at in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
+                        hits[doc, item].update(range(at - int(begin[doc]), at - int(begin[doc]) + (len(terms) if slop is None else 1)))
+                out = [(s["segment"], d, item, len(h), np.asarray(sorted(h), "<u4").tobytes()) for (d, item), h in hits.items()]
+                columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "item_id", "n_hit", "hits"])
+
+    found = index.select("segment", "n_words", "terms", "counts", "positions").join(_routed(index, asked), "segment").drop("part")
+    return found.mapInArrow(run, MATCHES)
 
 
 def match_phrases(index: DataFrame, asked: DataFrame) -> DataFrame:

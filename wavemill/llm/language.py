@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import crc_mod, per_worker, small_batches, texts
 
 NGRAMS = (1, 2, 3)
-#: Bounds of the fit: training texts of a language, and landmarks among all of them.
+#: Bounds of the fit: training texts of a language, and landmarks among all of them (one a language where there are more languages).
 TEXTS_A_LANGUAGE = 200
 LANDMARKS = 256
 RIDGE = 1e-3
@@ -68,9 +68,10 @@ class _Model:
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS) -> _Model:
-    """A model of (text, language) pairs; landmarks are dealt out over the languages in turn."""
+    """A model of (text, language) pairs; landmarks are dealt out over the languages in turn, and every language has one."""
     letters = _Letters()
     languages = sorted({lang for _, lang in sample})
+    landmarks = max(landmarks, len(languages))
     sets = [spectra(letters(text)) for text, _ in sample]
     label = np.asarray([languages.index(lang) for _, lang in sample])
     turn = np.zeros(len(sample), int)
