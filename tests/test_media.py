@@ -368,3 +368,42 @@ def test_osc_floats_and_extended_tags(spark):
     assert row.select(*containers.osc_values(F.col("m"), "dfs")).collect()[0].v0 is None
     none = spark.createDataFrame([(bytearray(b"TAG"),), (None,)], "c binary").select(*metadata.id3v1_extended(F.col("c"))).collect()
     assert all(v is None for r in none for v in r)
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_hamming_blocks(bits):
+    """Every single wrong bit is put right, and every pair of wrong bits in a block is reported."""
+    content = bytes(random.Random(bits).randrange(256) for _ in range(29))
+    code = fec.hamming_encode(content, bits)
+    size = len(code) * 8
+    assert fec.hamming_decode(code, bits)[0][: len(content)] == content
+    flip = lambda *at: (int.from_bytes(code, "big") ^ sum(1 << p for p in at)).to_bytes(len(code), "big")
+    for p in range(size):
+        got, fixed, broken = fec.hamming_decode(flip(p), bits)
+        assert (got[: len(content)], fixed, broken) == (content, 1, 0)
+    for p in range(0, bits):
+        for q in range(p):
+            assert fec.hamming_decode(flip(p, q), bits)[1:] == (0, 1)
+    assert fec.hamming_decode(b"", bits) == (b"", 0, 0)
+
+
+def test_hamming_files_and_common_mix(spark):
+    from wavemill.operators import mixing
+
+    own = files(spark, b"abc", b"", None)
+    got = {r.path: r for r in fec.hamming_content(fec.hamming_files(own, 16), 16).collect()}
+    assert bytes(got["0"].content)[:3] == b"abc"
+    assert got["2"].content is None
+    with pytest.raises(ValueError, match="8, 16 or 32"):
+        fec.hamming_files(own, 12)
+    a, b = (spark.createDataFrame([(1, k, 30) for k in range(n)], "stream_id long, frame_no long, x int") for n in (3, 2))
+    assert sorted(map(tuple, mixing.mix_common([(a, 2), (b, 1)]).collect())) == [(1, 0, 30), (1, 1, 30)]
+
+
+def test_id3_tags_of_files(spark):
+    from wavemill.functions import metadata
+
+    old = b"TAG" + b"Old".ljust(30, b"\0") + b"Them".ljust(30, b"\0") + b"".ljust(30, b"\0") + b"1987" + bytes(31)
+    new = b"ID3\x03\0\0\0\0\0\x0e" + b"TIT2\0\0\0\x04\0\0\0New"
+    got = {r.path: tuple(r)[1:] for r in metadata.id3_tags(files(spark, new + b"data" + old, old, new, b"none", None, b"")).collect()}
+    assert got == {"0": ("New", "Them", None, "1987"), "1": ("Old", "Them", None, "1987"), "2": ("New", None, None, None)}

@@ -161,3 +161,61 @@ def rs_content(repaired: DataFrame) -> DataFrame:
     """(path, content, lost): data of rs_repaired() one block after another, and how many blocks were lost; these are left out. The zero bytes that filled the last block stay."""
     got = repaired.groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("data").isNotNull(), F.struct("block", "data")))).alias("b"), F.count_if(F.col("data").isNull()).alias("lost"))
     return got.select("path", F.aggregate("b", F.lit(b""), lambda acc, p: F.concat(acc, p["data"])).alias("content"), "lost")
+
+
+def _places(bits: int) -> np.ndarray:
+    """Positions of a Hamming block that hold message bits: all but 0 and the powers of two."""
+    return np.array([p for p in range(3, bits) if p & (p - 1)])
+
+
+def _check_bits(bits: int) -> None:
+    if bits not in (8, 16, 32):
+        raise ValueError("a Hamming block has 8, 16 or 32 bits")
+
+
+def hamming_encode(content: bytes, bits: int) -> bytes:
+    """Blocks of `bits` bits, high byte first: message bits (high bits of a byte first) at the positions that are no powers of two; position 2^k makes the parity of all positions with that bit even, position 0 that of the whole block. The last block is filled with zero bits."""
+    places = _places(bits)
+    message = np.unpackbits(np.frombuffer(content, np.uint8))
+    n = -(-len(message) // len(places))
+    block = np.zeros((n, bits), np.uint8)
+    block[:, places] = np.pad(message, (0, n * len(places) - len(message))).reshape(n, len(places))
+    for k in range(bits.bit_length() - 1):
+        block[:, 1 << k] = block[:, np.arange(bits) >> k & 1 == 1].sum(axis=1) & 1
+    block[:, 0] = block[:, 1:].sum(axis=1) & 1
+    return np.packbits(block[:, ::-1], axis=1).tobytes()
+
+
+def hamming_decode(code: bytes, bits: int) -> tuple[bytes, int, int]:
+    """The message (whole bytes of it), the blocks in which one bit was put right, and those with two wrong bits, which stay as they are. An incomplete last block is left out."""
+    size = bits // 8
+    block = np.unpackbits(np.frombuffer(code, np.uint8)[: len(code) // size * size]).reshape(-1, bits)[:, ::-1].copy()
+    wrong = np.bitwise_xor.reduce(np.where(block == 1, np.arange(bits), 0), axis=1) if len(block) else np.zeros(0, np.int64)
+    odd = block.sum(axis=1) & 1
+    fixed = np.flatnonzero(odd == 1)
+    block[fixed, wrong[fixed]] ^= 1  # position 0 where only the block's own parity was hit
+    message = block[:, _places(bits)].ravel()
+    return np.packbits(message[: len(message) // 8 * 8]).tobytes(), len(fixed), int(((odd == 0) & (wrong != 0)).sum())
+
+
+def hamming_files(files: DataFrame, bits: int) -> DataFrame:
+    """(path, content) of files (path, content) in Hamming blocks; null stays null."""
+    _check_bits(bits)
+
+    @F.arrow_udf("binary")
+    def coded(content: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else hamming_encode(c, bits) for c in content.to_pylist()], pa.binary())
+
+    return files.select("path", coded("content").alias("content"))
+
+
+def hamming_content(files: DataFrame, bits: int) -> DataFrame:
+    """(path, content, fixed, broken) of files in Hamming blocks: the message with the zero bytes that filled it, blocks put right and blocks with two wrong bits."""
+    _check_bits(bits)
+
+    @F.arrow_udf("struct<content:binary,fixed:int,broken:int>")
+    def mended(content: pa.Array) -> pa.Array:
+        found = [(None, None, None) if c is None else hamming_decode(c, bits) for c in content.to_pylist()]
+        return pa.array([dict(zip(("content", "fixed", "broken"), f, strict=True)) for f in found], pa.struct([("content", pa.binary()), ("fixed", pa.int32()), ("broken", pa.int32())]))
+
+    return files.select("path", mended("content").alias("r")).select("path", "r.*")

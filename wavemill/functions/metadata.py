@@ -61,6 +61,18 @@ def id3v1_extended(content: Column) -> list[Column]:
     return [F.when(ok, c).alias(n) for n, c in zip(names, (*both, speed, *rest), strict=True)]
 
 
+def id3_tags(files: DataFrame) -> DataFrame:
+    """(path, title, artist, album, year) of files (path, content): each field from the tag at the start, or else from the one in the last 128 bytes; files with neither are left out."""
+    from wavemill.functions.containers import id3v2_frames
+
+    names = {"title": ("TIT2",), "artist": ("TPE1",), "album": ("TALB",), "year": ("TDRC", "TYER")}
+    first = id3v2_frames(files).groupBy("path").agg(*[F.min_by(F.when(F.col("frame").isin(*own), F.col("text")), F.when(F.col("frame").isin(*own), F.col("k"))).alias(f"new_{n}") for n, own in names.items()])
+    last = files.select("path", *id3v1(F.col("content")))
+    met = last.join(first, "path", "left")
+    fields = [F.coalesce(F.nullif(F.col(f"new_{n}"), F.lit("")), F.nullif(F.col(n), F.lit(""))).alias(n) for n in names]
+    return met.select("path", *fields).filter(" or ".join(f"{n} is not null" for n in names))
+
+
 def stream_title(metadata: Column) -> Column:
     return F.nullif(F.regexp_extract(metadata, "StreamTitle='(.*?)';", 1), F.lit(""))
 

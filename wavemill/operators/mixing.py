@@ -24,6 +24,14 @@ def mix(inputs: list[tuple[DataFrame, float]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("stream_id", "frame_no").agg(F.sum("x").alias("x"))
 
 
+def mix_common(inputs: list[tuple[DataFrame, float]]) -> DataFrame:
+    """mix() of the frames that every input has: what an output that waits for all its inputs gives, as long as the shortest."""
+    total = sum(w for _, w in inputs)
+    parts = [df.select("stream_id", "frame_no", (F.col("x") * F.lit(w / total)).cast("int").alias("x")) for df, w in inputs]
+    summed = reduce(DataFrame.unionByName, parts).groupBy("stream_id", "frame_no").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    return summed.filter(F.col("n") == len(inputs)).drop("n")
+
+
 def average(inputs: list[DataFrame]) -> DataFrame:
     """The truncated mean over the inputs that have the frame."""
     rows = reduce(DataFrame.unionByName, [df.select("stream_id", "frame_no", "x") for df in inputs])

@@ -115,6 +115,13 @@ def smooth_start(x: Column, frame_no: Column, step: float = 0.01) -> Column:
     return truncate(F.when(factor < 0.8, x * factor).otherwise(x.cast("double")))
 
 
+def map_range(x: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
+    """x of the range low..high at the same place of the range to_low..to_high; what lies outside stays outside."""
+    if low == high:
+        raise ValueError("the range has no length")
+    return (x - F.lit(float(low))) * F.lit(float(to_high - to_low)) / F.lit(float(high - low)) + F.lit(float(to_low))
+
+
 def decibel(ratio: Column) -> Column:
     """-1000 for silence."""
     return F.when(ratio > 0, 20 * F.log10(ratio)).otherwise(-1000.0)

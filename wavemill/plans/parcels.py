@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.functions import codecs, containers, metadata, segments
+from wavemill.functions import codecs, containers, fec, metadata, segments
 from wavemill.plans.media import made
 from wavemill.sources import signals
 
@@ -108,3 +108,20 @@ def register(add: Callable) -> None:
     short = lambda: F.concat(_ascii("TAG"), F.rpad(F.substring(url(), 1, 30), 30, b"\x00"), text(_ascii("Somebody "), 30), F.unhex(F.lit("00" * 65)))
     add("id3v1_extended", lambda s, d: pages(s, d).select("page_id", *metadata.id3v1_extended(F.concat(url(), F.when(pid % 3 > 0, longer()).otherwise(F.unhex(F.lit("00" * 227))), short()))), """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url[1:90] END AS title, CASE WHEN page_id % 3 > 0 THEN 'Somebody and more' END AS artist, CASE WHEN page_id % 3 > 0 THEN '' END AS album,
  CASE WHEN page_id % 3 > 0 THEN page_id % 5 END::INTEGER AS speed, CASE WHEN page_id % 3 > 0 THEN 'Field recording' END AS genre, CASE WHEN page_id % 3 > 0 THEN '00:01' END AS start, CASE WHEN page_id % 3 > 0 THEN '10:00' END AS end FROM pages""")
+
+    # both tags: the one at the start has the title for odd pages only, the one at the end belongs to every page but each third
+    frame = lambda name, c: F.concat(_ascii(name), F.unhex(codecs.pcm_hex(F.length(c) + 1, 4, True)), _hex("000003"), c)
+    front = lambda: F.when(pid % 2 == 1, frame("TIT2", _ascii("front"))).otherwise(frame("TYER", _ascii("1999")))
+    tagged = lambda s, d: files(s, d, F.concat(F.when(pid % 5 > 0, F.concat(_ascii("ID3"), _hex("0300000000", "00"), _int(F.length(front()), 1), front())).otherwise(none), url(), F.when(pid % 3 > 0, short()).otherwise(none)))
+    add("id3_tags", lambda s, d: metadata.id3_tags(tagged(s, d)), """SELECT * FROM (SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 5 > 0 AND page_id % 2 = 1 THEN 'front' WHEN page_id % 3 > 0 THEN url[1:30] END AS title,
+ CASE WHEN page_id % 3 > 0 THEN 'Somebody' END AS artist, NULL::VARCHAR AS album, CASE WHEN page_id % 5 > 0 AND page_id % 2 = 0 THEN '1999' END AS year FROM pages) WHERE title IS NOT NULL OR artist IS NOT NULL OR year IS NOT NULL""")
+
+    # Hamming blocks of 16 bits: a bit of block page_id % 5 flips, for every third page a second one
+    def noisy(s, d: str) -> DataFrame:
+        code = fec.hamming_files(files(s, d, url()), 16).select("path", F.hex("content").alias("h"), F.col("path").cast("long").alias("p"))
+        at = (F.col("p") % 5 * 4 + 1).cast("int")
+        word = F.conv(F.substr("h", at, F.lit(4)), 16, 10).cast("int")
+        flips = F.call_function("shiftleft", F.lit(1), (F.col("p") % 16).cast("int")).bitwiseXOR(F.when(F.col("p") % 3 == 0, F.call_function("shiftleft", F.lit(1), ((F.col("p") + 7) % 16).cast("int"))).otherwise(0))
+        return code.select("path", F.unhex(F.overlay("h", F.lpad(F.hex(word.bitwiseXOR(flips)), 4, "0"), at)).alias("content"))
+
+    add("hamming_content", lambda s, d: fec.hamming_content(noisy(s, d), 16).select("path", "fixed", "broken", F.when(F.col("broken") == 0, F.decode("content", "utf-8")).alias("text")).withColumn("text", F.replace("text", F.lit("\x00"), F.lit(""))), "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END::INTEGER AS fixed, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS broken, CASE WHEN page_id % 3 > 0 THEN url END AS text FROM pages")

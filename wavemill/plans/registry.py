@@ -140,6 +140,9 @@ _user("mix_whole", lambda r: mixing.mix([(r, 100), (_less(r), 50)]), f"{_LESS} S
 _user("generator_average_whole", lambda r: mixing.average([r, _less(r)]), f"{_LESS} SELECT stream_id, frame_no, CASE WHEN h.x IS NULL THEN eu.x ELSE trunc((eu.x + h.x) / 2)::INTEGER END AS x FROM eu LEFT JOIN h USING (stream_id, frame_no)")
 _user("concatenate_whole", lambda r: mixing.concatenate([_less(r), r]), f"{_LESS} SELECT stream_id, frame_no, x FROM h UNION ALL SELECT stream_id, frame_no + coalesce(n, 0), x FROM eu LEFT JOIN (SELECT stream_id, count(*) AS n FROM h GROUP BY 1) USING (stream_id)")
 
+_user("mix_common", lambda r: mixing.mix_common([(r, 100), (_less(r), 50)]), f"{_LESS} SELECT stream_id, frame_no, trunc(eu.x * ({100 / 150!r}::DOUBLE))::BIGINT + trunc(h.x * ({50 / 150!r}::DOUBLE))::BIGINT AS x FROM eu JOIN h USING (stream_id, frame_no)")
+_flat("map_range", lambda x, k: F.round(scalar.map_range(x, 0, 32767, -1, 1), 9), "round(x * 2.0::DOUBLE / 32767 - 1, 9)")
+
 recursions.register(add, EU, signals.events_by_user)
 spectra.register(add, _flat, _user, EU, EF, LO)
 codecs.register(add, _flat, EF, LO)
