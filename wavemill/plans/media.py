@@ -51,7 +51,7 @@ def register(add: Callable, lo: str) -> None:
     pages = lambda s, d: signals.table(s, d, "pages")
     files = lambda s, d, c: pages(s, d).select(F.col("page_id").cast("string").alias("path"), c.alias("content"))
     url = lambda: F.encode("url", "utf-8")
-    pid = F.col("page_id")
+    pid = lambda: F.col("page_id")
 
     # WAV files of an order's first two channels: a chunk of odd size before `data`, behind it, both or none; 16, 8 and 24 bits, mu-law, and sizes that say nothing
     def wav_files(s, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def register(add: Callable, lo: str) -> None:
     # IMA ADPCM in WAV: two channels whose codes are the bytes of a page's URL, one block a file
     def ima_files(s, d: str) -> DataFrame:
         words = F.greatest(F.ceil(F.length(url()) / 8).cast("int"), F.lit(1))
-        body = F.concat(_int(pid % 3000, 2), _hex("0500"), _int(-(pid % 77), 2), _hex("0C00"), F.rpad(url(), words * 8, b"\x10"))
+        body = F.concat(_int(pid() % 3000, 2), _hex("0500"), _int(-(pid() % 77), 2), _hex("0C00"), F.rpad(url(), words * 8, b"\x10"))
         fmt = F.concat(_int(0x11, 2), _int(2, 2), _int(8000, 4), _int(8000, 4), _int(F.length(body), 2), _int(4, 2), _int(2, 2), _int(words * 8 + 1, 2))
         whole = F.concat(_ascii("WAVE"), _chunk("fmt ", fmt), _chunk("fact", _int(words * 8 - 1, 4)), _chunk("data", body))
         return files(s, d, F.concat(_ascii("RIFF"), _int(F.length(whole), 4), whole))
@@ -93,8 +93,8 @@ def register(add: Callable, lo: str) -> None:
 
     # an M4A file a page, media first: 5 to 8 samples of 1 to 5 bytes; two chunks of two samples, then chunks of one, with three bytes between chunks
     def m4a_files(s, d: str) -> DataFrame:
-        n = (pid % 4 + 5).cast("int")
-        sizes = F.transform(F.sequence(F.lit(0), n - 1), lambda k: ((k * 7 + pid) % 5 + 1).cast("long"))
+        n = (pid() % 4 + 5).cast("int")
+        sizes = F.transform(F.sequence(F.lit(0), n - 1), lambda k: ((k * 7 + pid()) % 5 + 1).cast("long"))
         upto = lambda k: F.aggregate(F.slice(sizes, F.lit(1), k.cast("int")), F.lit(0).cast("long"), lambda a, v: a + v)
         first = lambda c: F.when(c < 2, c * 2).otherwise(c + 2)
         offsets = F.transform(F.sequence(F.lit(0), n - 3), lambda c: 20 + upto(first(c)) + 3 * c)
@@ -102,14 +102,14 @@ def register(add: Callable, lo: str) -> None:
         esds = _box("esds", _hex("00000000", "0319", "000100", "0411", "40", "15000000" + "00" * 8, "0502", "1290", "060102"))
         stsd = _box("stsd", _hex("00000000", "00000001"), _box("mp4a", _zeros(28), esds))
         tables = [stsd, _box("stts", _hex("00000000", "00000002", "00000003", "00000400"), _int(n - 3, 4, True), _hex("00000200")), _box("stsc", _hex("00000000", "00000002", "00000001", "00000002", "00000001", "00000003", "00000001", "00000001")), _box("stsz", _hex("00000000", "00000000"), _int(n, 4, True), _ints(sizes))]
-        stco = F.when(pid % 2 == 0, _box("stco", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets))).otherwise(_box("co64", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets, 8)))
+        stco = F.when(pid() % 2 == 0, _box("stco", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets))).otherwise(_box("co64", _hex("00000000"), _int(n - 2, 4, True), _ints(offsets, 8)))
         # in steps, each a column: a box holds its content twice
         own = pages(s, d).select("page_id", media.alias("media"), F.concat(*tables, stco).alias("in"))
         for name in ("stbl", "minf", "mdia", "trak"):
             own = own.withColumn("in", _box(name, F.col("in")))
         other = _box("trak", _box("mdia", _box("hdlr", _zeros(4))))
         whole = F.concat(_box("ftyp", _ascii("M4A ")), _box("mdat", F.col("media")), _box("moov", other, F.col("in")))
-        return made(own.select(pid.cast("string").alias("path"), whole.alias("content")))
+        return made(own.select(pid().cast("string").alias("path"), whole.alias("content")))
 
     _M4A = """p AS (SELECT page_id, 5 + page_id % 4 AS n, rpad('mediabytes' || url, 64, '.') AS media FROM pages),
  z AS (SELECT page_id, n, media, k, (k * 7 + page_id) % 5 + 1 AS size, CASE WHEN k < 4 THEN k // 2 ELSE k - 2 END AS chunk FROM p, unnest(range(0, n)) t(k)),
@@ -126,14 +126,14 @@ def register(add: Callable, lo: str) -> None:
         return F.concat(_int(0x47, 1), _int(number(starts) * 0x4000 + number(packet_id), 2, True), _int(number(counter) + 0x30, 1), field, payload)
 
     def ts_files(s, d: str) -> DataFrame:
-        map_pid, audio = pid % 100 + 4000, pid % 50 + 300
+        map_pid, audio = pid() % 100 + 4000, pid() % 50 + 300
         pat = F.concat(_hex("00", "00B011", "0001C10000", "0000E010", "0001"), _int(map_pid + 0xE000, 2, True), _hex("FFFFFFFF"))
         pmt = F.concat(_hex("00", "02B019", "0001C10000", "E100", "F002", "0504", "0F"), _int(audio + 0xE000, 2, True), _hex("F000", "1BE101", "F000", "FFFFFFFF"))
         stamp = lambda v, mark: _int(F.shiftleft(F.lit(mark).cast("long"), 36).bitwiseOR(F.shiftleft(F.shiftright(v, 30), 33)).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 17)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 1)).bitwiseOR(F.lit(0x100010001)), 5, True)
-        pts = (pid * 1_000_003) % 2**33
+        pts = (pid() * 1_000_003) % 2**33
         one = F.concat(_hex("000001C0"), _int(8 + F.length(url()), 2, True), _hex("808005"), stamp(pts, 2), url(), _ascii("!!"))
         head = F.concat(_hex("000001E0", "0000", "80C00A"), stamp(pts, 3), stamp(F.greatest(pts - 3000, F.lit(0)), 1), url())
-        lost = F.when(pid % 3 == 0, _zeros(0)).otherwise(packet(257, 0, 8, F.concat(_ascii("more"), url())))
+        lost = F.when(pid() % 3 == 0, _zeros(0)).otherwise(packet(257, 0, 8, F.concat(_ascii("more"), url())))
         three = F.concat(_hex("000001C0", "0000", "800000"), _ascii("end"))
         parts = [packet(0, 1, 0, pat), packet(map_pid, 1, 0, pmt), packet(audio, 0, 4, _ascii("stray")), packet(audio, 1, 5, one), packet(audio, 1, 5, one), packet(257, 1, 7, head), lost, packet(257, 0, 9, _ascii("tail")), packet(audio, 1, 6, three), packet(999, 1, 0, three)]
         return made(files(s, d, F.concat(*parts)))
@@ -146,7 +146,7 @@ def register(add: Callable, lo: str) -> None:
 
     # a program stream a page: packs of either version, an MPEG-1 and an MPEG-2 audio packet, a padding packet, a private one that is cut off
     def ps_files(s, d: str) -> DataFrame:
-        clock = pid * 7919
+        clock = pid() * 7919
         first = F.concat(_hex("000001BA"), _int(F.lit(0x2100010001).cast("long").bitwiseOR(F.shiftleft(F.shiftright(clock, 15), 17)).bitwiseOR(F.shiftleft(clock.bitwiseAND(0x7FFF), 1)), 5, True), _hex("800001"))
         v = clock
         second_bits = F.shiftleft(F.lit(1).cast("long"), 46).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 27)).bitwiseOR(F.lit(1 << 42)).bitwiseOR(F.lit(1 << 26)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 11)).bitwiseOR(F.lit(1 << 10))
@@ -154,7 +154,7 @@ def register(add: Callable, lo: str) -> None:
         old = F.concat(_hex("000001C1"), _int(F.length(url()) + 9, 2, True), _hex("FFFF", "4020"), _hex("2100010001"), url())
         new = F.concat(_hex("000001C0"), _int(F.length(url()) + 8, 2, True), _hex("808005", "2100010003"), url())
         padding = _hex("000001BE", "0004", "000001C0")
-        return files(s, d, F.concat(_ascii("junk"), first, old, padding, F.when(pid % 2 == 0, second).otherwise(_zeros(0)), new, _hex("000001BD", "0100", "800000"), _ascii("cut")))
+        return files(s, d, F.concat(_ascii("junk"), first, old, padding, F.when(pid() % 2 == 0, second).otherwise(_zeros(0)), new, _hex("000001BD", "0100", "800000"), _ascii("cut")))
 
     add("program_packets", lambda s, d: transport.program_packets(ps_files(s, d)).withColumn("payload", F.decode("payload", "utf-8")), """SELECT page_id::VARCHAR AS path, k::INTEGER AS k, (CASE k WHEN 0 THEN 16 ELSE 41 + strlen(url) + CASE WHEN page_id % 2 = 0 THEN 14 ELSE 0 END + CASE WHEN k = 2 THEN 14 + strlen(url) ELSE 0 END END)::BIGINT AS "at",
  [193, 192, 189][k + 1]::INTEGER AS stream_id, page_id * 7919 AS clock, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 END::BIGINT AS pts, NULL::BIGINT AS dts, CASE k WHEN 2 THEN 'cut' ELSE url END AS payload FROM pages, range(0, 3) t(k)""")
