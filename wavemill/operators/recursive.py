@@ -14,13 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Makes the state of one stream: a function from a sample to an output.
+#: Makes the state of one stream: a function from a sample to an output. A linear filter's has `sections` (numerator, denominator), for linear().
 Maker = Callable[[], Callable[[float], float]]
+#: Types of stream_id that linear() takes.
+STREAM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def fold(rows: DataFrame, make: Maker, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
-    """keys, frame_no, x and y = the state's output for x, in the order of frame_no. A state belongs to one value of the keys."""
-    keys = list(keys)
+    """keys, frame_no, x and y = the state's output for x, in the order of frame_no. A state belongs to one value of the keys.
+
+    Makers of linear filters say what sections they are; streams go through linear() then, a long one as many tasks.
+    """
+    keys, kind = list(keys), dict(rows.dtypes)
+    sections = getattr(make, "sections", None)
+    if sections and keys == ["stream_id"] and kind["stream_id"] in STREAM_TYPES:
+        return linear(rows, sections).select("stream_id", F.col("frame_no").cast(kind["frame_no"]).alias("frame_no"), F.col("x").cast(kind["x"]).alias("x"), "y")
     ordered = rows.select(*keys, "frame_no", "x").repartition(*keys).sortWithinPartitions(*keys, "frame_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +41,6 @@ def fold(rows: DataFrame, make: Maker, keys: Sequence[str] = ("stream_id",)) ->
                 out.append(float(step(x)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "y"])
 
-    kind = dict(rows.dtypes)
     return ordered.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in (*keys, "frame_no", "x")) + ", y double")
 
 
@@ -91,6 +98,8 @@ def iir(b: Sequence[float], a: Sequence[float]) -> Maker:
 
         return step
 
+    if max(len(b), len(a)) <= 3:
+        make.sections = [tuple(p + [0.0] * (3 - len(p)) for p in (b, a))]
     return make
 
 
@@ -109,6 +118,7 @@ def biquad_df2(b: Sequence[float], a: Sequence[float], gain: float = 1.0) -> Mak
 
         return step
 
+    make.sections = [([gain * v for v in b], list(a))]
     return make
 
 
@@ -125,6 +135,8 @@ def chain(*makers: Maker) -> Maker:
 
         return step
 
+    if makers and all(getattr(m, "sections", None) for m in makers):
+        make.sections = [own for m in makers for own in m.sections]
     return make
 
 
@@ -412,7 +424,7 @@ def linear(rows: DataFrame, sections: Sequence[tuple[Sequence[float], Sequence[f
             columns = [pa.array([stream] * len(x), pa_kind), pa.array(frames, pa.int64()), pa.array(x), pa.array(walk.run(x, state)[0])]
             yield pa.RecordBatch.from_arrays(columns, ["stream_id", "frame_no", "x", "y"])
 
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    pa_kind = STREAM_TYPES[kind]
     order = ["stream_id", "block", "frame_no"]
     dealt = own.repartition("stream_id", "block").sortWithinPartitions(*order)
     last = dealt.mapInArrow(ends, f"stream_id {kind}, block long, n long, state array<double>")
