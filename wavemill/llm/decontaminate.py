@@ -1,10 +1,10 @@
 """Benchmark decontamination with a positional inverted index that is split by documents.
 
 `build_index` stores segments: each holds the whole postings of some documents, that is, for every term the ascending
-positions of its occurrences. `match_phrases` and `match_near` take test items as a table of windows: a window goes, by a
-join, to the segments that hold its rarest term of all documents, and there, from the postings of the terms that are asked
-for, the offset-adjusted lists are intersected from the rarest on. The index is scanned once for terms and read once more where
-windows go; nothing of it or of the windows passes through the driver, and building it shuffles no text.
+positions of its occurrences. `match_phrases` and `match_near` take test items as a table of windows: where there are few,
+every segment meets all; else a window goes, by a join, to the segments that hold its rarest term of all documents. There,
+from the postings of the terms that are asked for, the offset-adjusted lists are intersected from the rarest on. Nothing of the
+index passes through the driver, no more than a bounded number of windows do, and building it shuffles no text.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from wavemill.llm.common import mark, materialise, small_batches, texts, utf8
 WINDOW = 10
 #: Bytes of text in a segment, but for the document that ends it.
 SEGMENT_BYTES = 2 << 20
-#: About so many windows at most meet a segment at once; of more, a segment takes part after part.
-WINDOWS_A_PART = 200_000
+#: About so many windows at most meet a segment at once; of more, a segment takes part after part. As many, of so many bytes, are sent to all tasks.
+WINDOWS_A_PART, WINDOWS_BYTES = 200_000, 32 << 20
 #: 0-9, a-z, A-Z (in lower case) and every byte of a non-ASCII character make words; all else parts them.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SEGMENTS = "segment long, doc_ids array<long>, marks array<long>, n_words array<long>, terms binary, counts binary, positions binary"
@@ -143,7 +143,7 @@ def _routed(index: DataFrame, asked: DataFrame) -> DataFrame:
         lists = [np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64) for own in terms.to_pylist()]
         return pa.array(lists, pa.list_(pa.int64()))
 
-    asked = materialise(asked.withColumn("hashes", hashed("terms")), "windows")
+    asked = materialise(asked.withColumn("hashes", hashed("terms")), "hashed")
     parts = max(1, -(-asked.count() // WINDOWS_A_PART))
     vocabulary = asked.select(F.explode("hashes").alias("h")).distinct()
     held = materialise(_terms(index).join(vocabulary, "h"), "held")
@@ -155,30 +155,55 @@ def _routed(index: DataFrame, asked: DataFrame) -> DataFrame:
     return met.groupBy("segment", "part").agg(F.collect_list(F.struct("item_id", "terms")).alias("asked"))
 
 
-def _search(index: DataFrame, asked: DataFrame, slop: int | None) -> DataFrame:
-    """MATCHES of the windows asked for: per document and item the bitmap of words that an occurrence covers (phrases), or that are the anchor of one (slop given)."""
+def _found(s: dict, postings: _Postings, rows: list[tuple[int, list[int]]], slop: int | None) -> pa.RecordBatch:
+    """MATCHES of a segment for windows (item_id, terms) whose terms it has."""
+    n = np.asarray(s["n_words"], np.int64)
+    begin = np.cumsum(n + 1) - n - 1
+    hits: dict[tuple[int, int], set] = defaultdict(set)
+    for item, terms in rows:
+        starts = postings.phrase(terms) if slop is None else postings.near(terms, slop, begin)
+        for doc, at in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
+            hits[doc, item].update(range(at - int(begin[doc]), at - int(begin[doc]) + (len(terms) if slop is None else 1)))
+    out = [(s["segment"], d, item, len(h), np.asarray(sorted(h), "<u4").tobytes()) for (d, item), h in hits.items()]
+    columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["segment", "place", "item_id", "n_hit", "hits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _search(index: DataFrame, asked: DataFrame, slop: int | None) -> DataFrame:
+    """MATCHES of the windows asked for: per document and item the bitmap of words that an occurrence covers (phrases), or that are the
+    anchor of one (slop given). Windows of a counted, small number and size are sent to all tasks; more go by _routed(). Results are the same."""
+    asked = materialise(asked, "windows")
+    size = F.aggregate("terms", F.lit(0).cast("long"), lambda acc, t: acc + F.length(t))
+    count, total = asked.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = index.select("segment", "n_words", "terms", "counts", "positions")
+    if count <= WINDOWS_A_PART and total <= WINDOWS_BYTES:
+        wanted: dict[bytes, int] = {}
+        rows = [(r.item_id, [wanted.setdefault(bytes(t), len(wanted)) for t in r.terms]) for r in asked.collect()]
+        sent = index.sparkSession.sparkContext.broadcast((wanted, rows))
+
+        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, rows = sent.value
+            matrix = np.full((len(rows), max((len(t) for _, t in rows), default=1)), len(wanted), np.int64)
+            for i, (_, t) in enumerate(rows):
+                matrix[i, : len(t)] = t
+            for b in batches:
+                for s in b.to_pylist():
+                    postings = _Postings(s["terms"], s["counts"], s["positions"], wanted)
+                    present = np.zeros(len(wanted) + 1, bool)
+                    present[[*postings.lists, len(wanted)]] = True
+                    yield _found(s, postings, [rows[i] for i in np.flatnonzero(present[matrix].all(axis=1))], slop)
+
+        return parts.mapInArrow(few, MATCHES)
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in b.to_pylist():
                 wanted: dict[bytes, int] = {}
                 rows = [(w["item_id"], [wanted.setdefault(t, len(wanted)) for t in w["terms"]]) for w in s["asked"]]
                 postings = _Postings(s["terms"], s["counts"], s["positions"], wanted)
-                n = np.asarray(s["n_words"], np.int64)
-                begin = np.cumsum(n + 1) - n - 1
-                hits: dict[tuple[int, int], set] = defaultdict(set)
-                for item, terms in rows:
-                    if not all(t in postings.lists for t in terms):
-                        continue
-                    starts = postings.phrase(terms) if slop is None else postings.near(terms, slop, begin)
-                    for doc, at in zip((np.searchsorted(begin, starts, "right") - 1).tolist(), starts.tolist(), strict=True):
-                        hits[doc, item].update(range(at - int(begin[doc]), at - int(begin[doc]) + (len(terms) if slop is None else 1)))
-                out = [(s["segment"], d, item, len(h), np.asarray(sorted(h), "<u4").tobytes()) for (d, item), h in hits.items()]
-                columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "item_id", "n_hit", "hits"])
-
-    found = index.select("segment", "n_words", "terms", "counts", "positions").join(_routed(index, asked), "segment").drop("part")
-    return found.mapInArrow(run, MATCHES)
+                yield _found(s, postings, [r for r in rows if all(t in postings.lists for t in r[1])], slop)
+
+    return parts.join(_routed(index, asked), "segment").drop("part").mapInArrow(many, MATCHES)
 
 
 def match_phrases(index: DataFrame, asked: DataFrame) -> DataFrame:
