@@ -137,3 +137,14 @@ def test_joins_of_streams_read_whole_streams(spark, tmp_path):
     assert rows["mix"] == [part(v, 100) + (part(less[k], 50) if k < 30 else 0) for k, v in enumerate(x)]
     assert rows["generator_average"] == [int((v + less[k]) / 2) if k < 30 else v for k, v in enumerate(x)]
     assert rows["concatenate"] == less + x
+
+
+def test_mix_depends_on_both_streams_and_adds_what_only_one_has(spark, tmp_path):
+    from wavemill.plans import registry
+
+    x = [(k * 37) % 101 * 9 for k in range(90)]
+    spark.createDataFrame([(k, 7, k, v / 100) for k, v in enumerate(x)], "event_id long, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    rows = [tuple(r) for r in registry.queries()["mix"](spark, str(tmp_path)).orderBy("frame_no").collect()]
+    part = lambda v, w: int(v * (w / 150))
+    assert rows == [(7, k, (part(x[k], 100) if k < 90 else 0) + (part(-x[k - 20], 50) if k >= 20 else 0)) for k in range(110)]
+    assert len({r[-1] for r in rows}) > 50

@@ -129,7 +129,8 @@ for _name, _sql in _INTER.items():
     _user(f"resample_{_name}", lambda r, n=_name: history.resample(r, 0.75, n).withColumn("y", F.round("y", 4)), f", n AS (SELECT stream_id, frame_no, coalesce(lag(x) {_OVER}), x) AS x0, x AS x1, lead(x) {_OVER}) AS x2, coalesce(lead(x, 2) {_OVER}), lead(x) {_OVER})) AS x3 FROM eu), g AS (SELECT n.*, k, k * 0.75::DOUBLE - frame_no AS t FROM n JOIN range(0, 4000) r(k) ON floor(k * 0.75::DOUBLE) = frame_no WHERE x2 IS NOT NULL) SELECT stream_id, k AS frame_no, round(({_sql})::DOUBLE, 4) AS y FROM g")
 _other = lambda r: r.withColumn("x", 3000 - 2 * F.col("x"))
 _user("merge", lambda r: mixing.merge([(r, 1.0), (_other(r), 0.5)]), " SELECT stream_id, frame_no, [x, trunc((3000 - 2 * x) * 0.5::DOUBLE)::INTEGER] AS samples FROM eu")
-_user("mix", lambda r: mixing.mix([(r, 100), (_other(r), 50)]), f" SELECT stream_id, frame_no, trunc(x * ({100 / 150!r}::DOUBLE))::BIGINT + trunc((3000 - 2 * x) * ({50 / 150!r}::DOUBLE))::BIGINT AS x FROM eu")
+_late = lambda r: r.select("stream_id", (F.col("frame_no") + 20).alias("frame_no"), (-F.col("x")).alias("x"))
+_user("mix", lambda r: mixing.mix([(r, 100), (_late(r), 50)]), f" SELECT stream_id, frame_no, sum(y)::BIGINT AS x FROM (SELECT stream_id, frame_no, trunc(x * ({100 / 150!r}::DOUBLE))::BIGINT AS y FROM eu UNION ALL SELECT stream_id, frame_no + 20, trunc(-x * ({50 / 150!r}::DOUBLE))::BIGINT FROM eu) GROUP BY 1, 2")
 _user("generator_average", lambda r: mixing.average([r, _other(r)]), " SELECT stream_id, frame_no, trunc((3000 - x) / 2.0::DOUBLE)::INTEGER AS x FROM eu")
 _user("concatenate", lambda r: mixing.concatenate([_other(r), r]), " SELECT stream_id, frame_no, 3000 - 2 * x AS x FROM eu UNION ALL SELECT stream_id, frame_no + count(*) OVER (PARTITION BY stream_id), x FROM eu")
 
