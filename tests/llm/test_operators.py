@@ -275,6 +275,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [line, line], [None, 1])).filter("n_removed > 0").count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_line_dedup_sorts_plain_numbers_and_keeps_lone_and_repeated_sets(spark, monkeypatch, bits):
+    """Packed tokens are known not to be null, so Spark sorts them unboxed; sets whose slot a repeated set holds too are right as well."""
+    packed = spark.range(1).select(F.transform(F.array("id"), line_dedup._by_rarity([1] * line_dedup.BUCKETS)).alias("t"))
+    assert not packed.schema["t"].dataType.containsNull
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+    twice = " ".join(f"a{k}" for k in range(12))
+    texts = ["\n".join([f"lone{d} x{d} y{d}", twice, "", f"only {d}"]) for d in range(90)]
+    found = line_dedup.dedup_lines(table(spark, [*texts, twice + " b", None])).collect()
+    assert {r.doc_id: r.removed for r in found} == {0: [], **{d: [1] for d in range(1, 90)}, 90: [0], 91: []}
+    assert spark.conf.get("spark.sql.parquet.writeLegacyFormat") == "false"
+
+
 @pytest.mark.parametrize("hot", [1000, 3, 1])
 def test_line_dedup_on_random_lines(spark, monkeypatch, hot):
     """Lines of a small vocabulary with edits, against a comparison of every pair of lines; also where frequent tokens are posted in threes."""
