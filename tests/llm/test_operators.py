@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from wavemill.llm import decontaminate, language, line_dedup, lm_score, mix, near_dup, token_count, token_file, topk, toxicity  # noqa: E402
+from wavemill.llm import common, decontaminate, language, line_dedup, lm_score, mix, near_dup, token_count, token_file, topk, toxicity  # noqa: E402
 from wavemill.llm.components import connected_components  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, size int, node long, rank int"
@@ -312,6 +312,30 @@ def test_line_dedup_on_random_lines(spark, monkeypatch, hot):
     assert {r.doc_id: r.n_lines for r in found} == {d: t.count("\n") + 1 for d, t in enumerate(texts)}
 
 
+def test_line_dedup_meets_short_prefixes_and_writes_one_shuffle_file(spark):
+    """Sets of one size meet once under a token, larger ones meet smaller ones' short prefixes only; tasks don't write a file for each of 200 partitions."""
+    posts = lambda rows: spark.createDataFrame([(1, d, 2 * k + 1, (n << 32) + n - pos, 0, 0) for d, k, n, pos in rows], "token long, doc_id long, line long, sizes long, even long, odd long")
+    short, longer = posts([(1, 0, 20, 0), (2, 0, 20, 1), (3, 0, 22, 0), (4, 0, 40, 0)]), posts([(0, 0, 22, 4), (5, 7, 20, 3), (6, 0, 18, 3)])
+    pairs = lambda df: sorted((r.a.doc_id, r.b.doc_id) for r in df.collect())
+    assert pairs(line_dedup._meet(short, short, 80, True)) == [(1, 2), (1, 3), (2, 3)]
+    # 17 of 20 tokens are left, and 17 are fewer than the 17.8 that two sets of 20 need to share
+    assert pairs(line_dedup._meet(short, longer, 80, False)) == []
+    assert pairs(line_dedup._meet(short, posts([(0, 0, 22, 2), (5, 7, 20, 2)]), 80, False)) == [(0, 1), (0, 2), (0, 3), (1, 5), (2, 5)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for given, want in (("200", 201), ("100", 201), ("99", 99), ("300", 300), (before, int(before))):
+        spark.conf.set("spark.sql.shuffle.partitions", given)
+        assert common.one_file_partitions(spark) == want
+    wide = spark.range(2000).selectExpr("id % 500 as k").groupBy("k").count()
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(line_dedup.materialise(wide.select("k", F.spark_partition_id().alias("p")), "wide").filter("p = 200").collect()) > 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_line_dedup_of_frequent_words(spark, monkeypatch):
     """Thousands of lines of frequent words only: what meets is a small part of all pairs that share a posted token."""
     rng = np.random.default_rng(12)
