@@ -17,7 +17,8 @@ def csv_line(s: Column, delimiter: str = ",") -> Column:
 
 
 def base64_text(x: Column) -> Column:
-    return F.base64(F.encode(x, "utf-8"))
+    """Base64 of a text in one line: base64() may put a line break after every 76 characters."""
+    return F.translate(F.base64(F.encode(x, "utf-8")), "\r\n", "")
 
 
 def mu_law(x: Column) -> Column:
