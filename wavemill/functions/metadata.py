@@ -114,9 +114,9 @@ def crc16(content: Column) -> Column:
     return F.aggregate(_octets(content), F.lit(0xFFFF), octet)
 
 
-def hdlc_frame(content: Column) -> Column:
-    """Content and its CRC (high byte first) between flags, as hex; flag and escape bytes inside are escaped."""
-    raw = F.concat(F.hex(content), F.lpad(F.hex(crc16(content)), 4, "0"))
+def hdlc_frame(content: Column, sent: Column | None = None) -> Column:
+    """Content and its CRC (high byte first) between flags, as hex; flag and escape bytes inside are escaped. sent: what stands there instead of the content under its CRC."""
+    raw = F.concat(F.hex(content if sent is None else sent), F.lpad(F.hex(crc16(content)), 4, "0"))
     octets = F.regexp_replace(raw, "(..)", "$1 ")
     body = F.replace(F.replace(F.replace(octets, F.lit("7D "), F.lit("7D5D ")), F.lit("7E "), F.lit("7D5E ")), F.lit(" "), F.lit(""))
     return F.concat(F.lit("7E"), body, F.lit("7E"))

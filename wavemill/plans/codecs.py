@@ -91,7 +91,7 @@ def register(add: Callable, flat: Callable, ef: str, lo: str) -> None:
     add("hdlc_content", lambda s, d: pages(s, d).select("page_id", F.decode(codecs.hdlc_content(metadata.hdlc_frame(F.concat(_bytes("7E7D7D5E"), url()))), "utf-8").alias("y"), codecs.hdlc_content(F.lit("7E00")).alias("none")), "SELECT page_id, '~}}^' || url AS y, NULL::BLOB AS none FROM pages")
     # a stream a page: noise, a frame, one whose last content byte was changed on the way, flags in a row, a frame of an odd page only
     link = lambda c: F.unhex(metadata.hdlc_frame(c))
-    broken = lambda: F.concat(F.substr(link(url()), F.lit(1), F.length(link(url())) - 4), _bytes("00"), F.substr(link(url()), F.length(link(url())) - 2))
+    broken = lambda: F.unhex(metadata.hdlc_frame(url(), F.concat(F.substr(url(), F.lit(1), F.length(url()) - 1), _bytes("00"))))
     add("hdlc_frames", lambda s, d: codecs.hdlc_frames(files(s, d, _bytes("00112233", link(F.concat(url(), _bytes("7D7E"))), broken(), "7E7E", F.when(F.col("page_id") % 2 == 1, link(_ascii("odd"))).otherwise(F.unhex(F.lit(""))), "7E41"))).withColumn("content", F.decode("content", "utf-8")), "SELECT page_id::VARCHAR AS path, k::INTEGER AS k, CASE k WHEN 0 THEN url || '}~' ELSE 'odd' END AS content FROM pages, range(0, 2) t(k) WHERE k = 0 OR page_id % 2 = 1")
     add("id3v1_tag", lambda s, d: pages(s, d).select("page_id", *metadata.id3v1(F.concat(url(), tag(0)))), "SELECT page_id, url[1:30] AS title, '' AS artist, '' AS album, '' AS year FROM pages")
     frame = lambda name, c: F.concat(_ascii(name), _int(F.length(c) + 1, 4, True), F.unhex(F.lit("000003")), c)
