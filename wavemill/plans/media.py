@@ -125,11 +125,12 @@ def register(add: Callable, lo: str) -> None:
         field = F.concat(_int(stuffing, 1), F.when(stuffing > 0, F.concat(_hex("00"), F.unhex(F.repeat(F.lit("FF"), (stuffing - 1).cast("int"))))).otherwise(_zeros(0)))
         return F.concat(_int(0x47, 1), _int(number(starts) * 0x4000 + number(packet_id), 2, True), _int(number(counter) + 0x30, 1), field, payload)
 
+    stamp = lambda v, mark: _int(F.shiftleft(F.lit(mark).cast("long"), 36).bitwiseOR(F.shiftleft(F.shiftright(v, 30), 33)).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 17)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 1)).bitwiseOR(F.lit(0x100010001)), 5, True)
+
     def ts_files(s, d: str) -> DataFrame:
         map_pid, audio = pid() % 100 + 4000, pid() % 50 + 300
         pat = F.concat(_hex("00", "00B011", "0001C10000", "0000E010", "0001"), _int(map_pid + 0xE000, 2, True), _hex("FFFFFFFF"))
         pmt = F.concat(_hex("00", "02B019", "0001C10000", "E100", "F002", "0504", "0F"), _int(audio + 0xE000, 2, True), _hex("F000", "1BE101", "F000", "FFFFFFFF"))
-        stamp = lambda v, mark: _int(F.shiftleft(F.lit(mark).cast("long"), 36).bitwiseOR(F.shiftleft(F.shiftright(v, 30), 33)).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 17)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 1)).bitwiseOR(F.lit(0x100010001)), 5, True)
         pts = (pid() * 1_000_003) % 2**33
         one = F.concat(_hex("000001C0"), _int(8 + F.length(url()), 2, True), _hex("808005"), stamp(pts, 2), url(), _ascii("!!"))
         head = F.concat(_hex("000001E0", "0000", "80C00A"), stamp(pts, 3), stamp(F.greatest(pts - 3000, F.lit(0)), 1), url())
@@ -146,10 +147,9 @@ def register(add: Callable, lo: str) -> None:
 
     # a program stream a page: packs of either version, an MPEG-1 and an MPEG-2 audio packet, a padding packet, a private one that is cut off
     def ps_files(s, d: str) -> DataFrame:
-        clock = pid() * 7919
-        first = F.concat(_hex("000001BA"), _int(F.lit(0x2100010001).cast("long").bitwiseOR(F.shiftleft(F.shiftright(clock, 15), 17)).bitwiseOR(F.shiftleft(clock.bitwiseAND(0x7FFF), 1)), 5, True), _hex("800001"))
-        v = clock
-        second_bits = F.shiftleft(F.lit(1).cast("long"), 46).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 27)).bitwiseOR(F.lit(1 << 42)).bitwiseOR(F.lit(1 << 26)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 11)).bitwiseOR(F.lit(1 << 10))
+        v = (pid() * 7919) % 2**33
+        first = F.concat(_hex("000001BA"), stamp(v, 2), _hex("800001"))
+        second_bits = F.shiftleft(F.lit(1).cast("long"), 46).bitwiseOR(F.shiftleft(F.shiftright(v, 30), 43)).bitwiseOR(F.shiftleft(F.shiftright(v, 15).bitwiseAND(0x7FFF), 27)).bitwiseOR(F.lit(1 << 42)).bitwiseOR(F.lit(1 << 26)).bitwiseOR(F.shiftleft(v.bitwiseAND(0x7FFF), 11)).bitwiseOR(F.lit(1 << 10))
         second = F.concat(_hex("000001BA"), _int(second_bits, 6, True), _hex("000003F8"))
         old = F.concat(_hex("000001C1"), _int(F.length(url()) + 9, 2, True), _hex("FFFF", "4020"), _hex("2100010001"), url())
         new = F.concat(_hex("000001C0"), _int(F.length(url()) + 8, 2, True), _hex("808005", "2100010003"), url())
