@@ -23,6 +23,11 @@ def truncate(x: Column) -> Column:
     return x.cast("int")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero at that many digits, by a whole multiple: round() goes by a double's shortest decimal text, which may be a tie where the double itself is none."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def scale(x: Column, factor: float, offset: float = 0, most: float = 32767) -> Column:
     """The offset is added before the factor applies."""
     return truncate(clip((x + offset) * F.lit(float(factor)), float(most)))

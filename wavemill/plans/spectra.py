@@ -109,7 +109,7 @@ def register(add: Callable, flat: Callable, user: Callable, eu: str, ef: str, lo
     # filters a channel: SQL walks every (stream, channel) as a stream of its own
     long = f"{lo}, eu AS (SELECT stream_id * 4 + ch AS stream_id, frame_no, [c0, c1, c2, c3][ch + 1] AS x FROM lo, range(0, 4) t(ch))"
     lists = lambda walked: f"SELECT stream_id // 4 AS stream_id, frame_no, list(y ORDER BY stream_id % 4) AS samples FROM ({walked}) GROUP BY 1, 2"
-    rounded = lambda f: f.select("stream_id", "frame_no", F.transform("samples", lambda y: F.round(y, 4)).alias("samples"))
+    rounded = lambda f: f.select("stream_id", "frame_no", F.transform("samples", lambda y: scalar.rounded(y, 4)).alias("samples"))
     low, high = (recursive.biquad_df2(*recursive.biquad(kind, hz, 44100)) for kind, hz in (("low_pass", 1000), ("high_pass", 200)))
     pick = "p AS (SELECT ch, b0, b1, b2, a1, a2 FROM k, (SELECT 0 AS ch) UNION ALL SELECT ch, b0, b1, b2, a1, a2 FROM h, range(1, 4) t(ch))"
     views = f", {shape_sql('k', 'low_pass', 1000)}, {shape_sql('h', 'high_pass', 200)}, {pick}"
