@@ -6,9 +6,12 @@ import struct
 from binascii import crc_hqx
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavemill.functions.containers import walk
 from wavemill.functions.formats import little_endian
@@ -69,21 +72,31 @@ def pcm_hex(x: Column, size: int, big: bool = False) -> Column:
 
 
 def pcm_bytes(samples: Column, size: int, big: bool = False) -> Column:
-    """An array of samples as PCM bytes."""
-    return F.unhex(F.array_join(F.transform(samples, lambda x: pcm_hex(x, size, big)), ""))
+    """An array of samples as PCM bytes; null samples have none."""
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        counts = np.bincount(np.asarray(pc.list_parent_indices(lists))[np.asarray(flat.is_valid())], minlength=len(lists)) if len(flat) else np.zeros(len(lists), int)
+        octets = np.asarray(flat.drop_null().cast(pa.int64())).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size]
+        data = np.ascontiguousarray(octets[:, ::-1] if big else octets)
+        ends = np.concatenate([[0], np.cumsum(counts) * size]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [lists.is_valid().buffers()[1], pa.py_buffer(ends), pa.py_buffer(data)])
+
+    return F.arrow_udf(run, T.BinaryType())(samples)
 
 
 def pcm_samples(content: Column, size: int, big: bool = False) -> Column:
     """PCM bytes as an array of signed samples; an incomplete last one is left out."""
-    n = F.floor(F.length(content) / size).cast("int")
 
-    def sample(k: Column) -> Column:
-        digits = F.hex(F.substring(content, k * size + 1, size))
-        digits = digits if big else F.concat(*[F.substring(digits, 2 * j + 1, 2) for j in reversed(range(size))])
-        u = F.conv(digits, 16, 10).cast("long")
-        return F.when(u >= 2 ** (8 * size - 1), u - 2 ** (8 * size)).otherwise(u)
+    def run(contents: pa.Array) -> pa.Array:
+        whole = [b"" if c is None else c[: len(c) // size * size] for c in contents.to_pylist()]
+        octets = np.frombuffer(b"".join(whole), np.uint8).reshape(-1, size)
+        wide = np.zeros((len(octets), 8), np.uint8)
+        wide[:, 8 - size :] = octets[:, ::-1] if big else octets
+        ends = np.concatenate([[0], np.cumsum([len(c) // size for c in whole])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(wide.view("<i8").ravel() >> (64 - 8 * size)))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), sample)).otherwise(F.array().cast("array<bigint>"))
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))(content)
 
 
 def wav_bytes(samples: Column, rate: int, channels: int, bits: int = 16) -> Column:
