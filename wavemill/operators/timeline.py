@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.operators.history import in_blocks, own, piece, stream
 from wavemill.operators.scalar import clip, truncate
 
+#: Frames of a block of notes, and notes (in each block they touch) that are played at once.
+NOTE_BLOCK, NOTES_AT_ONCE = 65_536, 4096
+
 
 def remove_pops(rows: DataFrame, n: int, at: str = "start") -> DataFrame:
     """Zeroes each block of n frames up to its first ("start") or after its last ("end") zero transition: a frame that is 0 or on the other side of 0 than the block's outer frame. A block without one becomes 0."""
@@ -83,11 +89,61 @@ def envelope(k: Column, on: Column, attack: int, decay: int, sustain: float, rel
 
 
 def synthesize(notes: DataFrame, rate: int, attack: int = 10, decay: int = 10, sustain: float = 0.8, release: int = 20) -> DataFrame:
-    """Streams of notes (stream_id, start, length, hz, amplitude): each frame is the mean of the voices that sound, truncated and clipped. Voices meet in one aggregation with partial sums."""
-    each = notes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") + release - 1)))
-    tone = truncate(F.round(F.col("amplitude") * F.sin(F.col("k") * F.col("hz") * F.lit(2 * math.pi / rate)) * envelope(F.col("k"), F.col("length"), attack, decay, sustain, release), 6))
-    voices = each.select("stream_id", (F.col("start") + F.col("k")).alias("frame_no"), tone.alias("v"))
-    return voices.groupBy("stream_id", "frame_no").agg(truncate(clip(F.sum("v") / F.count("*"), 32767.0)).alias("x"))
+    """Streams of notes (stream_id, start, length, hz, amplitude): each frame is the mean of the voices that sound, truncated and clipped. Notes go to the
+    blocks of NOTE_BLOCK frames they touch and are walked by their start, so only notes are shuffled and only frames that later notes may reach are held."""
+    placed = notes.filter("start is not null and length is not null").select("stream_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), *[F.col(c).cast("double").alias(c) for c in ("hz", "amplitude")])
+    first, last = (F.floor(c / NOTE_BLOCK).cast("long") for c in (F.col("start"), F.col("start") + F.col("length") + release - 1))
+    blocks = placed.filter(F.col("length") + release > 0).withColumn("block", F.explode(F.sequence(first, last)))
+    ordered = blocks.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "start")
+    kind = dict(placed.dtypes)["stream_id"]
+
+    def voices(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Of each frame of each note inside its block: the note, the frame, and the value, NaN if unknown."""
+        start, length, block = (part.column(c).to_numpy() for c in ("start", "length", "block"))
+        hz, amplitude = (part.column(c).to_numpy(zero_copy_only=False) for c in ("hz", "amplitude"))
+        low = np.maximum(start, block * NOTE_BLOCK)
+        n = np.minimum(start + length + release, (block + 1) * NOTE_BLOCK) - low
+        note = np.repeat(np.arange(len(n)), n)
+        frame = np.arange(len(note)) - np.repeat(np.cumsum(n) - n - low, n)
+        k = (frame - start[note]).astype(float)
+        on = length[note]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            held = np.where(k < attack, k / float(attack), np.where(k < attack + decay, 1 - (1 - sustain) * (k - attack) / float(decay), sustain))
+            weight = np.where(k < on, held, np.maximum(0.0, sustain * (1 - (k - on) / float(release))))
+        return note, frame, np.trunc(np.round(amplitude[note] * np.sin(k * hz[note] * (2 * math.pi / rate)) * weight, 6))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(streams: pa.Array, frames: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            x = np.trunc(np.clip(sums[:, 0] / sums[:, 2], -32767, 32767)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([streams, pa.array(frames), pa.array(x, mask=sums[:, 1] == 0)], ["stream_id", "frame_no", "x"])
+
+        key, frames, sums, own = None, np.zeros(0, np.int64), np.zeros((0, 3)), None
+        for b in batches:
+            for lo in range(0, b.num_rows, NOTES_AT_ONCE):
+                part = b.slice(lo, NOTES_AT_ONCE)
+                streams, block, start = part.column("stream_id"), part.column("block").to_numpy(), part.column("start").to_numpy()
+                code = streams.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.concatenate([[0], np.cumsum((code[1:] != code[:-1]) | (block[1:] != block[:-1]))])
+                if key != (streams[0].as_py(), block[0]):
+                    if len(frames):
+                        yield out(pa.nulls(len(frames), streams.type) if own is None else pa.repeat(own, len(frames)), frames, sums)
+                    frames, sums = np.zeros(0, np.int64), np.zeros((0, 3))
+                note, frame, v = voices(part)
+                known = ~np.isnan(v)
+                notes_of, frame = np.concatenate([np.zeros(len(frames), np.int64), note]), np.concatenate([frames, frame])
+                sums = np.concatenate([sums, np.stack([np.where(known, v, 0), known, np.ones(len(v))], 1)])
+                order = np.lexsort((frame, group[notes_of]))
+                notes_of, frame = notes_of[order], frame[order]
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(frame) != 0) | (np.diff(group[notes_of]) != 0)]))
+                sums, frame, notes_of = np.add.reduceat(sums[order], at, axis=0), frame[at], notes_of[at]
+                open_ = (group[notes_of] == group[-1]) & (frame >= start[-1])
+                yield out(streams.take(pa.array(notes_of[~open_])), frame[~open_], sums[~open_])
+                own = streams[-1] if streams[-1].is_valid else None
+                key, frames, sums = (streams[-1].as_py(), block[-1]), frame[open_], sums[open_]
+        if len(frames):
+            yield out(pa.nulls(len(frames), streams.type) if own is None else pa.repeat(own, len(frames)), frames, sums)
+
+    return ordered.mapInArrow(run, f"stream_id {kind}, frame_no long, x int")
 
 
 def triangle(frame_no: Column, most: int) -> Column:
